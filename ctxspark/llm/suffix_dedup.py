@@ -27,7 +27,7 @@ from .util import map_batches, record, saved
 
 LEAST, K = 100, 32
 #: Bytes of text whose anchors are looked for together, and of contexts in one suffix array.
-STRETCH, SHARD = 4_000_000, 3_000_000
+STRETCH, SHARD = 1_500_000, 1_000_000
 #: Anchors with more different contexts than this are dealt by anchor and half context.
 LARGE = 2000
 NO_ID = -(2**63)
