@@ -29,7 +29,7 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 class PrefixBpe:
     """Encoder over fixed ranks. Caches are bounded and only save time."""
 
-    PIECES, PAIRS = 250_000, 500_000
+    PIECES, PAIRS = 120_000, 300_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
@@ -43,6 +43,12 @@ class PrefixBpe:
         self.units: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
 
+    def forget(self) -> None:
+        """Empties the caches: a worker that goes on to other work shouldn't hold them."""
+        self.pieces.clear()
+        self.units.clear()
+        self.pairs.clear()
+
     def merged(self, piece: bytes) -> list[int]:
         """Plain merging, lowest rank first: the definition. For short pieces."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -239,6 +245,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
             sizes = np.cumsum([0, *map(len, rows)]).astype(np.int32)
             flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
             yield record(id=batch.column("id"), ids=pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)))
+        bpe.forget()
 
     return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
