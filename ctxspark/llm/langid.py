@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from .bpe import load_ranks
@@ -96,18 +98,26 @@ def fit(train: DataFrame, pieces: list[bytes], per_language: int = 300, rounds:
     The rows are those with the smallest hashes of their texts, of 20 to 20,000 characters, so that the sample is
     bounded and repeatable; null langs are left out. The counts are expected counts over all segmentations.
     """
+    counts = {r.lang: r["count"] for r in train.where("lang is not null").groupBy("lang").count().collect()}
+    if not counts:
+        return [], np.zeros((len(pieces) + 1, 0))
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * per_language / n))))[F.col("lang")]
     rows = train.where("lang is not null and length(text) between 20 and 20000").select("lang", "text", F.xxhash64("text").alias("h"))
-    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    near = rows.where(F.pmod("h", F.lit(1 << 30)) < share * float(1 << 30))  # about four times the sample; the rest is never sorted
+    sample: dict[str, list[str]] = {}
+    for r in near.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "text"))).where(F.col("n") <= per_language).orderBy("lang", "n").select("lang", "text").collect():
+        sample.setdefault(r.lang, []).append(r.text)
+    langs = sorted(sample)
     prob = np.zeros((len(pieces) + 1, len(langs)))
     lattice = Lattice(pieces)
     for n, lang in enumerate(langs):
-        counts: Counter[str] = Counter()
-        for r in rows.where(F.col("lang") == lang).orderBy("h", "text").limit(per_language).collect():
-            counts.update(words_of(r.text))
+        found: Counter[str] = Counter()
+        for text in sample[lang]:
+            found.update(words_of(text))
         p = np.full((len(pieces) + 1, 1), 1.0 / len(pieces))
         p[-1] = 0
-        words = sorted(counts, key=len)
-        weights = np.array([counts[w] for w in words], float)
+        words = sorted(found, key=lambda w: (len(w), w))
+        weights = np.array([found[w] for w in words], float)
         for _ in range(rounds):
             got = np.full(len(pieces) + 1, alpha)
             for at in range(0, len(words), 4096):
@@ -148,8 +158,8 @@ def piece_list(ranks_path: str) -> list[bytes]:
 _LATTICES: dict[int, Lattice] = {}
 
 
-def predict(df: DataFrame, pieces: list[bytes], langs: list[str], prob: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, lang_pred, score): the most probable language of every whole text and its posterior, row by row.
+def predict(df: DataFrame, pieces: list[bytes], langs: list[str], prob: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """(id_col, lang_pred, score), or with `keep` all of df's columns and these two: the most probable language of every whole text and its posterior, row by row.
 
     A text that is null, empty or without letters gets `und` and 0; with no language learned every text does. At
     equal posteriors the first language by name wins. Null ids stay and repeated rows give repeated results.
@@ -168,7 +178,7 @@ def predict(df: DataFrame, pieces: list[bytes], langs: list[str], prob: np.ndarr
             if len(known) > CACHE:
                 known, table = {}, np.zeros((0, len(langs)))
             rows, fresh = [], []
-            for x in batch.column("text").to_pylist():
+            for x in batch.column(text_col if keep else "text").to_pylist():
                 own = words_of(x) if x and langs else []
                 for w in own:
                     if w not in known:
@@ -188,8 +198,11 @@ def predict(df: DataFrame, pieces: list[bytes], langs: list[str], prob: np.ndarr
                 best = int(post.argmax())
                 preds.append(langs[best])
                 scores.append(float(post[best] / post.sum()))
-            yield record(id=batch.column("id"), lang_pred=pa.array(preds, pa.string()), score=pa.array(scores, pa.float64()))
+            more = {"lang_pred": pa.array(preds, pa.string()), "score": pa.array(scores, pa.float64())}
+            yield record(**dict(zip(batch.schema.names, batch.columns, strict=True)), **more) if keep else record(id=batch.column("id"), **more)
 
+    if keep:
+        return map_batches(df, run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
