@@ -33,7 +33,16 @@ class CountTree:
     def cut(self, text: str) -> list[tuple[str, int]]:
         pieces = self.bpe.pattern.findall(text)
         self.encoded += len(pieces)
-        return [(p, len(self.bpe.piece(p.encode()))) for p in pieces]
+        return self.counted(pieces)
+
+    def counted(self, pieces: list[str]) -> list[tuple[str, int]]:
+        known = self.bpe.counts
+        if len(known) > self.bpe.PIECES:
+            known.clear()
+        for p in pieces:
+            if p not in known:
+                known[p] = len(self.bpe.piece(p.encode()))
+        return list(zip(pieces, map(known.__getitem__, pieces), strict=True))
 
     def build(self, pieces: list[tuple[str, int]]) -> None:
         self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
@@ -42,8 +51,9 @@ class CountTree:
             self.size *= 2
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
         for i, leaf in enumerate(self.leaves):
-            self.chars[self.size + i] = sum(len(p) for p, _ in leaf)
-            self.tokens[self.size + i] = sum(n for _, n in leaf)
+            if leaf:
+                texts, counts = zip(*leaf, strict=True)
+                self.chars[self.size + i], self.tokens[self.size + i] = len("".join(texts)), sum(counts)
         for i in range(self.size - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -147,7 +157,7 @@ class CountTree:
     def recut(self, region: str, old: list[tuple[str, int]], edited: int, tail: int) -> list[tuple[str, int]]:
         fresh, i = self.meet(region, old, edited, tail)
         self.encoded += len(fresh)
-        return [(p, len(self.bpe.piece(p.encode()))) for p in fresh] + (old[i:] if i is not None else [])
+        return self.counted(fresh) + (old[i:] if i is not None else [])
 
 
 EDITS = "array<struct<start:int,end:int,text:string>>"
@@ -167,6 +177,7 @@ def count_edited(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         bpe = encoder(data.value, pattern)
         for batch in batches:
             rows = []
+            bpe.learn([t for t in batch.column("text").to_pylist() if t])
             for text, edits in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
                 tree = CountTree(bpe, text or "")
                 before, encoded = tree.count, tree.encoded
@@ -176,5 +187,6 @@ def count_edited(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 rows.append((before, tree.count, encoded, tree.encoded - encoded))
             cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
             yield record(id=batch.column("id"), n_tokens=cols[0], n_tokens_after=cols[1], n_encoded=cols[2], n_reencoded=cols[3])
+        bpe.forget()
 
     return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(edits_col).cast(EDITS).alias("edits")), run, "id long, n_tokens long, n_tokens_after long, n_encoded long, n_reencoded long").withColumnRenamed("id", id_col)
