@@ -7,6 +7,7 @@ around them until a cut falls where one was before, and updates the sums above.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -175,9 +176,9 @@ def count_edited(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(data.value, pattern)
+        gc.disable()  # trees and caches hold no cycles
         for batch in batches:
             rows = []
-            bpe.learn([t for t in batch.column("text").to_pylist() if t])
             for text, edits in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
                 tree = CountTree(bpe, text or "")
                 before, encoded = tree.count, tree.encoded
@@ -188,5 +189,6 @@ def count_edited(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
             yield record(id=batch.column("id"), n_tokens=cols[0], n_tokens_after=cols[1], n_encoded=cols[2], n_reencoded=cols[3])
         bpe.forget()
+        gc.enable()
 
     return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(edits_col).cast(EDITS).alias("edits")), run, "id long, n_tokens long, n_tokens_after long, n_encoded long, n_reencoded long").withColumnRenamed("id", id_col)
