@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import gc
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -155,7 +156,11 @@ class PrefixBpe:
         return got
 
     #: Where a space has white space beside it, a cut before a space may fall inside a pre-token.
-    UNSURE = regex.compile(r" \s|\s |[\x1c-\x1f\x85]")
+    OTHER_SPACE = re.compile(r"[^\S \n]")
+
+    def unsure(self, text: str) -> bool:
+        return "  " in text or "\n " in text or " \n" in text or self.OTHER_SPACE.search(text) is not None
+
 
     def unit(self, unit: str) -> tuple[int, ...]:
         got = self.units.get(unit)
@@ -172,7 +177,7 @@ class PrefixBpe:
         """Ids by stretches of the text. A space between two other characters always begins a pre-token, so such stretches are looked up whole."""
         if not text:
             return iter(())
-        cuts = text.split(" ") if not self.UNSURE.search(text) else None
+        cuts = None if self.unsure(text) else text.split(" ")
         if cuts is None:
             return (self.piece(x.encode()) for x in self.pattern.findall(text))
         first, rest = cuts[0], cuts[1:]
@@ -261,8 +266,14 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {r: t for t, r in load_ranks(data.value).items()}
-        table = [token.get(i, b"") for i in range(max(token) + 1)]
+        size = np.array([len(token.get(i, b"")) for i in range(max(token) + 1)], np.int64)
+        begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(token.get(i, b"") for i in range(len(size))), np.uint8)
         for batch in batches:
-            yield record(id=batch.column("id"), ids=batch.column("ids"), bytes=pa.array([b"".join([table[i] for i in x or ()]) for x in batch.column("ids").to_pylist()], pa.binary()))
+            rows = []
+            for ids in batch.column("ids"):
+                x = ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int32)
+                n = size[x]
+                rows.append(flat[np.repeat(begin[x] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes())
+            yield record(id=batch.column("id"), ids=batch.column("ids"), bytes=pa.array(rows, pa.binary()))
 
     return map_batches(df.select(F.col(id_col).cast("long").alias("id"), "ids"), run, "id long, ids array<int>, bytes binary").withColumnRenamed("id", id_col)
