@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import gc
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,7 +30,7 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 class PrefixBpe:
     """Encoder over fixed ranks. Caches are bounded and only save time."""
 
-    PIECES, PAIRS = 350_000, 300_000
+    PIECES, PAIRS = 250_000, 300_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
@@ -42,14 +41,14 @@ class PrefixBpe:
             self.ends.add_word(t.decode("latin-1"), (r, len(t)))
         self.ends.make_automaton()
         self.pieces: dict[bytes, tuple[int, ...]] = {}
-        self.units: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
         self.counts: dict[str, int] = {}
 
     def forget(self) -> None:
         """Empties the large caches: a worker that goes on to other work shouldn't hold them."""
         self.pieces.clear()
-        self.units.clear()
+        self.known.clear()
         self.counts.clear()
 
     def merged(self, piece: bytes) -> list[int]:
@@ -155,35 +154,22 @@ class PrefixBpe:
                 self.pieces[piece] = got
         return got
 
-    #: Where a space has white space beside it, a cut before a space may fall inside a pre-token.
-    OTHER_SPACE = re.compile(r"[^\S \n]")
-
-    def unsure(self, text: str) -> bool:
-        return "  " in text or "\n " in text or " \n" in text or self.OTHER_SPACE.search(text) is not None
-
-
-    def unit(self, unit: str) -> tuple[int, ...]:
-        got = self.units.get(unit)
-        if got is None:
-            found = self.pattern.findall(unit)
-            got = self.piece(found[0].encode()) if len(found) == 1 else tuple(chain.from_iterable(self.piece(x.encode()) for x in found))
-            if len(unit) <= 64:
-                if len(self.units) >= self.PIECES:
-                    self.units.clear()
-                self.units[unit] = got
-        return got
-
     def encode(self, text: str) -> Iterator[tuple[int, ...]]:
-        """Ids by stretches of the text. A space between two other characters always begins a pre-token, so such stretches are looked up whole."""
-        if not text:
-            return iter(())
-        cuts = None if self.unsure(text) else text.split(" ")
-        if cuts is None:
-            return (self.piece(x.encode()) for x in self.pattern.findall(text))
-        first, rest = cuts[0], cuts[1:]
-        if rest and not rest[-1]:  # ends with a space: that is a pre-token of its own
-            return chain([self.unit(first)] if first else [], (self.unit(" " + x) for x in rest[:-1]), [self.unit(" ")])
-        return chain([self.unit(first)] if first else [], map(self.unit, [" " + x for x in rest]))
+        """Ids of every pre-token of the text, in order."""
+        found, known = self.pattern.findall(text), self.known
+        fresh = set(found).difference(known)
+        if len(known) + len(fresh) > self.PIECES:
+            known.clear()
+            fresh = set(found)
+        for p in fresh:
+            piece = p.encode()
+            whole = self.ranks.get(piece)
+            known[p] = (whole,) if whole is not None else self.walk(self.last_tokens(piece))
+        out = list(map(known.__getitem__, found))
+        for p in fresh:
+            if len(p) > 64:  # long pre-tokens are rare and would fill the cache
+                del known[p]
+        return iter(out)
 
 
 class PrefixTable:
