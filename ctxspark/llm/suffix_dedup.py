@@ -1,14 +1,14 @@
 """Exact substring dedup: every byte covered by a string of `least` bytes that also starts earlier is removed.
 
-Two equal windows of `least` bytes choose the same anchor inside them, the K-byte string of the smallest hash, at the
-same place. So windows are only compared where their anchors agree:
+Two equal windows of `least` bytes choose the same pivot inside them, the K-byte string of the smallest hash, at the
+same place. So windows are only compared where their pivots agree:
 
-1. anchors: each stretch of text gives its anchors and the windows each one stands for (about 3 in 100 bytes). Where
+1. pivots: each stretch of text gives its pivots and the windows each one stands for (about 3 in 100 bytes). Where
    the whole context was seen before in the stretch, the windows are duplicates at once and go no further.
-2. By anchor: contexts equal to an earlier one are duplicates; those that share an anchor and half a context with a
+2. By pivot: contexts equal to an earlier one are duplicates; those that share a pivot and half a context with a
    different one go on, everything else is unique.
-3. Only these contexts are cut from the texts, dealt into shards by anchor and sorted: a suffix array by
-   Larsson-Sadakane refinement, common prefixes by Kasai's recurrence, classes of equal windows from both. An anchor
+3. Only these contexts are cut from the texts, dealt into shards by pivot and sorted: a suffix array by
+   Larsson-Sadakane refinement, common prefixes by Kasai's recurrence, classes of equal windows from both. A pivot
    whose contexts fill several shards has the later shards' windows looked up in the earlier suffix arrays by
    binary search.
 """
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .util import map_batches, record, saved
 
 LEAST, K = 100, 32
-#: Bytes of text whose anchors are looked for together, and of contexts in one suffix array.
+#: Bytes of text whose pivots are looked for together, and of contexts in one suffix array.
 STRETCH, SHARD = 1_500_000, 1_000_000
-#: Anchors with more different contexts than this are dealt by anchor and half context.
+#: Pivots with more different contexts than this are dealt by pivot and half context.
 LARGE = 2000
 NO_ID = -(2**63)
 _rng = np.random.default_rng(20240229)
@@ -66,8 +66,8 @@ class Hashes:
             return mix((self.sums[b] - self.sums[a]) * self.back[a])
 
 
-def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[Hashes, np.ndarray, np.ndarray, np.ndarray]:
-    """The stretch's hashes; each anchor's place and the first and last window start that chose it."""
+def pivots(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[Hashes, np.ndarray, np.ndarray, np.ndarray]:
+    """The stretch's hashes; each pivot's place and the first and last window start that chose it."""
     hashes, n, width = Hashes(raw), len(raw), least - K + 1
     if n < least:
         none = np.zeros(0, np.int64)
@@ -245,7 +245,7 @@ class Shard:
 RANGE = "id long, tk int, start int, stop int"
 
 
-def _anchor_rows(least: int):
+def _pivot_rows(least: int):
     half = (least - K) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +254,7 @@ def _anchor_rows(least: int):
             size = np.array([len(t) for t in texts], np.int64)
             end = np.cumsum(size)
             begin = end - size
-            hashes, place, s0, s1 = anchors(raw, begin, end, least)
+            hashes, place, s0, s1 = pivots(raw, begin, end, least)
             doc = np.searchsorted(end, s0, "right")
             h = hashes.of(place, place + K)
             c = mix(hashes.of(s0, s1 + least) + (place - s0).astype(np.uint64) * np.uint64(1009) + (s1 - s0).astype(np.uint64)) >> np.uint64(20)
@@ -297,7 +297,7 @@ def _anchor_rows(least: int):
     return run
 
 
-def _by_anchor(least: int):
+def _by_pivot(least: int):
     """Step 2, over rows sorted by h: ranges of duplicates (stop > 0), and contexts to sort (stop = 0, route, start, last)."""
     half = (least - K) // 2
 
@@ -334,7 +334,7 @@ def _by_anchor(least: int):
             left &= shared(e1[r], left)
             right &= shared(e2[r], right)
             outs = []
-            # windows with half a context or more before the anchor, and the others: each part goes on alone
+            # windows with half a context or more before the pivot, and the others: each part goes on alone
             for has, e, a, b, side in ((left, e1[r], s0, np.minimum(s1, p - half), 1), (right, e2[r], np.maximum(s0, p - half + 1), s1, 2)):
                 route = np.where(many > LARGE, mix(hr + e * np.uint64(4) + np.uint64(side)), hr)
                 outs.append((ids[r][has], tk[r][has], a[has], b[has], route[has].view(np.int64)))
@@ -444,8 +444,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     if not K + 2 <= least <= K + 127:
         raise ValueError("least is out of range")
     keyed = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.xxhash64(F.col(text_col).cast("string")).bitwiseAND(0x7FFFF), F.lit(0)).cast("int").alias("tk"), F.coalesce(F.encode(F.col(text_col).cast("string"), "utf-8"), F.lit(b"")).alias("text"))
-    rows = map_batches(keyed, _anchor_rows(least), "h long, id long, seen long, at long, stop int")
-    judged = saved(map_batches(rows.repartition("h").sortWithinPartitions("h"), _by_anchor(least), RANGE + ", last int, route long"))
+    rows = map_batches(keyed, _pivot_rows(least), "h long, id long, seen long, at long, stop int")
+    judged = saved(map_batches(rows.repartition("h").sortWithinPartitions("h"), _by_pivot(least), RANGE + ", last int, route long"))
     needs = judged.where("stop = 0").groupBy("id", "tk").agg(F.collect_list(F.struct("route", "start", "last")).alias("needs"))
     contexts = map_batches(keyed.hint("merge").join(needs, ["id", "tk"]).select("id", "tk", "text", "needs"), _cut_contexts(least), "route long, id long, tk int, start int, context binary")
     sorted_ = contexts.repartition("route").sortWithinPartitions("route", "id", "tk", "start")

@@ -75,9 +75,9 @@ def run_local(texts):
     many = [(i, 0, t) for i, t in texts.items()]
     first = [tab(many[a : a + 40], ["id", "tk", "text"], [pa.int64(), pa.int32(), pa.binary()]) for a in range(0, len(many), 40)]
     half = len(first) // 2
-    out = [b for part in (first[:half], first[half:]) for b in suffix_dedup._anchor_rows(100)(iter(part))]
+    out = [b for part in (first[:half], first[half:]) for b in suffix_dedup._pivot_rows(100)(iter(part))]
     rows = pa.Table.from_batches(out).sort_by("h")
-    judged = pa.Table.from_batches(list(suffix_dedup._by_anchor(100)(iter(rows.to_batches(50))))).to_pylist()
+    judged = pa.Table.from_batches(list(suffix_dedup._by_pivot(100)(iter(rows.to_batches(50))))).to_pylist()
     contexts = [(r["route"], r["id"], r["tk"], r["start"], texts[r["id"]][r["start"] : r["last"] + 100]) for r in judged if not r["stop"]]
     contexts.sort(key=lambda r: r[:4])
     found = [(r["id"], r["start"], r["stop"]) for r in judged if r["stop"]]
