@@ -32,6 +32,8 @@ CACHE = 300_000
 
 def words_of(text: str) -> list[str]:
     found = WORDS.findall(text.lower())
+    if not all(map(str.isalpha, found)):  # numerals such as \u00bd match \w and are no letters
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
     return found if all(len(w) <= SEGMENT for w in found) else [w[i : i + SEGMENT] for w in found for i in range(0, len(w), SEGMENT)]
 
 
@@ -96,14 +98,14 @@ def fit(train: DataFrame, pieces: list[bytes], per_language: int = 300, rounds:
     """The languages of train(lang, text) and P(piece | language), fitted on at most `per_language` rows of each.
 
     The rows are those with the smallest hashes of their texts, of 20 to 20,000 characters, so that the sample is
-    bounded and repeatable; null langs are left out. The counts are expected counts over all segmentations.
+    bounded and repeatable; copies count once; null langs are left out. The counts are expected counts over all segmentations.
     """
     counts = {r.lang: r["count"] for r in train.where("lang is not null").groupBy("lang").count().collect()}
     if not counts:
         return [], np.zeros((len(pieces) + 1, 0))
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * per_language / n))))[F.col("lang")]
     rows = train.where("lang is not null and length(text) between 20 and 20000").select("lang", "text", F.xxhash64("text").alias("h"))
-    near = rows.where(F.pmod("h", F.lit(1 << 30)) < share * float(1 << 30))  # about four times the sample; the rest is never sorted
+    near = rows.where(F.pmod("h", F.lit(1 << 30)) < share * float(1 << 30)).distinct()  # about four times the sample; the rest is never sorted, and copies are one row
     sample: dict[str, list[str]] = {}
     for r in near.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "text"))).where(F.col("n") <= per_language).orderBy("lang", "n").select("lang", "text").collect():
         sample.setdefault(r.lang, []).append(r.text)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .util import LOWER, components, forest, map_batches, record, saved, texts_of
@@ -34,15 +34,21 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def text_key(text_col: str = "text") -> Column:
+    """A number that tells apart the texts of rows that share an id."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp long): every whole text's fingerprint; null and empty texts have 0."""
+    """(id_col, text_key, fp long): every whole text's fingerprint; null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in texts_of(batch)], np.uint64).view(np.int64)
-            yield record(id=batch.column("id"), fp=fps)
+            yield record(id=batch.column("id"), text_key=batch.column("text_key"), fp=fps)
 
-    return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, fp long").withColumnRenamed("id", id_col)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    return map_batches(rows, run, "id long, text_key long, fp long").withColumnRenamed("id", id_col)
 
 
 class BkForest:
@@ -141,3 +147,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     low = known.groupBy("root").agg(F.min("low").alias("component_id"))
     final = known.join(low, "root").select("fp", "component_id", "copies")
     return fp.join(final, "fp").select(id_col, "fp", "component_id", "copies")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, text_key, n): of each group of near duplicates one document, and how many rows repeat it exactly.
+
+    It is the one with the smallest id, nulls last, then the smallest text_key(). So rows without an id are kept
+    apart by their texts, and so are different texts under one id. An empty table gives no rows.
+    """
+    fp = saved(fingerprints(df, id_col, text_col))
+    rows = fp.groupBy("fp", id_col, "text_key").agg(F.count("*").alias("n"))
+    node = rows.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col), "text_key", "n")).alias("low"))
+    roots = saved(components(near_links(node.select("fp"))))
+    known = node.join(roots, node.fp == roots.node, "left").select("low", F.coalesce("root", "fp").alias("root"))
+    return known.groupBy("root").agg(F.min("low").alias("low")).select(f"low.{id_col}", "low.text_key", "low.n")

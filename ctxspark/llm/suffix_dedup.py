@@ -20,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .util import map_batches, record, saved
 
@@ -428,22 +429,30 @@ def _remove(decoded: bool):
                 edges = [0, *(e for c in cut for e in c), len(text)]
                 kept.append(b"".join([text[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)]) if cut else text)
                 spans.append([{"start": a, "stop": b} for a, b in cut])
-            yield record(id=batch.column("id"), n_bytes=pa.array([len(t) for t in batch.column("text").to_pylist()], pa.int64()), kept=pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if decoded else pa.array(kept, pa.binary()), spans=pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))))
+            more = {"more": batch.column("more")} if "more" in batch.schema.names else {}
+            yield record(id=batch.column("id"), n_bytes=pa.array([len(t) for t in batch.column("text").to_pylist()], pa.int64()), kept=pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if decoded else pa.array(kept, pa.binary()), spans=pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), **more)
 
     return run
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, decoded: bool = False) -> DataFrame:
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    text = F.col(text_col).cast("string")
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.xxhash64(text).bitwiseAND(0x7FFFF), F.lit(0)).cast("int").alias("tk"), F.coalesce(F.encode(text, "utf-8"), F.lit(b"")).alias("text")]
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, decoded: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, n_bytes, kept binary, spans): every document with the removed runs of bytes and what remains.
 
-    decoded: kept is a string, without the bytes of characters that a run cut in two.
+    decoded: kept is a string, without the bytes of characters that a run cut in two. carry: columns of df that each
+    row brings along, in a struct `more`.
     Documents are ordered by id, nulls first. Matches never cross documents. A null text is empty. Repeated rows
     (equal id and text) are one document, each row gets its result; different texts under one id are different
     documents, ordered by a hash of the text. `least` is from K + 2 to K + 127. An empty table gives no rows.
     """
     if not K + 2 <= least <= K + 127:
         raise ValueError("least is out of range")
-    keyed = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.xxhash64(F.col(text_col).cast("string")).bitwiseAND(0x7FFFF), F.lit(0)).cast("int").alias("tk"), F.coalesce(F.encode(F.col(text_col).cast("string"), "utf-8"), F.lit(b"")).alias("text"))
+    keyed = df.select(*_keys(id_col, text_col))
+    with_more = keyed if not carry else df.select(*_keys(id_col, text_col), F.struct(*carry).alias("more"))
     rows = map_batches(keyed, _pivot_rows(least), "h long, id long, seen long, at long, stop int")
     judged = saved(map_batches(rows.repartition("h").sortWithinPartitions("h"), _by_pivot(least), RANGE + ", last int, route long"))
     needs = judged.where("stop = 0").groupBy("id", "tk").agg(F.collect_list(F.struct("route", "start", "last")).alias("needs"))
@@ -451,8 +460,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     sorted_ = contexts.repartition("route").sortWithinPartitions("route", "id", "tk", "start")
     found = judged.where("stop > 0").select("id", "tk", "start", "stop").union(map_batches(sorted_, _sort_contexts(least), RANGE))
     found = found.groupBy("id", "tk").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    joined = keyed.hint("merge").join(found, ["id", "tk"], "left").select("id", "text", "found")
-    out = map_batches(joined, _remove(decoded), f"id long, n_bytes long, kept {'string' if decoded else 'binary'}, spans array<struct<start:int,stop:int>>")
+    joined = with_more.hint("merge").join(found, ["id", "tk"], "left").select("id", "text", "found", *(["more"] if carry else []))
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.StringType() if decoded else T.BinaryType()), T.StructField("spans", T.ArrayType(span))])
+    out = map_batches(joined, _remove(decoded), T.StructType([*schema.fields, with_more.schema["more"]]) if carry else schema)
     return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
 
 
