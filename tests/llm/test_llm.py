@@ -383,3 +383,29 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     ids = {r.doc_id for r in out.collect()}
     assert ids and ids <= {r.doc_id for r in spark.read.parquet(f"{src}/documents.parquet").collect()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "SimHash near-dedup", "suffix-array dedup", "benchmark decontamination", "BPE encoding"]
+
+
+def test_pipeline_stages_odd_rows(spark, tmp_path):
+    """Rows without an id, repeated ids and repeated rows: none is lost, multiplied or judged by another's text."""
+    import corpus_pipeline
+
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak = max((r.text for r in bench.collect()), key=len)
+    rnd = random.Random(9)
+    said = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c, d = said(60), said(60), said(60), said(60)
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (8, c), (9, None), (10, ""), (None, leak), (7, leak + " x y")]
+    shape = lambda df: sorted(((r.doc_id, r.text) for r in df.select(corpus_pipeline.COLUMNS).collect()), key=str)
+    kept = shape(corpus_pipeline.near_dedup(spark, docs(spark, rows), str(tmp_path)))
+    assert [r for r in kept if r[1] not in (leak, leak + " x y")] == sorted([(None, a), (None, b), (7, c), (7, d), (9, None)], key=str)
+    kept = shape(corpus_pipeline.decontaminate(spark, docs(spark, rows), str(tmp_path)))
+    assert kept == sorted([r for r in rows if leak not in (r[1] or "")], key=str)
+    tail = d + c[:200]
+    kept = shape(corpus_pipeline.substring_dedup(spark, docs(spark, [(None, a), (None, b), (7, c), (7, d), (8, tail), (9, None), (10, ""), (11, a)]), str(tmp_path)))
+    assert [r for r in kept if r[0] != 8] == sorted([(None, a), (None, b), (7, c), (7, d), (9, None), (10, "")], key=str)
+    assert all(r[1] == "" or len(r[1]) < 100 for r in kept if r[0] == 8)
+
+
+def test_language_letters():
+    assert langid.words_of("x\u00b2 \u00bd \u2167 Abc 12_d") == ["x", "abc", "d"]
