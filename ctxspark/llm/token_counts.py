@@ -40,9 +40,10 @@ class CountTree:
         known = self.bpe.counts
         if len(known) > self.bpe.PIECES:
             known.clear()
-        for p in pieces:
-            if p not in known:
-                known[p] = len(self.bpe.piece(p.encode()))
+        ranks = self.bpe.ranks
+        for p in set(pieces).difference(known):
+            piece = p.encode()
+            known[p] = 1 if piece in ranks else len(self.bpe.walk(self.bpe.last_tokens(piece)))
         return list(zip(pieces, map(known.__getitem__, pieces), strict=True))
 
     def build(self, pieces: list[tuple[str, int]]) -> None:
@@ -105,11 +106,13 @@ class CountTree:
         while True:
             text = "".join(p for p, _ in old)
             region = text[left : start - before] + new + text[end - before :]
-            if last + 1 >= len(self.leaves) or self.settles(region, old, start - before - left + len(new), len(text) - (end - before)):
+            found, again = self.meet(region, old, start - before - left + len(new), len(text) - (end - before))
+            if again is not None or last + 1 >= len(self.leaves):
                 break
             last += 1
             old += self.leaves[last]
-        fresh = old[:keep] + self.recut(region, old, start - before - left + len(new), len(text) - (end - before))
+        self.encoded += len(found)
+        fresh = old[:keep] + self.counted(found) + (old[again:] if again is not None else [])
         spread = last - first + 1
         share = -(-len(fresh) // spread)
         for k in range(spread):
@@ -139,12 +142,9 @@ class CountTree:
             out[back] = i
         return out
 
-    def settles(self, region: str, old: list[tuple[str, int]], edited: int, tail: int) -> bool:
-        return self.meet(region, old, edited, tail)[1] is not None
-
     def meet(self, region: str, old: list[tuple[str, int]], edited: int, tail: int) -> tuple[list[str], int | None]:
         """New pre-tokens up to the first cut behind the edit that an old one shares, two pre-tokens in a row; and that one's index."""
-        cuts, fresh, at, agreed = self.tail_cuts(old, tail), [], 0, 0
+        cuts, fresh, agreed = self.tail_cuts(old, tail), [], 0
         for m in self.bpe.pattern.finditer(region):
             if m.start() >= edited:
                 i = cuts.get(len(region) - m.start())
@@ -152,14 +152,8 @@ class CountTree:
                 if agreed == 2 and m.end() < len(region):
                     return fresh, i
             fresh.append(m[0])
-            at = m.end()
         return fresh, None
 
-    def recut(self, region: str, old: list[tuple[str, int]], edited: int, tail: int) -> list[tuple[str, int]]:
-        fresh, i = self.meet(region, old, edited, tail)
-        self.encoded += len(fresh)
-        return self.counted(fresh) + (old[i:] if i is not None else [])
-
 
 EDITS = "array<struct<start:int,end:int,text:string>>"
 
