@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .util import SEPARATORS, map_batches, record
@@ -132,12 +133,18 @@ def fit_crf(texts: list[str], labels: list[int], rounds: int = 60, rate: float =
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", most: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights fitted on at most `most` labelled documents of each quality: those of under 20,000 characters with the smallest id hashes."""
-    rows = []
-    for q in (0, 1):
-        ids = labels.where(F.col("quality") == q).select(id_col).distinct()
-        rows += docs.where("length(text) < 20000").select(id_col, "text").join(ids, id_col).orderBy(F.xxhash64(id_col), "text").limit(most).select("text", F.lit(q).alias("q")).collect()
-    return fit_crf([r.text for r in rows], [r.q for r in rows])
+    """Weights fitted on at most `most` labelled documents of each quality: those of under 20,000 characters with the smallest id hashes.
+
+    They are looked for under the 4 * most labelled ids of each quality with the smallest hashes, so only a bounded
+    list of ids is broadcast and only their documents' texts move.
+    """
+    order = F.xxhash64(id_col)
+    labelled = labels.where(F.col(id_col).isNotNull()).select(id_col, F.col("quality").alias("q")).distinct()
+    first = [labelled.where(F.col("q") == q).orderBy(order, id_col).limit(4 * most) for q in (0, 1)]
+    rows = docs.where("length(text) < 20000").select(id_col, "text").join(F.broadcast(first[0].union(first[1])), id_col)
+    ranked = rows.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(order, "text"))).where(F.col("n") <= most)
+    got = ranked.orderBy("q", "n").select("text", "q").collect()
+    return fit_crf([r.text for r in got], [r.q for r in got])
 
 
 def repeat_words(codes: np.ndarray, sizes: np.ndarray, width: int = 5) -> np.ndarray:
