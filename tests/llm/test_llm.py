@@ -212,6 +212,7 @@ def test_bpe(spark, encoder):
     texts = ["".join(rnd.choice("aàé ñ  \n\t\x1c\x85\u3000ßthe'sre12³中文😀.,#") for _ in range(rnd.randrange(80))) for _ in range(400)] + ["ab" * 3000]
     assert all(list(chain.from_iterable(encoder.encode(t))) == want.encode_ordinary(t) for t in texts)
     got = bpe.decode(bpe.encode(docs(spark, ODD), RANKS, public_tokenizers.PATTERN), RANKS).collect()
+    assert sorted(map(str, got)) == sorted(map(str, bpe.encode(docs(spark, ODD), RANKS, public_tokenizers.PATTERN, decoded=True).collect()))
     assert sorted((str(r.doc_id), bytes(r.bytes).decode(), r.ids) for r in got) == sorted((str(i), t or "", want.encode_ordinary(t or "")) for i, t in ODD)
 
 
