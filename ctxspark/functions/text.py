@@ -54,3 +54,17 @@ def decode_bytes(raw: bytes) -> str:
         return raw.decode("utf-8")
     except UnicodeDecodeError:
         return raw.decode("latin-1")
+
+
+def head_and_tail(c: str | Column, limit: int) -> Column:
+    """A text of more than `limit` words cut to its first and last ones, with a mark that says how many are left out."""
+    w = words(F.coalesce(col(c), F.lit("")))
+    head, tail = limit // 2, limit - limit // 2
+    cut = F.concat(F.array_join(F.slice(w, 1, head), " "), F.lit("\n[... "), (F.size(w) - limit).cast("string"), F.lit(" tokens left out ...]\n"), F.array_join(F.slice(w, -tail, tail), " "))
+    return F.when(F.size(w) > limit, cut).otherwise(col(c))
+
+
+def part_text(kind: str | Column, content: str | Column, description: str | Column) -> Column:
+    """A content part as text: text and tables as they are, of an image or another kind its description, else its kind."""
+    said = F.concat(F.lit("["), col(kind), F.coalesce(F.concat(F.lit(": "), col(description)), F.lit("")), F.lit("]"))
+    return F.when(col(kind).isin("text", "table", "code"), F.coalesce(col(content), F.lit(""))).otherwise(said)

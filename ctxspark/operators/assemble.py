@@ -71,3 +71,43 @@ def chat_json(turns: DataFrame, key: str, order: str, role: str, text: str) -> D
     message = F.struct(F.col(role).alias("role"), F.col(text).alias("content"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), message.alias("m")))), lambda s: s["m"])
     return turns.groupBy(key).agg(F.to_json(rows).alias("messages"))
+
+
+def enrich_queries(queries: DataFrame, items: DataFrame, key: str, order: list, n: int = 5) -> DataFrame:
+    """`enriched`: the query's text and, if there are any, its key's last n items(key, content), oldest first."""
+    last = items.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy(*(F.desc(o) for o in order)))).where(F.col("n") <= n)
+    context = last.groupBy(key).agg(joined(-F.col("n"), "content", "; ").alias("context"))
+    has = F.trim(F.coalesce("context", F.lit(""))) != ""
+    return queries.join(context, key, "left").withColumn("enriched", F.when(has, F.concat("text", F.lit("\n\nConversation context: "), "context")).otherwise(F.col("text"))).drop("context")
+
+
+def message_role(role: str, source: str) -> Column:
+    """The role an item may speak in: only system items as system, only tool (and system) items as tool, else user."""
+    r, s = F.coalesce(role, F.lit("user")), F.col(source)
+    ok = r.isin("user", "assistant") | (r.isin("system", "tool") & (s == "system")) | ((r == "tool") & (s == "tool"))
+    return F.when(F.coalesce(ok, F.lit(False)), r).otherwise("user")
+
+
+def window_part(source: str) -> Column:
+    """Where a formatter puts an item: system, the messages (memory), or context."""
+    s = F.col(source)
+    return F.when(s == "system", "system").when(s.isin("memory", "conversation"), "memory").otherwise("context")
+
+
+def block_format(items: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, system, messages) as JSON: system blocks, and messages in turn with the context as the first one. Cache
+    marks stand on the last system block and on the context. items(source, role, content)."""
+    mark = F.struct(F.lit("ephemeral").alias("type")).alias("cache_control")
+    placed = items.withColumns({"part": window_part("source"), "said": message_role("role", "source")})
+    last = F.col(order) == F.max(order).over(W.partitionBy(key))
+    text = [F.lit("text").alias("type"), F.col("content").alias("text")]
+    block = F.when(last, F.to_json(F.struct(*text, mark))).otherwise(F.to_json(F.struct(*text)))
+    system = placed.where("part = 'system'").withColumn("b", block).groupBy(key).agg(joined(order, "b", ",").alias("system"))
+    shown = placed.where("part = 'context'").groupBy(key).agg(joined(order, "content", "\n\n---\n\n").alias("c"))
+    head = shown.select(key, F.lit(None).cast(items.schema[order].dataType).alias(order), F.lit("user").alias("said"), F.concat(F.lit("Here is relevant context:\n\n"), "c").alias("content"))
+    talk = alternating(placed.where("part = 'memory'").select(key, order, "said", "content").unionByName(head), key, order, "said", "content").join(shown.select(key, F.lit(True).alias("has")), key, "left")
+    marked = F.to_json(F.struct("role", F.array(F.struct(*text, mark)).alias("content")))
+    line = F.when((F.col("island") == 1) & F.coalesce("has", F.lit(False)), marked).otherwise(F.to_json(F.struct("role", "content")))
+    messages = talk.withColumn("m", line).groupBy(key).agg(joined("island", "m", ",").alias("messages"))
+    both = system.join(messages, key, "full")
+    return both.select(key, *(F.concat(F.lit("["), F.coalesce(c, F.lit("")), F.lit("]")).alias(c) for c in ("system", "messages")))

@@ -64,3 +64,10 @@ def cohen_kappa(ratings: DataFrame) -> DataFrame:
     chance = long.agg(F.sum(F.col("a") * F.col("b")).alias("ab"))
     expected = F.col("ab") / (F.col("n") * F.col("n"))
     return n.join(F.broadcast(chance)).select("n", "observed", expected.alias("expected"), F.when(expected == 1, 1.0).otherwise(F.try_divide(F.col("observed") - expected, 1 - expected)).alias("kappa"))
+
+
+def metric_floor(metrics: DataFrame, name: str, floor: float, case: str = "query_id") -> DataFrame:
+    """The gate of a metric in one row: its mean, whether that reaches the floor, and the three worst cases."""
+    mean = metrics.agg(F.avg(name).alias("mean"))
+    worst = metrics.orderBy(name, case).limit(3).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name, case))), lambda s: s[case].cast("string")), ",").alias("worst"))
+    return mean.join(F.broadcast(worst)).withColumn("reached", F.coalesce(F.col("mean") >= floor, F.lit(False)))

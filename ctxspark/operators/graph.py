@@ -124,3 +124,39 @@ def wikilinks(notes: DataFrame) -> DataFrame:
     raw = F.explode(F.regexp_extract_all("content", F.lit(r"\[\[([^\]\|#]+)"), 1))
     base = notes.select("id", "title", raw.alias("t")).withColumn("target", F.regexp_replace(F.substring_index(F.trim("t"), "/", -1), r"\.md$", ""))
     return base.where("target <> '' and target <> title").select("id", "target").distinct()
+
+
+def query_items(seeds: DataFrame, edges: DataFrame, links: DataFrame, k: int = 10, damping: float = 0.5, rounds: int = 10, digits: int = 9) -> DataFrame:
+    """(query, item, score, norm, rank): items ranked by a walk over entities and items, an item being adjacent to every
+    node it stands for. seeds(query, node or item), links(node, item); norm is the score by the query's best."""
+    node = lambda c: F.concat(F.lit("n:"), F.col(c).cast("string"))
+    item = F.concat(F.lit("i:"), F.col("item").cast("string"))
+    both = edges.select(node("source").alias("source"), node("target").alias("target")).union(links.select(node("node"), item))
+    start = seeds.select("query", node("node").alias("node"))
+    if "item" in seeds.columns:
+        start = seeds.select("query", F.coalesce(node("node"), item).alias("node"))
+    rank = pagerank(start, saved(adjacency(both)), damping, rounds).where("node like 'i:%' and score > 0")
+    found = rank.select("query", F.substring("node", 3, 1 << 30).alias("item"), F.round("score", digits).alias("score"))
+    w = W.partitionBy("query").orderBy(F.desc("score"), "item")
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).withColumn("norm", F.col("score") / F.max("score").over(W.partitionBy("query")))
+
+
+def explain(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seed, node, hop, a, b, relation): the first edge (by seq), in either direction, of every hop of bfs() paths."""
+    w = F.split("path", ">")
+    hops = paths.withColumn("w", w).where("size(w) > 1").select("seed", "node", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("hop"))
+    hops = hops.select("seed", "node", F.col("hop").cast("long").alias("hop"), F.element_at("w", F.col("hop")).alias("a"), F.element_at("w", F.col("hop") + 1).alias("b"))
+    first = edges.groupBy(F.least("source", "target").alias("low"), F.greatest("source", "target").alias("high")).agg(F.min_by("relation", "seq").alias("relation"))
+    return hops.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(first, ["low", "high"]).select("seed", "node", "hop", "a", "b", "relation")
+
+
+def merge_nodes(nodes: DataFrame) -> DataFrame:
+    """One row a key of nodes(key, label, alias, kind, seq): all aliases, the first label that isn't the key, the last kind."""
+    real = F.when(F.col("label") != F.col("key"), F.col("seq"))
+    return nodes.groupBy("key").agg(F.coalesce(F.min_by("label", real), F.first("key")).alias("label"), F.array_join(F.array_sort(F.collect_set("alias")), ",").alias("aliases"), F.max_by("kind", "seq").alias("kind"), F.count("*").alias("merged"))
+
+
+def unlink_items(evidence: DataFrame, removed: DataFrame) -> DataFrame:
+    """(edge, evidence_left, invalidated) of evidence(edge, item) once items are removed: an edge that loses all is invalid."""
+    marked = evidence.distinct().join(removed.select("item", F.lit(1).alias("out")).distinct(), "item", "left")
+    return marked.groupBy("edge").agg(F.count(F.when(F.col("out").isNull(), 1)).alias("evidence_left")).withColumn("invalidated", F.col("evidence_left") == 0)

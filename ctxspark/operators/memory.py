@@ -80,3 +80,22 @@ def sliding_memory(turns: DataFrame, max_tokens: int, key: str = "conv_id", orde
         return state["out"]
 
     return ordered_fold(turns, [key], [order], start, step, "evicted_so_far", "long")
+
+
+def apply_decisions(store: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
+    """The store after decisions(action, and its columns): ADD and UPDATE write their row, DELETE expires the store's
+    row as of now (one that isn't there, or has expired, stays as it is), NONE does nothing. One decision an id."""
+    written = decisions.where(F.col("action").isin("ADD", "UPDATE")).select(store.columns)
+    gone = decisions.where("action = 'DELETE'").select("id", F.lit(True).alias("gone"))
+    ends = F.when(F.col("gone") & F.coalesce(F.col("expires_at") > as_of, F.lit(True)), as_of).otherwise(F.col("expires_at"))
+    kept = store.join(written.select("id"), "id", "left_anti").join(gone, "id", "left").withColumn("expires_at", ends)
+    return kept.select(store.columns).unionByName(written)
+
+
+def consolidation_candidates(hits: DataFrame, gate: float = 0.3, cap: int = 20) -> DataFrame:
+    """hits(query_id, id, score, rank) that a decision is asked about: facts whose best hit reaches the gate, and only the
+    first `cap` distinct entries in order of fact and rank. A fact without rows here is added as it is."""
+    best = F.max("score").over(W.partitionBy("query_id"))
+    near = hits.withColumn("best", best).where(F.col("best") >= gate).drop("best")
+    first = near.groupBy("id").agg(F.min(F.struct("query_id", "rank")).alias("at")).orderBy("at", "id").limit(cap)
+    return near.join(F.broadcast(first.select("id")), "id", "left_semi").select(hits.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,3 +55,25 @@ def span_kind(name: str) -> Column:
     """Kind of a span by its step's name."""
     n = F.lower(name)
     return F.when(n.rlike("retriev|search|query"), "retrieval").when(n.rlike("rerank|rank"), "reranking").when(n.rlike("format"), "formatting").when(n.rlike("memory"), "memory").otherwise("pipeline")
+
+
+def call_batches(calls: DataFrame, key: str, order: list[str], read_only: str) -> DataFrame:
+    """`batch`: calls in a row that only read run together, any other call alone."""
+    w = W.partitionBy(key).orderBy(*order)
+    reads = F.coalesce(read_only, F.lit(False))
+    return calls.withColumn("batch", F.sum(F.when(reads & F.coalesce(F.lag(reads).over(w), F.lit(False)), 0).otherwise(1)).over(w))
+
+
+def search_tools(tools: DataFrame, pattern: str) -> DataFrame:
+    """tools(name, description) that match, case ignored; what is no regular expression is searched as plain text."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        pattern = re.escape(pattern)
+    return tools.where(F.concat_ws(" ", "name", "description").rlike(f"(?i){pattern}"))
+
+
+def pass_lift(runs: DataFrame) -> DataFrame:
+    """One row of runs(passed_with, passed_without): both pass rates and their difference; 0 without runs."""
+    rate = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0))
+    return runs.agg(F.count("*").alias("n"), rate("passed_with").alias("rate_with"), rate("passed_without").alias("rate_without")).withColumn("lift", F.col("rate_with") - F.col("rate_without"))

@@ -794,3 +794,134 @@ def stream_conversation_window(spark, sf):
     schema = table(spark, sf, "conversations").schema
     s = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf).withColumn("tokens", T.token_count("text"))
     return _drain(X.conversation_window(s, 120), "update")
+
+
+@query(f"""with {ENTRIES}, d as (select id, case when id % 7 = 0 then 'DELETE' when id % 5 = 0 then 'UPDATE' else 'NONE' end as action from en union all select id + 10000000, 'ADD' from en where id % 11 = 0 union all select id + 20000000, 'DELETE' from en where id % 13 = 0),
+s as (select en.id, case when action = 'UPDATE' then 'new' else 'old' end as version, case when action = 'DELETE' and (expires_at is null or expires_at > timestamp '{AS_OF}') then timestamp '{AS_OF}' when action = 'UPDATE' then null else expires_at end as expires_at from en join d on d.id = en.id union all select id, 'new', null from d where action = 'ADD')
+select version, count(*) as n, count(*) filter (expires_at <= timestamp '{AS_OF}') as expired, cast(sum(id) as bigint) as ids from s group by 1""")
+def apply_decisions(spark, sf):
+    store = entries(spark, sf).select("id", F.lit("old").alias("version"), "expires_at")
+    fresh = lambda shift, n, action: store.where(f"id % {n} = 0").select((F.col("id") + shift).alias("id"), F.lit(action).alias("action"))
+    known = store.select("id", F.when(F.col("id") % 7 == 0, "DELETE").when(F.col("id") % 5 == 0, "UPDATE").otherwise("NONE").alias("action"))
+    d = known.union(fresh(10_000_000, 11, "ADD")).union(fresh(20_000_000, 13, "DELETE")).withColumns({"version": F.lit("new"), "expires_at": F.lit(None).cast("timestamp")})
+    out = M.apply_decisions(store, d, as_of())
+    return out.groupBy("version").agg(F.count("*").alias("n"), F.count(F.when(F.col("expires_at") <= as_of(), 1)).alias("expired"), F.sum("id").alias("ids"))
+
+
+@query(f"""with s as (select q.vec_id as query_id, e.vec_id as id, {COS} as score from embeddings q, embeddings e where q.vec_id % 50 = 0 and e.vec_id % 50 <> 0),
+h as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank, max(score) over (partition by query_id) as best from s) where rank <= 5 and best >= 0.3),
+c as (select id from h group by id order by min(row(query_id, rank)), id limit 20)
+select query_id, id, score, rank from h where id in (select id from c)""")
+def consolidation_candidates(spark, sf):
+    q, e = vectors(spark, sf)
+    return M.consolidation_candidates(R.knn(q, e.where("id % 50 <> 0"), k=5))
+
+
+@query(f"""with {TURNS}, h as (select *, sum(least(tokens, 120)) over (partition by conv_id order by turn desc rows unbounded preceding) as held from tn), o as (select conv_id * 1000 + turn as id, text, md5(text) as content_hash from h where held > 120 and role = 'user')
+select id, content_hash from (select *, row_number() over (partition by content_hash order by id) as n from o) where n = 1 and content_hash not in (select md5(text) from conversations where role = 'assistant')""")
+def promote_evicted(spark, sf):
+    t = turns(spark, sf)
+    out = t.join(M.fifo_window(t, 120).select("conv_id", "turn"), ["conv_id", "turn"], "left_anti").where("role = 'user'")
+    new = out.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"))
+    return M.by_hash(new, t.where("role = 'assistant'").select(F.col("text").alias("content"))).select("id", "content_hash")
+
+
+def items_sql(rounds: int) -> str:
+    parts = [f"with {EDGES}, pairs as (select 'n:' || source as a, 'n:' || target as b from ed union select 'n:c' || o_custkey, 'i:' || o_orderkey from orders), ad as (select a, b from pairs union select b, a from pairs), seeds as (select c_custkey as query, 'n:c' || c_custkey as node from customer where c_custkey % 50 = 0), deg as (select a, count(*) as d from ad group by 1), r0 as (select query, node, 1.0::double as r from seeds)"]
+    for n in range(1, rounds + 1):
+        parts.append(f"r{n} as (select query, node, sum(m) as r from (select p.query, ad.b as node, 0.5 * p.r / d as m from r{n - 1} p join deg on deg.a = p.node join ad on ad.a = p.node union all select query, node, 0.5 from seeds) group by all)")
+    return ", ".join(parts) + f", f as (select query, substr(node, 3) as item, round(r, 9) as score from r{rounds} where node like 'i:%'), k as (select *, row_number() over (partition by query order by score desc, item) as rank from f qualify rank <= 10) select query, item, score, rank, round(score / max(score) over (partition by query), 6) as norm from k"
+
+
+@query(items_sql(6))
+def graph_query_items(spark, sf):
+    seeds = table(spark, sf, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("query"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    links = table(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("node"), F.col("o_orderkey").alias("item"))
+    return G.query_items(seeds, edges(spark, sf), links, 10, rounds=6).withColumn("norm", T.r6("norm"))
+
+
+@query("select 'c' || c_custkey as seed, 'r' || n_regionkey as node, hop, a, b, relation from customer join nation on n_nationkey = c_nationkey, lateral (values (1::bigint, 'c' || c_custkey, 'n' || c_nationkey, 'c_to_n'), (2::bigint, 'n' || c_nationkey, 'r' || n_regionkey, 'n_to_r')) v(hop, a, b, relation) where c_custkey % 50 = 0")
+def explain_path(spark, sf):
+    e = edges(spark, sf)
+    seeds = e.where("source like 'c%' and cast(substring(source, 2) as long) % 50 = 0").select(F.col("source").alias("seed")).distinct()
+    paths = G.bfs(seeds, G.adjacency(e), 2, paths=True).where("node like 'r%'")
+    named = e.withColumns({"relation": F.concat(F.substring("source", 1, 1), F.lit("_to_"), F.substring("target", 1, 1)), "seq": F.lit(1)})
+    return G.explain(paths, named.union(named.withColumns({"relation": F.lit("later"), "seq": F.lit(2)})))
+
+
+@query("with n as (select p_brand || '-' || p_size as key, case when p_partkey % 3 = 0 then p_brand || '-' || p_size else p_name end as label, p_name as alias, p_type as kind, p_partkey as seq from part) select key, coalesce(arg_min(label, seq) filter (label <> key), key) as label, string_agg(distinct alias, ',' order by alias) as aliases, arg_max(kind, seq) as kind, count(*) as merged from n group by key")
+def graph_merge_nodes(spark, sf):
+    key = F.concat_ws("-", "p_brand", F.col("p_size").cast("string"))
+    return G.merge_nodes(table(spark, sf, "part").select(key.alias("key"), F.when(F.col("p_partkey") % 3 == 0, key).otherwise(F.col("p_name")).alias("label"), F.col("p_name").alias("alias"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("seq")))
+
+
+@query("select l_suppkey as edge, count(distinct l_partkey) filter (p_size > 40) as evidence_left, count(distinct l_partkey) filter (p_size > 40) = 0 as invalidated from lineitem join part on p_partkey = l_partkey group by 1")
+def unlink_items(spark, sf):
+    ev = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("edge"), F.col("l_partkey").alias("item"))
+    return G.unlink_items(ev, table(spark, sf, "part").where("p_size <= 40").select(F.col("p_partkey").alias("item")))
+
+
+@query("""with l as (select conv_id, text, row_number() over (partition by conv_id order by turn desc) as n from conversations where role = 'assistant'), c as (select conv_id, string_agg(text, '; ' order by n desc) as context from l where n <= 3 group by 1)
+select q.conv_id, turn, md5(case when trim(coalesce(context, ''), ' ') <> '' then text || chr(10) || chr(10) || 'Conversation context: ' || context else text end) as digest from conversations q left join c on c.conv_id = q.conv_id where role = 'user'""")
+def enrich_queries(spark, sf):
+    t = turns(spark, sf)
+    q = t.where("role = 'user'").select("conv_id", "turn", "text")
+    return A.enrich_queries(q, t.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("content")), "conv_id", ["turn"], 3).select("conv_id", "turn", F.md5("enriched").alias("digest"))
+
+
+SOURCES = ["system", "tool", "memory", "conversation", "retrieval", "user"]
+
+
+@query("select source, role, case when role in ('user', 'assistant') or (role in ('system', 'tool') and source = 'system') or (role = 'tool' and source = 'tool') then role else 'user' end as allowed, case when source = 'system' then 'system' when source in ('memory', 'conversation') then 'memory' else 'context' end as part from (select unnest(['system', 'tool', 'memory', 'conversation', 'retrieval', 'user']) as source), (select unnest(['system', 'tool', 'user', 'assistant', 'root', null]) as role)")
+def message_roles(spark, sf):
+    rows = spark.createDataFrame([(s, r) for s in SOURCES for r in ("system", "tool", "user", "assistant", "root", None)], "source string, role string")
+    return rows.select("source", "role", A.message_role("role", "source").alias("allowed"), A.window_part("source").alias("part"))
+
+
+@query("""with s as (select *, case role when 'system' then 'system' when 'assistant' then 'conversation' else case when turn % 3 = 0 then 'retrieval' else 'memory' end end as source from conversations),
+sy as (select conv_id, string_agg('{"type":"text","text":' || to_json(text) || case when turn = m then ',"cache_control":{"type":"ephemeral"}' else '' end || '}', ',' order by turn) as system from (select *, max(turn) over (partition by conv_id) as m from s where source = 'system') group by 1),
+cx as (select conv_id, 'Here is relevant context:' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by turn) as content from s where source = 'retrieval' group by 1),
+al as (select conv_id, turn, role, text as content from s where source in ('conversation', 'memory') union all select conv_id, -1, 'user', content from cx),
+nw as (select *, case when lag(role) over (partition by conv_id order by turn) is distinct from role then 1 else 0 end as new from al),
+isl as (select *, sum(new) over (partition by conv_id order by turn) as island from nw),
+mg as (select conv_id, island, first(role) as role, string_agg(content, chr(10) || chr(10) order by turn) as content from isl group by 1, 2),
+ms as (select mg.conv_id, string_agg(case when island = 1 and cx.conv_id is not null then '{"role":' || to_json(role) || ',"content":[{"type":"text","text":' || to_json(mg.content) || ',"cache_control":{"type":"ephemeral"}}]}' else '{"role":' || to_json(role) || ',"content":' || to_json(mg.content) || '}' end, ',' order by island) as messages from mg left join cx on cx.conv_id = mg.conv_id group by 1)
+select coalesce(sy.conv_id, ms.conv_id) as conv_id, md5('[' || coalesce(system, '') || ']') as system, md5('[' || coalesce(messages, '') || ']') as messages from sy full join ms on sy.conv_id = ms.conv_id""")
+def format_blocks(spark, sf):
+    source = F.when(F.col("role") == "system", "system").when(F.col("role") == "assistant", "conversation").when(F.col("turn") % 3 == 0, "retrieval").otherwise("memory")
+    t = turns(spark, sf).select("conv_id", "turn", source.alias("source"), "role", F.col("text").alias("content"))
+    return A.block_format(t, "conv_id", "turn").select("conv_id", F.md5("system").alias("system"), F.md5("messages").alias("messages"))
+
+
+@query("with r as (select *, event_type in ('view', 'click') as ro from events), l as (select *, case when ro and coalesce(lag(ro) over (partition by user_id order by ts, event_id), false) then 0 else 1 end as new from r) select user_id, event_id, cast(sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as bigint) as batch from l")
+def call_batches(spark, sf):
+    e = events(spark, sf).withColumn("ro", F.col("event_type").isin("view", "click"))
+    return O.call_batches(e, "user_id", ["ts", "event_id"], "ro").select("user_id", "event_id", "batch")
+
+
+@query("select p_partkey from part where regexp_matches(lower(p_name || ' ' || p_type), 'brass$|^a')")
+def search_tools(spark, sf):
+    tools = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("description"))
+    return O.search_tools(tools, "BRASS$|^A").select("p_partkey")
+
+
+@query("select count(*) as n, round(avg(quality), 6) as rate_with, round(avg(1 - toxic), 6) as rate_without, round(avg(quality) - avg(1 - toxic), 6) as lift from labels")
+def pass_lift(spark, sf):
+    runs = table(spark, sf, "labels").select(F.col("quality").alias("passed_with"), (1 - F.col("toxic")).alias("passed_without"))
+    return O.pass_lift(runs).select("n", *(T.r6(c).alias(c) for c in ("rate_with", "rate_without", "lift")))
+
+
+@query(f"with {METRICS} select round(avg(recall), 6) as mean, (select string_agg(cast(query_id as varchar), ',' order by recall, query_id) from (select query_id, recall from ev order by recall, query_id limit 3)) as worst, avg(recall) >= 0.05 as reached from ev")
+def metric_floor(spark, sf):
+    return E.metric_floor(metrics(spark, sf), "recall", 0.05).withColumn("mean", T.r6("mean"))
+
+
+@query("with w as (select doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as w from documents) select doc_id, md5(case when len(w) > 41 then array_to_string(w[1:20], ' ') || chr(10) || '[... ' || (len(w) - 41) || ' tokens left out ...]' || chr(10) || array_to_string(w[len(w) - 20:len(w)], ' ') else text end) as digest from w")
+def truncate_head_tail(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.head_and_tail("text", 41)).alias("digest"))
+
+
+@query("select conv_id, md5(string_agg(case turn % 3 when 0 then text when 1 then '[image: ' || role || ']' else '[audio]' end, chr(10) || chr(10) order by turn)) as digest from conversations group by 1")
+def multimodal_text(spark, sf):
+    t = turns(spark, sf).withColumns({"kind": F.element_at(F.array(F.lit("text"), F.lit("image"), F.lit("audio")), (F.col("turn") % 3 + 1).cast("int")), "about": F.when(F.col("turn") % 3 == 1, F.col("role"))})
+    return t.withColumn("part", T.part_text("kind", "text", "about")).groupBy("conv_id").agg(F.md5(A.joined("turn", "part", "\n\n")).alias("digest"))
