@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import map_batches, record, texts_of
+from .util import map_batches, record, released, texts_of
 
 WINDOW = 10
 #: Benchmark text of this many bytes is one block of queries; a larger benchmark is searched block by block.
@@ -190,7 +190,7 @@ def search(index: DataFrame, items: list[tuple[int, bytes]], window: int = WINDO
                 longs = pa.list_(pa.int64())
                 yield record(doc_id=ids, n_words=np.diff(begins).astype(np.int64), hits=pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(local.astype(np.int32))), items=pa.array([sorted(found.get(d, ())) for d in range(docs)], longs), near_items=pa.array([sorted(near.get(d, ())) for d in range(docs)], longs))
 
-    return index.mapInArrow(run, "doc_id long, n_words long, hits array<int>, items array<long>, near_items array<long>")
+    return index.mapInArrow(released(run), "doc_id long, n_words long, hits array<int>, items array<long>, near_items array<long>")
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, slack: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
