@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,6 +30,27 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
 
@@ -74,34 +96,73 @@ class Scanner:
                 found.append((-score, self.templates[i][0]))
         return (min(found)[1], -min(found)[0]) if found else None
 
+    def windows(self, words: list[str]) -> list[tuple[float, int, int, str]]:
+        """(Dice, first word, last word, licence) of the windows of template size that match, none overlapping another.
+
+        Every place is tried. Where windows overlap, the higher Dice wins, then the longer, then the first name.
+        """
+        at: dict[int, list[tuple[int, tuple[str, str]]]] = {}
+        for k, g in enumerate(zip(words, words[1:], strict=False)):
+            for i in self.holds.get(g, ()):
+                at.setdefault(i, []).append((k, g))
+        found = []
+        for i, hits in at.items():
+            name, own = self.templates[i]
+            size = self.size[i]
+            if len(hits) < self.least * size:
+                continue
+            held: Counter = Counter()
+            end = shared = 0
+            for k, g in hits:  # a window that begins at no bigram of the template holds no more than the next that does
+                while end < len(hits) and hits[end][0] < k + size:
+                    held[hits[end][1]] += 1
+                    shared += held[hits[end][1]] <= own[hits[end][1]]
+                    end += 1
+                if shared >= self.least * size:
+                    found.append((-shared / size, -size, name, k, hits[end - 1][0] + 1))
+                shared -= held[g] <= own[g]
+                held[g] -= 1
+        taken = bytearray(len(words))
+        chosen = []
+        for score, _, name, a, b in sorted(found):
+            if not any(taken[a : b + 1]):
+                taken[a : b + 1] = b"\1" * (b + 1 - a)
+                chosen.append((-score, a, b, name))
+        return chosen
+
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """(first line, last line, licence, Dice) of every matching unit, in order.
 
-        Units are each line and each run of two or more lines that are not blank. Lines inside a matching run that
-        match on their own are reported as well.
+        Units are each line, each run of two or more lines that are not blank, and the windows() of each such line or
+        run. Lines inside a matching run that match on their own are reported as well. A window that covers half the
+        words of a matching line or run of its licence is the same notice.
         """
         lines = text.split("\n")
         found = []
         begin = 0
         for k in range(len(lines) + 1):
             if k < len(lines) and lines[k].strip():
-                if hit := self.best_of(lines[k]):
-                    found.append((k, k, *hit))
                 continue
-            if k - begin > 1 and (hit := self.best_of(" ".join(lines[begin:k]))):
-                found.append((begin, k - 1, *hit))
+            if k > begin:
+                found += self.scan_run(begin, lines[begin:k])
             begin = k + 1
         return sorted(found)
 
-    def best_of(self, unit: str) -> tuple[str, float] | None:
-        # a unit that reaches the bound shares bigrams, so it has words of the templates; most lines have none
-        return self.best(unit) if any(w in self.first for w in unit.lower().split()) else None
-
-    @property
-    def first(self) -> set[str]:
-        if not hasattr(self, "_first"):
-            self._first = {w for g in self.holds for w in g}
-        return self._first
+    def scan_run(self, begin: int, lines: list[str]) -> list[tuple[int, int, str, float]]:
+        words = WORD.findall("\n".join(lines).lower())
+        if not any(g in self.holds for g in zip(words, words[1:], strict=False)):
+            return []  # a unit that reaches the bound shares bigrams; most runs have none
+        edges = [0]
+        for line in lines:
+            edges.append(edges[-1] + len(WORD.findall(line.lower())))
+        units = [(k, k) for k in range(len(lines))] + ([(0, len(lines) - 1)] if len(lines) > 1 else [])
+        found = [(a, b, *hit) for a, b in units if (hit := self.best(" ".join(lines[a : b + 1])))]
+        whole = list(found)
+        for score, a, b, name in self.windows(words):
+            same = lambda u: u[2] == name and 2 * (min(b + 1, edges[u[1] + 1]) - max(a, edges[u[0]])) >= edges[u[1] + 1] - edges[u[0]]  # noqa: B023, E731
+            if not any(same(u) for u in whole):
+                found.append((bisect_right(edges, a) - 1, bisect_right(edges, b) - 1, name, score))
+        return [(begin + a, begin + b, name, score) for a, b, name, score in found]
 
 
 def scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

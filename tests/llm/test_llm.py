@@ -260,6 +260,16 @@ def test_licenses(spark):
         assert scanner.best(unit) == want
 
 
+def test_licenses_inside_lines_and_runs(spark):
+    long = licenses.TEMPLATES[6][1]
+    other = "plain words of a text that goes on and on without any notice at all "
+    wrapped = "\n".join([other, *re.findall(r".{1,50}(?:\s|$)", long), other, other])
+    rows = [(1, "a b\nLicensed under CC BY-NC 4.0.\nc d"), (2, other * 3 + "Released under the MIT License. " + other * 3), (3, wrapped), (4, other * 9), (5, other + "Licensed under the ISC License. " + other + "Licensed under CC BY-NC-SA 4.0. " + other), (6, "Licensed under the GNU things of the Lesser world"), (7, long.replace("GNU", "GNU Affero"))]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
+    assert [(got[i].license, got[i].score, got[i].n_matches) for i in range(1, 8)] == [("CC-BY-NC-4.0", 1, 1), ("MIT", 1, 1), ("GPL-3.0", 1, 1), (None, None, 0), ("CC-BY-NC-SA-4.0", 1, 2), (None, None, 0), ("AGPL-3.0", 1, 1)]
+    assert (got[3].spans[0]["first"], got[3].spans[0]["last"]) == (1, len(wrapped.split("\n")) - 3)
+
+
 def plain_counts(t):
     words = re.findall(r"[^\x20\x09-\x0d]+", t or "")
     grams = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
