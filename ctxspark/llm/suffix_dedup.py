@@ -243,7 +243,7 @@ class Shard:
         return (low < len(self.windows)) & (order(self.windows[at], places) == 0) if len(self.windows) else np.zeros(len(places), bool)
 
 
-RANGE = "id long, tk int, start int, stop int"
+RANGE = "id long, tk long, start int, stop int"
 
 
 def _pivot_rows(least: int):
@@ -273,10 +273,10 @@ def _pivot_rows(least: int):
             again = (i != i[first]) | (t != t[first]) | (pos != pos[first])
             a, b, o = runs((pos - d0)[again], (pos - d0 + own + least)[again], doc[again])
             keep = ~again
-            packed = (pos[keep] << 33 | d0[keep] << 26 | own[keep] << 19 | t[keep]).astype(np.int64)
+            packed = (pos[keep] << 14 | d0[keep] << 7 | own[keep]).astype(np.int64)
             seen = (c[keep] << np.uint64(20) | e1[keep] << np.uint64(10) | e2[keep]).view(np.int64)
             spare = np.zeros(len(a), np.int64)
-            return record(h=np.r_[h[keep].view(np.int64), mix(a.astype(np.uint64) + ids_[o].view(np.uint64)).view(np.int64)], id=np.r_[i[keep], ids_[o]], seen=np.r_[seen, spare], at=np.r_[packed, a << 33 | tks_[o]], stop=pa.array(np.r_[np.zeros(keep.sum(), np.int64), b].astype(np.int32)))
+            return record(h=np.r_[h[keep].view(np.int64), mix(a.astype(np.uint64) + ids_[o].view(np.uint64)).view(np.int64)], id=np.r_[i[keep], ids_[o]], tk=np.r_[t[keep], tks_[o]], seen=np.r_[seen, spare], at=np.r_[packed, a], stop=pa.array(np.r_[np.zeros(keep.sum(), np.int64), b].astype(np.int32)))
 
         ids, tks, bases, texts, size = [], [], [], [], 0
         for batch in batches:
@@ -303,13 +303,13 @@ def _by_pivot(least: int):
     half = (least - K) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(h: np.ndarray, ids: np.ndarray, seen: np.ndarray, at: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+        def settle(h: np.ndarray, ids: np.ndarray, tk: np.ndarray, seen: np.ndarray, at: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
             known = stop > 0
-            ki, kt, ka, kb = ids[known], at[known] & 0x7FFFF, at[known] >> 33, stop[known].astype(np.int64)
-            h, ids, seen, at = h[~known], ids[~known], seen[~known], at[~known]
+            ki, kt, ka, kb = ids[known], tk[known], at[known], stop[known].astype(np.int64)
+            h, ids, tk, seen, at = h[~known], ids[~known], tk[~known], seen[~known], at[~known]
             u = seen.view(np.uint64)
             c, e1, e2 = u >> np.uint64(20), (u >> np.uint64(10)) & np.uint64(1023), u & np.uint64(1023)
-            pos, d0, own, tk = at >> 33, at >> 26 & 127, at >> 19 & 127, at & 0x7FFFF
+            pos, d0, own = at >> 14, at >> 7 & 127, at & 127
             order = np.lexsort((pos, tk, ids, u, h))
             h, ids, u, c, e1, e2, pos, d0, own, tk = (x[order] for x in (h, ids, u, c, e1, e2, pos, d0, own, tk))
             n = len(h)
@@ -341,11 +341,11 @@ def _by_pivot(least: int):
                 outs.append((ids[r][has], tk[r][has], a[has], b[has], route[has].view(np.int64)))
             i, t, a, b, route = (np.concatenate([x[k] for x in outs]) for k in range(5))
             zero = np.zeros(len(ki) + len(dup[0]), np.int64)
-            return record(id=np.r_[ki, dup[0], i], tk=pa.array(np.r_[kt, dup[1], t].astype(np.int32)), start=pa.array(np.r_[ka, dup[2], a].astype(np.int32)), stop=pa.array(np.r_[kb, dup[3], np.zeros(len(i), np.int64)].astype(np.int32)), last=pa.array(np.r_[zero, b].astype(np.int32)), route=np.r_[zero, route])
+            return record(id=np.r_[ki, dup[0], i], tk=np.r_[kt, dup[1], t], start=pa.array(np.r_[ka, dup[2], a].astype(np.int32)), stop=pa.array(np.r_[kb, dup[3], np.zeros(len(i), np.int64)].astype(np.int32)), last=pa.array(np.r_[zero, b].astype(np.int32)), route=np.r_[zero, route])
 
         parts, size = [], 0
         for batch in batches:
-            parts.append([batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "id", "seen", "at", "stop")])
+            parts.append([batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "id", "tk", "seen", "at", "stop")])
             size += batch.num_rows
             if size >= 200_000 and parts[-1][0][-1] != parts[0][0][0]:
                 cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
@@ -365,7 +365,7 @@ def _cut_contexts(least: int):
             for i, t, x, needs in zip(*(batch.column(k).to_pylist() for k in ("id", "tk", "text", "needs")), strict=True):
                 out += [(n["route"], i, t, n["start"], x[n["start"] : n["last"] + least]) for n in needs]
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield record(route=pa.array(cols[0], pa.int64()), id=pa.array(cols[1], pa.int64()), tk=pa.array(cols[2], pa.int32()), start=pa.array(cols[3], pa.int32()), context=pa.array(cols[4], pa.binary()))
+            yield record(route=pa.array(cols[0], pa.int64()), id=pa.array(cols[1], pa.int64()), tk=pa.array(cols[2], pa.int64()), start=pa.array(cols[3], pa.int32()), context=pa.array(cols[4], pa.binary()))
 
     return run
 
@@ -396,7 +396,7 @@ def _sort_contexts(least: int):
             earlier = [*earlier, shard] if rows[0][0] == rows[-1][0] else [shard]
             going = rows[-1][0]
             a, b, o = runs(pos[dup], pos[dup] + least, rec[dup])
-            return record(id=ids[o], tk=pa.array(tks[o].astype(np.int32)), start=pa.array(a.astype(np.int32)), stop=pa.array(b.astype(np.int32)))
+            return record(id=ids[o], tk=tks[o], start=pa.array(a.astype(np.int32)), stop=pa.array(b.astype(np.int32)))
 
         rows, size, before = [], 0, None
         for batch in batches:
@@ -437,7 +437,7 @@ def _remove(decoded: bool):
 
 def _keys(id_col: str, text_col: str) -> list[Column]:
     text = F.col(text_col).cast("string")
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.xxhash64(text).bitwiseAND(0x7FFFF), F.lit(0)).cast("int").alias("tk"), F.coalesce(F.encode(text, "utf-8"), F.lit(b"")).alias("text")]
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("tk"), F.coalesce(F.encode(text, "utf-8"), F.lit(b"")).alias("text")]
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, decoded: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -447,16 +447,16 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     row brings along, in a struct `more`.
     Documents are ordered by id, nulls first. Matches never cross documents. A null text is empty. Repeated rows
     (equal id and text) are one document, each row gets its result; different texts under one id are different
-    documents, ordered by a hash of the text. `least` is from K + 2 to K + 127. An empty table gives no rows.
+    documents, ordered by a 64-bit hash of the text. `least` is from K + 2 to K + 127. An empty table gives no rows.
     """
     if not K + 2 <= least <= K + 127:
         raise ValueError("least is out of range")
     keyed = df.select(*_keys(id_col, text_col))
     with_more = keyed if not carry else df.select(*_keys(id_col, text_col), F.struct(*carry).alias("more"))
-    rows = map_batches(keyed, _pivot_rows(least), "h long, id long, seen long, at long, stop int")
+    rows = map_batches(keyed, _pivot_rows(least), "h long, id long, tk long, seen long, at long, stop int")
     judged = saved(map_batches(rows.repartition("h").sortWithinPartitions("h"), _by_pivot(least), RANGE + ", last int, route long"))
     needs = judged.where("stop = 0").groupBy("id", "tk").agg(F.collect_list(F.struct("route", "start", "last")).alias("needs"))
-    contexts = map_batches(keyed.hint("merge").join(needs, ["id", "tk"]).select("id", "tk", "text", "needs"), _cut_contexts(least), "route long, id long, tk int, start int, context binary")
+    contexts = map_batches(keyed.hint("merge").join(needs, ["id", "tk"]).select("id", "tk", "text", "needs"), _cut_contexts(least), "route long, id long, tk long, start int, context binary")
     sorted_ = contexts.repartition("route").sortWithinPartitions("route", "id", "tk", "start")
     found = judged.where("stop > 0").select("id", "tk", "start", "stop").union(map_batches(sorted_, _sort_contexts(least), RANGE))
     found = found.groupBy("id", "tk").agg(F.collect_list(F.struct("start", "stop")).alias("found"))

@@ -111,6 +111,27 @@ def test_suffix_dedup_odd(spark):
     assert suffix_dedup.dedup(docs(spark, [(1, "a")]).limit(0)).count() == 0
 
 
+def test_suffix_dedup_texts_of_one_id(spark):
+    """Texts of one id whose hashes agree in their low 19 bits are different documents all the same."""
+    import xxhash
+
+    rnd = random.Random(14)
+    said = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    passage, seen = said(150), {}
+    while True:
+        text = passage + said(130)
+        key = xxhash.xxh64_intdigest(text.encode(), 42)
+        if key & 0x7FFFF in seen:
+            break
+        seen[key & 0x7FFFF] = text
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64 - 2**63
+    pair = sorted([text, seen[key & 0x7FFFF]], key=signed)
+    for i in (None, 3):
+        got = suffix_dedup.digests(suffix_dedup.dedup(docs(spark, [(i, t) for t in pair]))).collect()
+        want = suffix_dedup.brute_force({k: t.encode() for k, t in enumerate(pair)}, 100)
+        assert sorted((r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want.values()) and want[1][0] >= 150
+
+
 def test_suffix_array_and_prefixes():
     rnd = np.random.default_rng(3)
     parts = [bytes(rnd.integers(97, 99, rnd.integers(1, 90)).astype(np.uint8)) for _ in range(40)] + [b"a\0\0b", b"a", b"a\0"]
