@@ -149,15 +149,106 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fp.join(final, "fp").select(id_col, "fp", "component_id", "copies")
 
 
+#: Near copies of the pipeline: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+COPY_SHINGLE, COPY_LEAST = 5, 0.8
+#: Candidates agree in all of DEPTH minimal hashes of one of BANDS bands: a pair of 0.8 is missed with (1 - 0.8 ** 5) ** 24, 7 in 100,000.
+BANDS, DEPTH = 24, 5
+#: Each text of a band's group is a candidate with this many first ones of the group and with the one before it.
+LEADERS = 4
+_MULTIPLIERS = np.random.default_rng(20240301).integers(1, 2**63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: bytes, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """Hashes of the text's shingles, with repeats; a shorter text is one shingle, also one without words."""
+    words = text.translate(LOWER).split()
+    if len(words) < shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))), np.uint64, len(words) - shingle + 1)
+
+
+def bands(text: bytes) -> np.ndarray:
+    """One number for each band of the text's minimal shingle hashes."""
+    hashes = shingle_hashes(text)
+    low = np.full(BANDS * DEPTH, 2**64 - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), 2048):
+            low = np.minimum(low, (hashes[at : at + 2048, None] * _MULTIPLIERS).min(axis=0))
+        out = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for x in low.reshape(BANDS, DEPTH).T:
+            out = (out ^ x) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two arrays of distinct values."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def copy_candidates(banded: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of the keys of banded(key, bands) that share a band; see LEADERS for large groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band, lead, last = None, [], None
+        for batch in batches:
+            a, b = [], []
+            for x, key in zip(batch.column("band").to_pylist(), batch.column("key").to_pylist(), strict=True):
+                if x != band:
+                    band, lead, last = x, [key], key
+                    continue
+                near = lead if last in lead else [*lead, last]
+                a += near
+                b += [key] * len(near)
+                if len(lead) < LEADERS:
+                    lead.append(key)
+                last = key
+            yield record(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
+
+    rows = banded.select(F.explode("bands").alias("band"), "key")
+    return rows.repartition("band").sortWithinPartitions("band", "key").mapInArrow(run, "a long, b long").distinct()
+
+
+def copy_links(pairs: DataFrame, texts: DataFrame, least: float = COPY_LEAST) -> DataFrame:
+    """The pairs(a, b) whose texts(key, text) have a Jaccard similarity of `least` or more, by their whole shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            for a, b, text in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), texts_of(batch), strict=True):
+                own = np.unique(shingle_hashes(text))
+                if b is None:
+                    now, first = a, own
+                elif a == now and jaccard(first, own) >= least:
+                    out.append((a, b))
+            yield record(a=pa.array([x[0] for x in out], pa.int64()), b=pa.array([x[1] for x in out], pa.int64()))
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    held = saved(texts.join(needed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+    lead = pairs.select("a").distinct().join(held, F.col("a") == F.col("key")).select("a", F.lit(None).cast("long").alias("b"), "text")
+    rows = pairs.join(held, F.col("b") == F.col("key")).select("a", "b", "text").union(lead)
+    return map_batches(rows.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()), run, "a long, b long")
+
+
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, text_key, n): of each group of near duplicates one document, and how many rows repeat it exactly.
+    """(id_col, text_key, n): of each group of near copies one document, and how many rows repeat it exactly.
 
-    It is the one with the smallest id, nulls last, then the smallest text_key(). So rows without an id are kept
-    apart by their texts, and so are different texts under one id. An empty table gives no rows.
+    Near copies share COPY_LEAST of their COPY_SHINGLE-word shingles; a group is what they link. The document is the
+    one with the smallest id, nulls last, then the smallest text_key(). So rows without an id are kept apart by their
+    texts, and so are different texts under one id. An empty table gives no rows.
     """
-    fp = saved(fingerprints(df, id_col, text_col))
-    rows = fp.groupBy("fp", id_col, "text_key").agg(F.count("*").alias("n"))
-    node = rows.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col), "text_key", "n")).alias("low"))
-    roots = saved(components(near_links(node.select("fp"))))
-    known = node.join(roots, node.fp == roots.node, "left").select("low", F.coalesce("root", "fp").alias("root"))
-    return known.groupBy("root").agg(F.min("low").alias("low")).select(f"low.{id_col}", "low.text_key", "low.n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bands(t) for t in texts_of(batch)]
+            values = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            yield record(id=batch.column("id"), key=batch.column("key"), bands=pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, BANDS, dtype=np.int32)), pa.array(values)))
+
+    texts = df.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    marked = saved(map_batches(texts, run, "id long, key long, bands array<long>"))
+    low = marked.groupBy("id", "key").agg(F.count("*").alias("n")).groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", F.col("key").alias("text_key"), "n")).alias("low"))
+    pairs = saved(copy_candidates(marked.groupBy("key").agg(F.first("bands").alias("bands"))))
+    roots = saved(components(copy_links(pairs, texts.select("key", "text"))))
+    known = low.join(roots, low.key == roots.node, "left").select("low", F.coalesce("root", "key").alias("root"))
+    return known.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.id").alias(id_col), "low.text_key", "low.n")

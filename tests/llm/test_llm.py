@@ -439,5 +439,29 @@ def test_pipeline_stages_odd_rows(spark, tmp_path):
     assert all(r[1] == "" or len(r[1]) < 100 for r in kept if r[0] == 8)
 
 
+def test_pipeline_near_copies(spark, tmp_path):
+    """Texts that share 0.8 of their 5-word shingles are near copies, also where SimHash is 4 to 10 bits away."""
+    import corpus_pipeline
+
+    rnd = random.Random(15)
+    said = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, want, close = [], [], 0
+    for k in range(60):
+        base = said(150)
+        other = list(base)
+        for _ in range(1 + k % 8):
+            other[rnd.randrange(150)] = "changed"
+        a, b = grams(base), grams(other)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        want += [2 * k] if len(a & b) >= 0.8 * len(a | b) else [2 * k, 2 * k + 1]
+        close += len(a & b) >= 0.8 * len(a | b)
+    assert 15 < close < 45
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), str(tmp_path)).collect()) == want
+    many = [" ".join(said(3) + [f"w{j}" for j in range(150)]) for _ in range(50)]
+    kept = corpus_pipeline.near_dedup(spark, docs(spark, list(enumerate(many))), str(tmp_path)).collect()
+    assert [r.doc_id for r in kept] == [0]
+
+
 def test_language_letters():
     assert langid.words_of("x\u00b2 \u00bd \u2167 Abc 12_d") == ["x", "abc", "d"]
