@@ -22,7 +22,7 @@ WINDOW = 10
 BLOCK_BYTES = 8_000_000
 #: A to Z lower-cased, digits, a to z and everything beyond ASCII kept, the rest made spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-INDEX = "shard string, doc_ids array<long>, doc_starts array<int>, terms array<string>, offsets array<int>, positions array<int>"
+INDEX = "shard string, doc_ids array<long>, text_keys array<long>, doc_starts array<int>, terms array<string>, offsets array<int>, positions array<int>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -41,32 +41,34 @@ def build_index(df: DataFrame, terms: list[bytes], id_col: str = "doc_id", text_
         lookup = known.value
         names = list(lookup)
 
-        def shard(docs: list, starts: list[int], codes: list[np.ndarray], n: int) -> pa.RecordBatch:
+        def shard(docs: list, keys: list, starts: list[int], codes: list[np.ndarray], n: int) -> pa.RecordBatch:
             code = np.concatenate(codes) if codes else np.zeros(0, np.int32)
             at = np.flatnonzero(code >= 0)
             order = np.argsort(code[at], kind="stable")
             held, first = np.unique(code[at][order], return_index=True)
             key = hashlib.md5(f"{docs[0]} {docs[-1]} {n}".encode()).hexdigest() if docs else ""
-            row = {"shard": key, "doc_ids": docs, "doc_starts": [*starts, n], "terms": [names[i].decode("utf-8", "replace") for i in held], "offsets": [*first.tolist(), len(at)], "positions": at[order].astype(np.int32)}
-            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            row = {"shard": key, "doc_ids": docs, "text_keys": keys, "doc_starts": [*starts, n], "terms": [names[i].decode("utf-8", "replace") for i in held], "offsets": [*first.tolist(), len(at)], "positions": at[order].astype(np.int32)}
+            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
-        docs, starts, codes, n, size = [], [], [], 0, 0
+        docs, keys, starts, codes, n, size = [], [], [], [], 0, 0
         for batch in batches:
-            for doc, text in zip(batch.column("id").to_pylist(), texts_of(batch), strict=True):
+            for doc, text_key, text in zip(batch.column("id").to_pylist(), batch.column("text_key").to_pylist(), texts_of(batch), strict=True):
                 words = words_of(text)
                 docs.append(doc)
+                keys.append(text_key)
                 starts.append(n)
                 codes.append(np.fromiter((lookup.get(w, -1) for w in words), np.int32, len(words)))
                 n += len(words)
                 size += len(text) + 64
                 if size >= shard_bytes:
-                    yield shard(docs, starts, codes, n)
-                    docs, starts, codes, n, size = [], [], [], 0, 0
+                    yield shard(docs, keys, starts, codes, n)
+                    docs, keys, starts, codes, n, size = [], [], [], [], 0, 0
         if docs:
-            yield shard(docs, starts, codes, n)
+            yield shard(docs, keys, starts, codes, n)
 
-    return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, INDEX)
+    text = F.col(text_col).cast("string")
+    return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text")), run, INDEX)
 
 
 def phrase_starts(post: dict[str, np.ndarray], phrases: list[tuple[str, ...]], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +144,7 @@ def benchmark_blocks(bench: DataFrame, id_col: str, text_col: str, block_bytes:
 
 
 def search(index: DataFrame, items: list[tuple[int, bytes]], window: int = WINDOW, slack: int | None = None) -> DataFrame:
-    """(doc_id, n_words, hits, items, near_items) for every document of the index.
+    """(doc_id, text_key, n_words, hits, items, near_items) for every document of the index.
 
     hits: the words, counted from 0, inside an occurrence of any window of `window` consecutive words of an item; an
     item of fewer words, but not none, is one window. items: those with occurring windows. near_items, if `slack` is
@@ -188,16 +190,16 @@ def search(index: DataFrame, items: list[tuple[int, bytes]], window: int = WINDO
                 docs = len(begins) - 1
                 local = hit - np.repeat(begins[:-1], counts)
                 longs = pa.list_(pa.int64())
-                yield record(doc_id=ids, n_words=np.diff(begins).astype(np.int64), hits=pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(local.astype(np.int32))), items=pa.array([sorted(found.get(d, ())) for d in range(docs)], longs), near_items=pa.array([sorted(near.get(d, ())) for d in range(docs)], longs))
+                yield record(doc_id=ids, text_key=get("text_keys"), n_words=np.diff(begins).astype(np.int64), hits=pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(local.astype(np.int32))), items=pa.array([sorted(found.get(d, ())) for d in range(docs)], longs), near_items=pa.array([sorted(near.get(d, ())) for d in range(docs)], longs))
 
-    return index.mapInArrow(released(run), "doc_id long, n_words long, hits array<int>, items array<long>, near_items array<long>")
+    return index.mapInArrow(released(run), "doc_id long, text_key long, n_words long, hits array<int>, items array<long>, near_items array<long>")
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, slack: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """search() of all of `bench` over all of `docs`, in blocks of the benchmark; one block needs no shuffle at all.
 
-    Null texts have no words; null items are ignored; repeated rows of a document are kept apart unless there are
-    several blocks, where rows of one id are merged; an empty benchmark contaminates nothing.
+    Null texts have no words; null items are ignored; an empty benchmark contaminates nothing. Every row of docs gives
+    one row: blocks are merged by id and hash of the text, and rows that agree in both come out as often as they went in.
     """
     found: list[DataFrame] = []
     for block in benchmark_blocks(bench, item_col, item_text, block_bytes):
@@ -210,5 +212,5 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         for f in found[1:]:
             union = union.unionByName(f)
         merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-        found = [union.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *(merged(c) for c in ("hits", "items", "near_items")))]
-    return found[0].withColumnRenamed("doc_id", id_col)
+        found = [union.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), (F.count("*") / len(found)).cast("int").alias("rows"), *(merged(c) for c in ("hits", "items", "near_items"))).withColumn("row", F.explode(F.sequence(F.lit(1), "rows"))).drop("row", "rows")]
+    return found[0].drop("text_key").withColumnRenamed("doc_id", id_col)

@@ -364,6 +364,14 @@ def test_decontamination(spark):
     assert near == {1: [1], 2: []}
 
 
+def test_decontamination_rows_of_blocks(spark):
+    """Rows without an id, of one id and repeated ones come out one by one, however many blocks the benchmark has."""
+    rows = [(None, "a b c d"), (None, "x y z"), (3, "a b"), (3, "e f g h"), (3, "e f g h"), (4, None), (4, "")]
+    bench = spark.createDataFrame([(1, "a b"), (2, "f g"), (5, "y")], "item_id long, text string")
+    shape = lambda size: sorted(((r.doc_id, r.n_words, r.hits, r.items) for r in decontam.contamination(docs(spark, rows), bench, block_bytes=size).collect()), key=str)
+    assert shape(1) == shape(8_000_000) and len(shape(1)) == len(rows)
+
+
 def test_token_counts(spark, encoder):
     rnd = random.Random(14)
     some = lambda n: "".join(rnd.choice(["the", " ", "  ", "\n", "é", "re", "'s", "'", "12", "!", " a", "s"]) for _ in range(n))
