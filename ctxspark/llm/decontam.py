@@ -8,6 +8,7 @@ each, moved back by the term's offset, are intersected into the starts of exact
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,26 +109,65 @@ def phrase_starts(post: dict[str, np.ndarray], phrases: list[tuple[str, ...]], n
     return phrase, start
 
 
-def near_spans(post: dict[str, np.ndarray], words: tuple[str, ...], slack: int) -> np.ndarray:
-    """Positions of the rarest term of `words` at which all its terms stand within len(words) + slack words, in any order."""
-    none = np.zeros(0, np.int32)
-    lists = sorted((post.get(w, none) for w in set(words)), key=len)
-    at, reach = lists[0].astype(np.int64), len(words) + slack
-    low, high = at, at
-    for other in lists[1:]:
-        if not len(other) or not len(at):
-            return np.zeros(0, np.int64)
-        i = np.searchsorted(other, at)
-        before = at - other[np.maximum(i - 1, 0)]
-        after = other[np.minimum(i, len(other) - 1)] - at
-        before = np.where((i > 0) & (before >= 0), before, 1 << 40)
-        after = np.where((i < len(other)) & (after >= 0), after, 1 << 40)
-        left = before <= after
-        near = np.where(left, at - before, at + after)
-        low, high = np.minimum(low, near), np.maximum(high, near)
-        keep = high - low < reach
-        at, low, high = at[keep], low[keep], high[keep]
-    return at
+def near_spans(post: dict[str, np.ndarray], phrases: list[tuple[str, ...]], begins: np.ndarray, slack: int) -> set[tuple[int, int]]:
+    """(document, phrase number): all words of the phrase, repeated ones as often as there, stand in one document
+    within len(phrase) + slack words, in any order.
+
+    Every posting of a phrase's rarest word is tried: what lies in reach of it must hold enough of each other word,
+    the rarest on, which leaves few places; there the shortest span is swept.
+    """
+    number = {t: i for i, t in enumerate(post)}
+    n = int(begins[-1])
+    wide = n + 1
+    places = np.concatenate([p.astype(np.int64) + i * wide for i, p in enumerate(post.values())]) if post else np.zeros(0, np.int64)
+    which, at, plans = [], [], []
+    for p, words in enumerate(phrases):
+        if all(w in number for w in words):
+            need = sorted(Counter(words).items(), key=lambda x: len(post[x[0]]))
+            rare = post[need[0][0]]
+            which.append(np.full(len(rare), p, np.int64))
+            at.append(rare.astype(np.int64))
+            plans.append((p, need))
+    if not which:
+        return set()
+    most = max(len(need) for _, need in plans)
+    term, times = np.full((len(phrases), most), -1, np.int64), np.zeros((len(phrases), most), np.int64)
+    for p, need in plans:
+        term[p, : len(need)] = [number[w] for w, _ in need]
+        times[p, : len(need)] = [c for _, c in need]
+    reach = np.array([len(w) for w in phrases], np.int64) + slack
+    phrase, a = np.concatenate(which), np.concatenate(at)
+    for k in range(most):
+        doc = np.searchsorted(begins, a, "right") - 1
+        low, high = np.maximum(a - reach[phrase] + 1, begins[doc]), np.minimum(a + reach[phrase], begins[doc + 1])
+        t = np.maximum(term[phrase, k], 0) * wide
+        keep = (term[phrase, k] < 0) | (np.searchsorted(places, t + high) - np.searchsorted(places, t + low) >= times[phrase, k])
+        phrase, a = phrase[keep], a[keep]
+    found: set[tuple[int, int]] = set()
+    doc = np.searchsorted(begins, a, "right") - 1
+    for p, d, x in zip(phrase.tolist(), doc.tolist(), a.tolist(), strict=True):
+        if (d, p) not in found:
+            low, high = max(x - int(reach[p]) + 1, int(begins[d])), min(x + int(reach[p]), int(begins[d + 1]))
+            if shortest_span(post, phrases[p], low, high) <= reach[p]:
+                found.add((d, p))
+    return found
+
+
+def shortest_span(post: dict[str, np.ndarray], words: tuple[str, ...], low: int, high: int) -> int:
+    """Words in the shortest span within [low, high) that holds all `words`, repeated ones as often; 1 << 40 if none does."""
+    lack = Counter(words)
+    stand = sorted((int(x), w) for w in lack for x in post[w][np.searchsorted(post[w], low) : np.searchsorted(post[w], high)])
+    missing, first, best = len(words), 0, 1 << 40
+    for x, w in stand:
+        missing -= lack[w] > 0
+        lack[w] -= 1
+        while not missing:
+            begin, v = stand[first]
+            best = min(best, x - begin + 1)
+            lack[v] += 1
+            missing += lack[v] > 0
+            first += 1
+    return best
 
 
 def benchmark_blocks(bench: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
@@ -148,20 +188,17 @@ def search(index: DataFrame, items: list[tuple[int, bytes]], window: int = WINDO
 
     hits: the words, counted from 0, inside an occurrence of any window of `window` consecutive words of an item; an
     item of fewer words, but not none, is one window. items: those with occurring windows. near_items, if `slack` is
-    given: items whose first window's terms stand together, in any order, within that many words more.
+    given: items of which any window's words stand together, in any order, within that many words more.
     """
     phrases: dict[tuple[str, ...], set[int]] = {}
-    heads: list[tuple[int, tuple[str, ...]]] = []
     for item, text in items:
         words = [w.decode("utf-8", "replace") for w in words_of(text)]
         for k in range(max(1, len(words) - window + 1) if words else 0):
             phrases.setdefault(tuple(words[k : k + window]), set()).add(item)
-        if words:
-            heads.append((item, tuple(words[:window])))
-    shared = index.sparkSession.sparkContext.broadcast((list(phrases), [sorted(x) for x in phrases.values()], heads))
+    shared = index.sparkSession.sparkContext.broadcast((list(phrases), [sorted(x) for x in phrases.values()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, owners, heads = shared.value
+        phrases, owners = shared.value
         sizes = np.array([len(p) for p in phrases], np.int64)
         for batch in batches:
             for r in range(batch.num_rows):
@@ -184,9 +221,8 @@ def search(index: DataFrame, items: list[tuple[int, bytes]], window: int = WINDO
                     found.setdefault(d, set()).update(owners[p])
                 near: dict[int, set[int]] = {}
                 if slack is not None:
-                    for item, words in heads:
-                        for d in set((np.searchsorted(begins, near_spans(post, words, slack), "right") - 1).tolist()):
-                            near.setdefault(d, set()).add(item)
+                    for d, p in near_spans(post, phrases, begins.astype(np.int64), slack):
+                        near.setdefault(d, set()).update(owners[p])
                 docs = len(begins) - 1
                 local = hit - np.repeat(begins[:-1], counts)
                 longs = pa.list_(pa.int64())

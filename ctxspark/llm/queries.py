@@ -73,6 +73,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
+def op8_near_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches, which the SQL of op8_decontaminate has no column for."""
+    found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), slack=5)
+    items = F.array_join(F.array_sort(F.col("near_items").cast("array<string>")), ",")
+    return found.select("doc_id", F.size("near_items").cast("long").alias("n_near"), F.sha2(items.cast("binary"), 256).alias("near_sha256"))
+
+
 OP8_SQL = r"""
 with dw as (select doc_id, string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), ' ') as w0 from documents),
 d as (select doc_id, list_filter(w0, lambda x: x <> '') as w from dw),
@@ -121,7 +128,7 @@ from e group by conv_id
 def queries() -> dict:
     from corpus_pipeline import run
 
-    ops = [op1_suffix_dedup, op2_language_id, op3_simhash, op4_byte_bpe, op5_url_filter, op6_license_scan, op7_quality_crf, op8_decontaminate, op9_token_counts, op10_chat_format]
+    ops = [op1_suffix_dedup, op2_language_id, op3_simhash, op4_byte_bpe, op5_url_filter, op6_license_scan, op7_quality_crf, op8_decontaminate, op8_near_items, op9_token_counts, op10_chat_format]
     return {f.__name__: f for f in ops} | {"pipeline": run}
 
 

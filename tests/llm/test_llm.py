@@ -372,6 +372,24 @@ def test_decontamination_rows_of_blocks(spark):
     assert shape(1) == shape(8_000_000) and len(shape(1)) == len(rows)
 
 
+def test_decontamination_near(spark):
+    from itertools import combinations
+
+    rnd = random.Random(16)
+    w = lambda n: [rnd.choice("abcdefgh") for _ in range(n)]
+    items = [(1, "a b c"), (2, "p q r s t u v w x y one two three"), (3, "m m n")] + [(k, " ".join(w(4))) for k in range(4, 12)]
+    rows = [(1, "z b z z a z c b"), (2, "three z two one y x w v u t s"), (3, "m n z z z z z z z m"), (4, "m n m"), (5, "one two three")] + [(k, " ".join(w(rnd.randrange(25)))) for k in range(6, 60)]
+
+    def spans(words, text, slack):
+        return any(sorted(text[i] for i in c) == sorted(words) for a in range(len(text)) for c in combinations(range(a, min(len(text), a + len(words) + slack)), len(words)) if c[0] == a)
+
+    got = {r.doc_id: r.near_items for r in decontam.contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), slack=2).collect()}
+    assert got[2] == [2] and 3 not in got[3] and 3 in got[4] and got[5] == [] and 1 in got[1]
+    small = [(i, q.split()) for i, q in items if len(q.split()) < 10]
+    for k, t in rows:
+        assert [i for i in got[k] if i != 2] == sorted(i for i, q in small if spans(q, t.split(), 2)), k
+
+
 def test_token_counts(spark, encoder):
     rnd = random.Random(14)
     some = lambda n: "".join(rnd.choice(["the", " ", "  ", "\n", "é", "re", "'s", "'", "12", "!", " a", "s"]) for _ in range(n))
