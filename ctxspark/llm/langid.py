@@ -98,13 +98,17 @@ def fit(train: DataFrame, pieces: list[bytes], per_language: int = 300, rounds:
     """The languages of train(lang, text) and P(piece | language), fitted on at most `per_language` rows of each.
 
     The rows are those with the smallest hashes of their texts, of 20 to 20,000 characters, so that the sample is
-    bounded and repeatable; copies count once; null langs are left out. The counts are expected counts over all segmentations.
+    bounded and repeatable; a language without such texts is fitted on its others, 20,000 characters of each; copies count once; null langs are left out. The counts are expected counts over all segmentations.
     """
-    counts = {r.lang: r["count"] for r in train.where("lang is not null").groupBy("lang").count().collect()}
+    usual = F.col("text").isNotNull() & F.length("text").between(20, 20000)
+    known = train.where("lang is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    counted = known.groupBy("lang").agg(F.approx_count_distinct(F.when(usual, F.col("h"))).alias("usual"), F.approx_count_distinct(F.when(F.length("text") > 0, F.col("h"))).alias("any")).collect()
+    counts = {r.lang: max(1, r.usual or r.any) for r in counted}
+    odd = [r.lang for r in counted if not r.usual]
     if not counts:
         return [], np.zeros((len(pieces) + 1, 0))
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * per_language / n))))[F.col("lang")]
-    rows = train.where("lang is not null and length(text) between 20 and 20000").select("lang", "text", F.xxhash64("text").alias("h"))
+    rows = known.where(usual | (F.col("lang").isin(odd) & (F.length("text") > 0))).withColumn("text", F.substring("text", 1, 20000))
     near = rows.where(F.pmod("h", F.lit(1 << 30)) < share * float(1 << 30)).distinct()  # about four times the sample; the rest is never sorted, and copies are one row
     sample: dict[str, list[str]] = {}
     for r in near.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "text"))).where(F.col("n") <= per_language).orderBy("lang", "n").select("lang", "text").collect():

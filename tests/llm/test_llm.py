@@ -489,5 +489,20 @@ def test_pipeline_near_copies(spark, tmp_path):
     assert [r.doc_id for r in kept] == [0]
 
 
+def test_language_sample_of_copies(spark):
+    """A language of many copies of few texts is learned, and one that has short texts only."""
+    pieces = langid.piece_list(RANKS)
+    few = [k for k in range(4000) if hash_of(f"el perro corre por la calle {k}") % 2**30 > 2**29][:2]
+    rows = [(f"el perro corre por la calle {few[k % 2]}", "es") for k in range(6000)] + [("the dog runs along the street", "en"), ("der Hund", "de"), (None, "fr")]
+    langs, _ = langid.fit(spark.createDataFrame(rows, "text string, lang string"), pieces)
+    assert {"es", "en", "de"} <= set(langs)
+
+
+def hash_of(text):
+    import xxhash
+
+    return (xxhash.xxh64_intdigest(text.encode(), 42) + 2**63) % 2**64 - 2**63
+
+
 def test_language_letters():
     assert langid.words_of("x\u00b2 \u00bd \u2167 Abc 12_d") == ["x", "abc", "d"]
