@@ -4,19 +4,20 @@ Two equal windows of `least` bytes choose the same pivot inside them, the K-byte
 same place. So windows are only compared where their pivots agree:
 
 1. pivots: each stretch of text gives its pivots and the windows each one stands for (about 3 in 100 bytes). Where
-   the whole context was seen before in the stretch, the windows are duplicates at once and go no further.
-2. By pivot: contexts equal to an earlier one are duplicates; those that share a pivot and half a context with a
-   different one go on, everything else is unique.
-3. Only these contexts are cut from the texts, dealt into shards by pivot and sorted: a suffix array by
-   Larsson-Sadakane refinement, common prefixes by Kasai's recurrence, classes of equal windows from both. A pivot
-   whose contexts fill several shards has the later shards' windows looked up in the earlier suffix arrays by
-   binary search.
+   the whole context was seen before in the stretch, byte for byte, the windows go no further.
+2. By pivot: contexts whose pivot and half context no other place shares are unique. Hashes only rule places out here;
+   whatever two places may share goes on.
+3. These contexts are cut from the texts, dealt into shards by pivot and half context and sorted: a suffix array by
+   Larsson-Sadakane refinement, common prefixes by Kasai's recurrence, classes of equal windows from both. A route that
+   fills several shards has the later shards' windows looked up in the earlier suffix arrays by binary search; one of
+   very many places is dealt over salted shards first, and only what is left of each is sorted again, by finer routes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,12 @@ from .util import map_batches, record, saved
 LEAST, K = 100, 32
 #: Bytes of text whose pivots are looked for together, and of contexts in one suffix array.
 STRETCH, SHARD = 1_500_000, 1_000_000
-#: Pivots with more different contexts than this are dealt by pivot and half context.
-LARGE = 2000
+#: Contexts of one route that a shard takes; a route with more is dealt over several.
+MANY = 5000
+#: Places of one pivot that are held at once.
+PIVOT_ROWS = 200_000
+#: Windows of a dealt route that go on together: they share least - STEP + 1 bytes.
+STEP = 8
 NO_ID = -(2**63)
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * 2 + 1
@@ -247,6 +252,11 @@ RANGE = "id long, tk long, start int, stop int"
 
 
 def _pivot_rows(least: int):
+    """Step 1: (h, id, tk, at) of every pivot; at packs its place, what it stands for, and hashes of both half contexts.
+
+    at < 0 marks a range that repeats an earlier one of the stretch, byte for byte: it begins at -1 - at and ends at the
+    low half of h.
+    """
     half = (least - K) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,25 +268,30 @@ def _pivot_rows(least: int):
             hashes, place, s0, s1 = pivots(raw, begin, end, least)
             doc = np.searchsorted(end, s0, "right")
             h = hashes.of(place, place + K)
-            c = mix(hashes.of(s0, s1 + least) + (place - s0).astype(np.uint64) * np.uint64(1009) + (s1 - s0).astype(np.uint64)) >> np.uint64(20)
             left, right = s0 <= place - half, s1 > place - half
-            e1 = np.where(left, hashes.of(np.where(left, place - half, 0), np.where(left, place + K, 0)) >> np.uint64(54), np.uint64(0))
+            e1 = np.where(left, hashes.of(np.where(left, place - half, 0), np.where(left, place + K, 0)) >> np.uint64(55), np.uint64(0))
             upto = np.where(right, place + K + half, 0)
-            e2 = np.where(right, hashes.of(np.where(right, place, 0), upto) >> np.uint64(54), np.uint64(0))
+            e2 = np.where(right, hashes.of(np.where(right, place, 0), upto) >> np.uint64(55), np.uint64(0))
             ids_, tks_, bases_ = np.array(ids, np.int64), np.array(tks, np.int64), np.array(bases, np.int64)
             pos = bases_[doc] + place - begin[doc]
-            order = np.lexsort((pos, tks_[doc], ids_[doc], c, h))
-            h, c, e1, e2, doc, pos, d0, own = h[order], c[order], e1[order], e2[order], doc[order], pos[order], (place - s0)[order], (s1 - s0)[order]
-            i, t = ids_[doc], tks_[doc]
-            head = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
-            first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
+            shape = ((place - s0) << 7 | (s1 - s0)).astype(np.uint64)
+            near = mix(hashes.of(s0, s1 + least) + shape)  # puts contexts that may be equal side by side
+            order = np.lexsort((pos, tks_[doc], ids_[doc], near, h))
+            h, near, e1, e2, doc, pos, shape, s0, s1 = (x[order] for x in (h, near, e1, e2, doc, pos, shape, s0, s1))
+            d0, own, i, t = (shape >> np.uint64(7)).astype(np.int64), s1 - s0, ids_[doc], tks_[doc]
+            n = len(h)
+            head = np.r_[True, (h[1:] != h[:-1]) | (near[1:] != near[:-1])] if n else np.zeros(0, bool)
+            first = np.maximum.accumulate(np.where(head, np.arange(n), 0)) if n else np.zeros(0, np.int64)
             again = (i != i[first]) | (t != t[first]) | (pos != pos[first])
+            ask = np.flatnonzero(again)
+            if len(ask):
+                long = own[ask] + least
+                again[ask] = (own[first[ask]] == own[ask]) & (same_bytes(words8(raw), s0[ask], s0[first[ask]], long) >= long)
             a, b, o = runs((pos - d0)[again], (pos - d0 + own + least)[again], doc[again])
             keep = ~again
-            packed = (pos[keep] << 14 | d0[keep] << 7 | own[keep]).astype(np.int64)
-            seen = (c[keep] << np.uint64(20) | e1[keep] << np.uint64(10) | e2[keep]).view(np.int64)
-            spare = np.zeros(len(a), np.int64)
-            return record(h=np.r_[h[keep].view(np.int64), mix(a.astype(np.uint64) + ids_[o].view(np.uint64)).view(np.int64)], id=np.r_[i[keep], ids_[o]], tk=np.r_[t[keep], tks_[o]], seen=np.r_[seen, spare], at=np.r_[packed, a], stop=pa.array(np.r_[np.zeros(keep.sum(), np.int64), b].astype(np.int32)))
+            at = pos[keep] << 32 | d0[keep] << 25 | own[keep] << 18 | e1[keep].astype(np.int64) << 9 | e2[keep].astype(np.int64)
+            spread = mix(a.astype(np.uint64) + ids_[o].view(np.uint64)) >> np.uint64(32) << np.uint64(32) | b.astype(np.uint64)
+            return record(h=np.r_[h[keep], spread].view(np.int64), id=np.r_[i[keep], ids_[o]], tk=np.r_[t[keep], tks_[o]], at=np.r_[at, -1 - a])
 
         ids, tks, bases, texts, size = [], [], [], [], 0
         for batch in batches:
@@ -299,59 +314,63 @@ def _pivot_rows(least: int):
 
 
 def _by_pivot(least: int):
-    """Step 2, over rows sorted by h: ranges of duplicates (stop > 0), and contexts to sort (stop = 0, route, start, last)."""
+    """Step 2, over rows sorted by h: ranges that are settled (stop > 0), and the contexts that share a pivot and half a
+    context with another place (stop = 0): where their windows begin (start to last), the pivot, and their shard.
+
+    A pivot of more than PIVOT_ROWS places is passed on in parts, all of it, so memory is bounded.
+    """
     half = (least - K) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(h: np.ndarray, ids: np.ndarray, tk: np.ndarray, seen: np.ndarray, at: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
-            known = stop > 0
-            ki, kt, ka, kb = ids[known], tk[known], at[known], stop[known].astype(np.int64)
-            h, ids, tk, seen, at = h[~known], ids[~known], tk[~known], seen[~known], at[~known]
-            u = seen.view(np.uint64)
-            c, e1, e2 = u >> np.uint64(20), (u >> np.uint64(10)) & np.uint64(1023), u & np.uint64(1023)
-            pos, d0, own = at >> 14, at >> 7 & 127, at & 127
-            order = np.lexsort((pos, tk, ids, u, h))
-            h, ids, u, c, e1, e2, pos, d0, own, tk = (x[order] for x in (h, ids, u, c, e1, e2, pos, d0, own, tk))
-            n = len(h)
-            head = np.r_[True, (h[1:] != h[:-1]) | (u[1:] != u[:-1])] if n else np.zeros(0, bool)
-            first = np.maximum.accumulate(np.where(head, np.arange(n), 0)) if n else np.zeros(0, np.int64)
-            again = (ids != ids[first]) | (tk != tk[first]) | (pos != pos[first])
-            start = pos - d0
-            dup = (ids[again], tk[again], start[again], (start + own + least)[again])
-            r = np.flatnonzero(head)
-            hr = h[r].view(np.uint64)
-            group = np.cumsum(np.r_[True, hr[1:] != hr[:-1]]) - 1 if len(r) else np.zeros(0, np.int64)
-            many = np.bincount(group)[group] if len(r) else group
-
-            def shared(e: np.ndarray, has: np.ndarray) -> np.ndarray:
-                key = group * 1024 + e.astype(np.int64)
-                _, inverse, count = np.unique(key[has], return_inverse=True, return_counts=True)
-                out = np.zeros(len(r), bool)
-                out[has] = count[inverse] > 1
-                return out
-
-            s0, s1, p = start[r], (start + own)[r], pos[r]
-            left, right = s0 <= p - half, s1 > p - half
-            left &= shared(e1[r], left)
-            right &= shared(e2[r], right)
+        hot: int | None = None  # the pivot that is passed on in parts
+        passed = 0
+
+        def settle(h: np.ndarray, ids: np.ndarray, tk: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+            known = at < 0
+            ki, kt, ka, kb = ids[known], tk[known], -1 - at[known], h[known] & 0xFFFFFFFF
+            h, ids, tk, at = h[~known], ids[~known], tk[~known], at[~known]
+            order = np.lexsort((at, tk, ids, h))
+            h, ids, tk, at = (x[order] for x in (h, ids, tk, at))
+            if len(h):  # repeated rows of the table: one document
+                fresh = np.r_[True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]) | (tk[1:] != tk[:-1]) | (at[1:] != at[:-1])]
+                h, ids, tk, at = (x[fresh] for x in (h, ids, tk, at))
+            p, d0, own, e1, e2 = at >> 32, at >> 25 & 127, at >> 18 & 127, at >> 9 & 511, at & 511
+            s0, s1 = p - d0, p - d0 + own
             outs = []
             # windows with half a context or more before the pivot, and the others: each part goes on alone
-            for has, e, a, b, side in ((left, e1[r], s0, np.minimum(s1, p - half), 1), (right, e2[r], np.maximum(s0, p - half + 1), s1, 2)):
-                route = np.where(many > LARGE, mix(hr + e * np.uint64(4) + np.uint64(side)), hr)
-                outs.append((ids[r][has], tk[r][has], a[has], b[has], route[has].view(np.int64)))
-            i, t, a, b, route = (np.concatenate([x[k] for x in outs]) for k in range(5))
-            zero = np.zeros(len(ki) + len(dup[0]), np.int64)
-            return record(id=np.r_[ki, dup[0], i], tk=np.r_[kt, dup[1], t], start=pa.array(np.r_[ka, dup[2], a].astype(np.int32)), stop=pa.array(np.r_[kb, dup[3], np.zeros(len(i), np.int64)].astype(np.int32)), last=pa.array(np.r_[zero, b].astype(np.int32)), route=np.r_[zero, route])
+            for has, e, a, b, side in ((s0 <= p - half, e1, s0, np.minimum(s1, p - half), 1), (s1 > p - half, e2, np.maximum(s0, p - half + 1), s1, 2)):
+                route = mix(h.view(np.uint64) + e.astype(np.uint64) * np.uint64(4) + np.uint64(side))[has]
+                _, inverse, count = np.unique(route, return_inverse=True, return_counts=True)
+                many = count[inverse] if len(route) else np.zeros(0, np.int64)
+                always = h[has] == hot if hot is not None else np.zeros(len(route), bool)
+                go = (many > 1) | always
+                nth = np.zeros(len(route), np.int64)
+                by = np.argsort(inverse, kind="stable")
+                start_of = np.cumsum(np.r_[0, count[:-1]]) if len(count) else np.zeros(0, np.int64)
+                nth[by] = np.arange(len(route)) - np.repeat(start_of, count)
+                salt = np.where(always, 1 + (passed + nth) // MANY, np.where(many > MANY, 1 + nth // MANY, 0))
+                outs.append((ids[has][go], tk[has][go], a[has][go], b[has][go], (p - a)[has][go], route[go].view(np.int64), salt[go]))
+            i, t, a, b, d, route, salt = (np.concatenate([x[k] for x in outs]) for k in range(7))
+            zero, small = np.zeros(len(ki), np.int64), lambda x: pa.array(x.astype(np.int32))
+            return record(id=np.r_[ki, i], tk=np.r_[kt, t], start=small(np.r_[ka, a]), stop=small(np.r_[kb, np.zeros(len(i), np.int64)]), last=small(np.r_[zero, b]), d=small(np.r_[zero, d]), route=np.r_[zero, route], salt=small(np.r_[zero, salt]))
 
         parts, size = [], 0
         for batch in batches:
-            parts.append([batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "id", "tk", "seen", "at", "stop")])
+            parts.append([batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "id", "tk", "at")])
             size += batch.num_rows
-            if size >= 200_000 and parts[-1][0][-1] != parts[0][0][0]:
+            if size >= PIVOT_ROWS:
                 cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
                 cut = int(np.searchsorted(cols[0], cols[0][-1]))
-                yield settle(*(x[:cut] for x in cols))
-                parts, size = [[x[cut:] for x in cols]], len(cols[0]) - cut
+                if cut:
+                    yield settle(*(x[:cut] for x in cols))
+                    parts, size = [[x[cut:] for x in cols]], size - cut
+                if size >= PIVOT_ROWS:  # all of one pivot
+                    now = int(cols[0][-1])
+                    passed = passed if hot == now else 0
+                    hot = now
+                    yield settle(*(x[cut:] for x in cols))
+                    passed += size
+                    parts, size = [], 0
         if parts:
             yield settle(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
@@ -363,54 +382,104 @@ def _cut_contexts(least: int):
         for batch in batches:
             out: list[tuple] = []
             for i, t, x, needs in zip(*(batch.column(k).to_pylist() for k in ("id", "tk", "text", "needs")), strict=True):
-                out += [(n["route"], i, t, n["start"], x[n["start"] : n["last"] + least]) for n in needs]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield record(route=pa.array(cols[0], pa.int64()), id=pa.array(cols[1], pa.int64()), tk=pa.array(cols[2], pa.int64()), start=pa.array(cols[3], pa.int32()), context=pa.array(cols[4], pa.binary()))
+                out += [(n["route"], n["salt"], i, t, n["start"], n["d"], x[n["start"] : n["last"] + least]) for n in needs]
+            yield context_rows(out)
 
     return run
 
 
+CONTEXT = "route long, salt int, id long, tk long, start int, d int, context binary"
+_KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+
+def context_rows(rows: list[tuple], **more: pa.Array) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+    return record(**{n: pa.array(c, k) for n, c, k in zip(("route", "salt", "id", "tk", "start", "d", "context"), cols, _KINDS, strict=True)}, **more)
+
+
+def finer(route: int, d: int, context: bytes, a: int, b: int, least: int) -> list[tuple[int, int, int]]:
+    """Windows a to b of a context in parts (route, a, b) that share all but STEP - 1 bytes: windows whose distance to the
+    pivot agrees in its multiple of STEP are equal only where those bytes are."""
+    out = []
+    while a <= b:
+        step = (d - a) // STEP  # the windows begin STEP * step to STEP * step + STEP - 1 bytes before the pivot
+        upto = min(b, d - STEP * step)
+        common = d - STEP * step
+        key = hashlib.blake2b(route.to_bytes(8, "little", signed=True) + step.to_bytes(4, "little", signed=True) + context[common : common + least - STEP + 1], digest_size=8)
+        out.append((int.from_bytes(key.digest(), "little", signed=True), a, upto))
+        a = upto + 1
+    return out
+
+
 def _sort_contexts(least: int):
-    """Step 3, over contexts sorted by (route, id, tk, start): the duplicates among their windows."""
+    """Step 3, over contexts sorted by (route, salt, id, tk, start): the duplicates among their windows (context null),
+    and of routes that are dealt over several shards (salt > 0) the windows that no earlier one of the shard equals, for
+    the next round.
+
+    Equal contexts of a route, compared by their bytes, are sorted once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         earlier: list[Shard] = []  # shards that hold contexts of the route that goes on
-        going: int | None = None
-
-        def settle(rows: list[tuple]) -> pa.RecordBatch:
-            nonlocal earlier, going
-            shard = Shard([r[4] for r in rows], least)
+        going: tuple | None = None
+        rows: list[tuple] = []
+        where: dict[tuple[int, bytes], int] = {}
+        equal: list[tuple] = []
+
+        def settle() -> pa.RecordBatch:
+            nonlocal earlier, going, rows, where, equal
+            shard = Shard([r[6] for r in rows], least)
             place, low = shard.classes()
-            ids, tks, starts = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
+            ids, tks, starts = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
             rec, mine = shard.record[place], shard.record[low]
             pos, first = starts[rec] + place - shard.begin[rec], starts[mine] + low - shard.begin[mine]
             dup = (ids[rec] != ids[mine]) | (tks[rec] != tks[mine]) | (pos != first)
-            routes = np.array([r[0] for r in rows], np.int64)
-            if earlier and going == rows[0][0]:
-                ask = np.flatnonzero(~dup & (routes[rec] == going))
+            if earlier and going == rows[0][:2]:
+                same = np.array([r[:2] == going for r in rows], bool)
+                ask = np.flatnonzero(~dup & same[rec])
                 for other in earlier:
                     ask = ask[~dup[ask]]
                     dup[ask] = other.holds(shard, place[ask])
             else:
                 earlier = []
-            earlier = [*earlier, shard] if rows[0][0] == rows[-1][0] else [shard]
-            going = rows[-1][0]
+            earlier = [*earlier, shard] if rows[0][:2] == rows[-1][:2] else [shard]
+            going = rows[-1][:2]
             a, b, o = runs(pos[dup], pos[dup] + least, rec[dup])
-            return record(id=ids[o], tk=tks[o], start=pa.array(a.astype(np.int32)), stop=pa.array(b.astype(np.int32)))
+            again = list(zip(*equal, strict=True)) if equal else [()] * 4
+            more = []
+            if any(r[1] for r in rows):
+                dealt = np.array([r[1] > 0 for r in rows], bool)
+                left = np.flatnonzero(~dup & dealt[rec])
+                x, y, owner = runs(place[left], place[left] + 1, rec[left])  # consecutive windows of one context
+                for u, v, k in zip(x.tolist(), (y - 1).tolist(), owner.tolist(), strict=True):
+                    route, _, i, t, start, d, context = rows[k]
+                    u, v = u - int(shard.begin[k]), v - int(shard.begin[k])
+                    more += [(r, 0, i, t, start + f, d - f, context[f : g + least]) for r, f, g in finer(route, d, context, u, v, least)]
+            n, m = len(a) + len(equal), len(more)
+            found = [(0, 0, i, t, f, 0, None) for i, t, f in chain(zip(ids[o].tolist(), tks[o].tolist(), a.tolist(), strict=True), zip(*again[:3], strict=True))]
+            out = context_rows(found + more, stop=pa.array([*b.tolist(), *again[3], *([0] * m)], pa.int32()))
+            assert out.num_rows == n + m
+            rows, where, equal = [], {}, []
+            return out
 
-        rows, size, before = [], 0, None
+        size, before = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("route", "id", "tk", "start", "context")), strict=True):
-                if row[:4] == before:  # a repeated row of the table: the same document
+            for row in zip(*(batch.column(k).to_pylist() for k in ("route", "salt", "id", "tk", "start", "d", "context")), strict=True):
+                if row[:5] == before:  # a repeated row of the table: the same document
                     continue
-                if size >= SHARD:
-                    yield settle(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                before = row[:4]
-                size += len(row[4])
+                if size >= SHARD or len(equal) >= 100_000:
+                    yield settle()
+                    size = 0
+                before = row[:5]
+                key = (row[0], row[1], row[6])
+                if key in where:
+                    equal.append((row[2], row[3], row[4], row[4] + len(row[6])))
+                else:
+                    where[key] = len(rows)
+                    rows.append(row)
+                    size += len(row[6])
         if rows:
-            yield settle(rows)
+            yield settle()
 
     return run
 
@@ -453,12 +522,17 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
         raise ValueError("least is out of range")
     keyed = df.select(*_keys(id_col, text_col))
     with_more = keyed if not carry else df.select(*_keys(id_col, text_col), F.struct(*carry).alias("more"))
-    rows = map_batches(keyed, _pivot_rows(least), "h long, id long, tk long, seen long, at long, stop int")
-    judged = saved(map_batches(rows.repartition("h").sortWithinPartitions("h"), _by_pivot(least), RANGE + ", last int, route long"))
-    needs = judged.where("stop = 0").groupBy("id", "tk").agg(F.collect_list(F.struct("route", "start", "last")).alias("needs"))
-    contexts = map_batches(keyed.hint("merge").join(needs, ["id", "tk"]).select("id", "tk", "text", "needs"), _cut_contexts(least), "route long, id long, tk long, start int, context binary")
-    sorted_ = contexts.repartition("route").sortWithinPartitions("route", "id", "tk", "start")
-    found = judged.where("stop > 0").select("id", "tk", "start", "stop").union(map_batches(sorted_, _sort_contexts(least), RANGE))
+    rows = map_batches(keyed, _pivot_rows(least), "h long, id long, tk long, at long")
+    judged = saved(map_batches(rows.repartition("h").sortWithinPartitions("h"), _by_pivot(least), RANGE + ", last int, d int, route long, salt int"))
+    needs = judged.where("stop = 0").groupBy("id", "tk").agg(F.collect_list(F.struct("route", "salt", "start", "last", "d")).alias("needs"))
+    contexts = map_batches(keyed.hint("merge").join(needs, ["id", "tk"]).select("id", "tk", "text", "needs"), _cut_contexts(least), CONTEXT)
+    ordered = ("route", "salt", "id", "tk", "start")
+    sorted_ = saved(map_batches(contexts.repartition("route", "salt").sortWithinPartitions(*ordered), _sort_contexts(least), CONTEXT + ", stop int"))
+    again = sorted_.where("context is not null").drop("stop")
+    merged = map_batches(again.repartition("route").sortWithinPartitions(*ordered), _sort_contexts(least), CONTEXT + ", stop int")
+    found = judged.where("stop > 0").select("id", "tk", "start", "stop")
+    for settled in (sorted_, merged):
+        found = found.union(settled.where("context is null").select("id", "tk", "start", "stop"))
     found = found.groupBy("id", "tk").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     joined = with_more.hint("merge").join(found, ["id", "tk"], "left").select("id", "text", "found", *(["more"] if carry else []))
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])

@@ -56,9 +56,9 @@ def dedup_rows(spark, rows):
     return {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in got}, len(got)
 
 
-@pytest.mark.parametrize(("shard", "large", "stretch"), [(3_000_000, 2000, 4_000_000), (400, 1, 700)])
-def test_suffix_dedup_brute(spark, monkeypatch, shard, large, stretch):
-    for name, value in (("SHARD", shard), ("LARGE", large), ("STRETCH", stretch)):
+@pytest.mark.parametrize(("shard", "many", "pivot", "stretch"), [(3_000_000, 2000, 200_000, 4_000_000), (400, 1, 50, 700), (3000, 3, 2, 900), (400, 100, 200_000, 700)])
+def test_suffix_dedup_brute(spark, monkeypatch, shard, many, pivot, stretch):
+    for name, value in (("SHARD", shard), ("MANY", many), ("PIVOT_ROWS", pivot), ("STRETCH", stretch)):
         monkeypatch.setattr(suffix_dedup, name, value)
     texts = dict(enumerate(t.encode() for t in texts_with_copies(1)))
     texts[500] = ("ab" * 300).encode()
@@ -78,13 +78,15 @@ def run_local(texts):
     out = [b for part in (first[:half], first[half:]) for b in suffix_dedup._pivot_rows(100)(iter(part))]
     rows = pa.Table.from_batches(out).sort_by("h")
     judged = pa.Table.from_batches(list(suffix_dedup._by_pivot(100)(iter(rows.to_batches(50))))).to_pylist()
-    contexts = [(r["route"], r["id"], r["tk"], r["start"], texts[r["id"]][r["start"] : r["last"] + 100]) for r in judged if not r["stop"]]
-    contexts.sort(key=lambda r: r[:4])
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    contexts = [(r["route"], r["salt"], r["id"], r["tk"], r["start"], r["d"], texts[r["id"]][r["start"] : r["last"] + 100]) for r in judged if not r["stop"]]
     found = [(r["id"], r["start"], r["stop"]) for r in judged if r["stop"]]
-    batch = tab(contexts, ["route", "id", "tk", "start", "context"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])
-    if batch:
-        for b in suffix_dedup._sort_contexts(100)(iter([batch])):
-            found += [(r["id"], r["start"], r["stop"]) for r in b.to_pylist()]
+    for _ in range(2):  # the second round sorts what is left of dealt routes
+        batch = tab(sorted(contexts, key=lambda r: r[:5]), ["route", "salt", "id", "tk", "start", "d", "context"], kinds)
+        out = [r for b in suffix_dedup._sort_contexts(100)(iter([batch] if batch else [])) for r in b.to_pylist()]
+        found += [(r["id"], r["start"], r["stop"]) for r in out if r["context"] is None]
+        contexts = [(r["route"], r["salt"], r["id"], r["tk"], r["start"], r["d"], r["context"]) for r in out if r["context"] is not None]
+    assert not contexts
     for i, t in texts.items():
         gone = bytearray(len(t))
         for j, a, b in found:
