@@ -254,11 +254,11 @@ def test_prefix_table(encoder):
 URLS = [("http://a.Example.com/en/7x?q", "example.com/en/7", "allow"), ("http://example.com/en/", "com/en/", "block"), ("x://xexample.com/en/7", "com/en/", "block"), ("http://m.example.net/de/8#", "example.net/de/8", "block"), ("http://net/de/9", "net/de/", "allow"), ("http://a.org/es", None, "allow"), ("http://org/es/", "org/es/", "block"), ("nothing", None, "allow"), (None, None, "allow"), ("", None, "allow"), ("http://com.:80/en/", None, "allow"), ("http://.com/en/\n", "com/en/", "block")]
 
 
-@pytest.mark.parametrize("most", [50_000, 1])
-def test_urls(spark, monkeypatch, most):
+@pytest.mark.parametrize("samples", [25, 1])
+def test_urls(spark, monkeypatch, samples):
     from ctxspark.llm.queries import URL_RULES
 
-    monkeypatch.setattr(urls, "POINTS_A_SWEEP", most)
+    monkeypatch.setattr(urls, "SAMPLES", samples)
     pages = spark.createDataFrame([(i, u, "") for i, (u, _, _) in enumerate(URLS * 2)] + [(None, URLS[0][0], "")], "page_id long, url string, rule string")
     rules = urls.rules_frame(spark, URL_RULES)
     got = urls.apply_rules(pages, rules).collect()
@@ -267,6 +267,25 @@ def test_urls(spark, monkeypatch, most):
     assert {r.verdict for r in urls.apply_rules(pages, rules.limit(0), default="block").collect()} == {"block"}
 
 
+def test_urls_brute(spark):
+    """Nested rules across hosts and paths, one hot host, one hot url, and very long urls, against every rule tried."""
+    rnd = random.Random(21)
+    label = lambda: rnd.choice(["a", "b", "ab", "x-y", "www", "", "a0"])
+    host = lambda n: ".".join([*(label() for _ in range(n)), rnd.choice(["com", "net"])])
+    path = lambda n: "".join(rnd.choice(["/a", "/b", "/ab", "x"]) for _ in range(n))
+    rules = list({(host(rnd.randrange(3)), path(rnd.randrange(3))): rnd.choice(["allow", "block"]) for _ in range(60)}.items())
+    found = ["http://" + host(rnd.randrange(5)) + path(rnd.randrange(5)) + rnd.choice(["", "?q/a", "#/b"]) for _ in range(300)]
+    found += ["http://hot.a.com/a" + path(2) for _ in range(400)] + ["http://b.com/a/b"] * 400 + ["http://a.com/" + "x" * 100_000, "http://" + "a." * 2000 + "com/a"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(found)], "page_id long, url string")
+    got = urls.apply_rules(frame, urls.rules_frame(spark, [(h, p, v) for (h, p), v in rules])).collect()
+    assert len(got) == len(found)
+    for r in got:
+        h, p = re.match(r"http://([^/?#]*)([^?#]*)", found[r.page_id]).groups()
+        fits = [(len(a + b), len(a), v == "allow", a + b, v) for (a, b), v in rules if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        want = max(fits)[3:] if fits else (None, "allow")
+        assert (r.host, r.path, r.rule, r.verdict) == (h, p, *want), (found[r.page_id], want)
+
+
 def test_licenses(spark):
     rows = [(1, "words\nReleased under the MIT license\nmore words"), (2, "Released under the MIT-ish Licence of nobody"), (3, None), (4, ""), (5, "\n".join(licenses.TEMPLATES[4][1].split("; ")) + "\n\nx"), (None, licenses.TEMPLATES[5][1].upper())]
     got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
