@@ -2,7 +2,8 @@
 
 A link differs in at most 3 of 64 bits, so one of four 16-bit blocks agrees; fingerprints are sharded by block and
 value, and each shard is a BK-tree whose children are keyed by integer Hamming distance to the parent. The trees
-grow with the corpus, so a shard's tree goes to the tasks of that shard alone instead of to every executor.
+grow with the corpus, so a shard's tree goes to the tasks of that shard alone instead of to every executor. A shard of
+more than CROWD fingerprints is split again by the blocks of what is left of the fingerprint.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from .util import LOWER, components, forest, map_batches, record, saved, texts_of
 
 RADIUS, BLOCKS, SHINGLE, SEED = 3, 4, 3, 42
+#: Fingerprints in one tree; a larger shard is split by a second block.
+CROWD = 8000
 
 
 def fingerprint(text: bytes) -> int:
@@ -105,13 +108,43 @@ class BkForest:
         return label
 
 
+def shards(fps: DataFrame, radius: int = RADIUS, crowd: int | None = None) -> DataFrame:
+    """(shard, fp): fps(fp) dealt so that any two within `radius` meet in a shard.
+
+    Two such fingerprints agree in one of radius + 1 blocks. Where more than `crowd` agree in a block, what is left of
+    them is cut into radius + 1 blocks once more, of which one agrees as well; a shard is then a pair of blocks.
+    """
+    parts = radius + 1
+    edges = [64 * k // parts for k in range(parts + 1)]
+    cut = lambda x, a, b: F.shiftrightunsigned(x, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) if b - a < 64 else x
+    banded = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), cut(F.col("fp"), edges[k], edges[k + 1]).alias("v")) for k in range(parts)))).alias("s")).select("s.k", "s.v", "fp")
+    crowded = banded.groupBy("k", "v").count().where(F.col("count") > (CROWD if crowd is None else crowd)).select("k", "v", F.lit(True).alias("crowded"))
+
+    def again(k: int) -> Column:
+        """The second blocks of a fingerprint that is sharded by block k: cuts of the bits that k leaves."""
+        rest = [(a, b) for a, b in ((0, edges[k]), (edges[k + 1], 64)) if a < b]
+        bits = sum(b - a for a, b in rest)
+        low = cut(F.col("fp"), *rest[0])
+        left = low if len(rest) == 1 else low.bitwiseOR(F.shiftleft(cut(F.col("fp"), *rest[1]), rest[0][1] - rest[0][0]))
+        at = [bits * j // parts for j in range(parts + 1)]
+        return F.array(*(F.struct(F.lit(j).alias("j"), cut(left, at[j], at[j + 1]).alias("w")) for j in range(parts)))
+
+    one = F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("w")))
+    second = one
+    if parts > 1:
+        second = F.when(F.col("crowded").isNull(), one)
+        for k in range(parts):
+            second = second.when(F.col("k") == k, again(k))
+    known = banded.join(crowded, ["k", "v"], "left")
+    return known.withColumn("s", F.explode(second)).select(F.xxhash64("k", "v", "s.j", "s.w").alias("shard"), "fp")
+
+
 def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of fps(fp): enough of them that all within `radius` are connected."""
-    bits = 64 // BLOCKS
-    banded = fps.select("fp", F.explode(F.array(*(F.struct((F.shiftrightunsigned("fp", bits * k).bitwiseAND((1 << bits) - 1) + (k << bits)).alias("shard")) for k in range(BLOCKS)))).alias("s")).select("s.shard", "fp")
+    banded = shards(fps, radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, rows, size = [], [], 0
+        owners, rows, size = [], [], 0
 
         def search(group: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             label = BkForest(x.view(np.uint64), group).links(radius)
@@ -119,16 +152,16 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             return record(a=x[linked], b=x[label[linked]])
 
         for batch in batches:
-            shards.append(batch.column("shard").to_numpy())
+            owners.append(batch.column("shard").to_numpy())
             rows.append(batch.column("fp").to_numpy())
             size += len(rows[-1])
-            if size >= 50_000 and shards[-1][-1] != shards[0][0]:  # search what is complete, keep the last shard
-                group, x = np.concatenate(shards), np.concatenate(rows)
+            if size >= 50_000 and owners[-1][-1] != owners[0][0]:  # search what is complete, keep the last shard
+                group, x = np.concatenate(owners), np.concatenate(rows)
                 cut = int(np.searchsorted(group, group[-1]))
                 yield search(group[:cut], x[:cut])
-                shards, rows, size = [group[cut:]], [x[cut:]], len(x) - cut
+                owners, rows, size = [group[cut:]], [x[cut:]], len(x) - cut
         if rows:
-            yield search(np.concatenate(shards), np.concatenate(rows))
+            yield search(np.concatenate(owners), np.concatenate(rows))
 
     return banded.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "a long, b long")
 
@@ -153,8 +186,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 COPY_SHINGLE, COPY_LEAST = 5, 0.8
 #: Candidates agree in all of DEPTH minimal hashes of one of BANDS bands: a pair of 0.8 is missed with (1 - 0.8 ** 5) ** 24, 7 in 100,000.
 BANDS, DEPTH = 24, 5
-#: Each text of a band's group is a candidate with this many first ones of the group and with the one before it.
+#: In the first round each text of a band's group is a candidate with this many first ones of the group and with the
+#: one before it; what that leaves apart is compared in the second.
 LEADERS = 4
+#: The second round checks pairs that agree in so many of the BANDS * DEPTH minimal hashes: one of 0.8 agrees in 96 of 120
+#: on average, and in fewer than 74 less often than once in 100,000.
+AGREE = 74
+#: Texts of a band's group that are compared with each other at once.
+CHUNK = 20_000
 _MULTIPLIERS = np.random.default_rng(20240301).integers(1, 2**63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -166,14 +205,20 @@ def shingle_hashes(text: bytes, shingle: int = COPY_SHINGLE) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))), np.uint64, len(words) - shingle + 1)
 
 
-def bands(text: bytes) -> np.ndarray:
-    """One number for each band of the text's minimal shingle hashes."""
+def least_hashes(text: bytes) -> np.ndarray:
+    """The text's minimal shingle hashes, DEPTH for each band."""
     hashes = shingle_hashes(text)
     low = np.full(BANDS * DEPTH, 2**64 - 1, np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(hashes), 2048):
             low = np.minimum(low, (hashes[at : at + 2048, None] * _MULTIPLIERS).min(axis=0))
-        out = np.arange(1, BANDS + 1, dtype=np.uint64)
+        return low ^ low >> np.uint64(32)
+
+
+def bands(low: np.ndarray) -> np.ndarray:
+    """One number for each band of least_hashes()."""
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
         for x in low.reshape(BANDS, DEPTH).T:
             out = (out ^ x) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(29)
@@ -187,7 +232,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def copy_candidates(banded: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of the keys of banded(key, bands) that share a band; see LEADERS for large groups."""
+    """The first round's distinct pairs (a, b) of the keys of banded(key, bands) that share a band; see LEADERS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band, lead, last = None, [], None
@@ -209,6 +254,49 @@ def copy_candidates(banded: DataFrame) -> DataFrame:
     return rows.repartition("band").sortWithinPartitions("band", "key").mapInArrow(run, "a long, b long").distinct()
 
 
+def copies_apart(banded: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that share a band, are not connected by roots(node, root) and agree in AGREE minimal hashes.
+
+    banded(key, bands, low) has the low byte of each minimal hash. Only groups with texts of different components are
+    looked at, without limit: those outside the group's largest component are compared with all of the group, in blocks
+    of CHUNK by CHUNK texts, each block a task's work.
+    """
+    member = banded.join(roots, banded.key == roots.node, "left").select("key", "low", F.coalesce("root", "key").alias("root"), F.explode("bands").alias("band"))
+    slim = member.select("band", "root", "key")
+    parts = slim.groupBy("band", "root").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("band").agg(F.sum("n").alias("n"), F.max_by("root", "n").alias("main"), F.max("n").alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    sizes = sizes.select("band", "main", F.ceil(F.col("n") / CHUNK).cast("int").alias("ways"), F.ceil((F.col("n") - F.col("most")) / CHUNK).cast("int").alias("asks"))
+    known = member.join(sizes, "band")
+    deal = lambda ways: F.pmod(F.xxhash64("key"), F.col(ways)).cast("int")
+    every = lambda ways: F.sequence(F.lit(0), F.col(ways) - 1)
+    held = known.select("band", deal("ways").alias("way"), F.explode(every("asks")).alias("ask"), F.lit(False).alias("asks"), "key", "root", "low")
+    asked = known.where("root <> main").select("band", F.explode(every("ways")).alias("way"), deal("asks").alias("ask"), F.lit(True).alias("asks"), "key", "root", "low")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, keys, roots, lows = None, [], [], []
+        table = None
+        for batch in batches:
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            columns = (batch.column(c).to_pylist() for c in ("band", "way", "ask", "asks", "key", "root", "low"))
+            for band, way, ask, asks, key, root, low in zip(*columns, strict=True):
+                if (band, way, ask) != block:
+                    block, keys, roots, lows, table = (band, way, ask), [], [], [], None
+                if not asks:
+                    keys.append(key)
+                    roots.append(root)
+                    lows.append(low)
+                elif keys:
+                    if table is None:
+                        table = (np.array(keys, np.int64), np.array(roots, np.int64), np.frombuffer(b"".join(lows), np.uint8).reshape(len(lows), -1))
+                    near = (table[2] == np.frombuffer(low, np.uint8)).sum(axis=1) >= AGREE
+                    found = table[0][near & (table[1] != root)]
+                    out.append((np.minimum(found, key), np.maximum(found, key)))
+            a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(2))
+            yield record(a=a, b=b)
+
+    return held.union(asked).repartition("band", "way", "ask").sortWithinPartitions("band", "way", "ask", "asks").mapInArrow(run, "a long, b long").distinct()
+
+
 def copy_links(pairs: DataFrame, texts: DataFrame, least: float = COPY_LEAST) -> DataFrame:
     """The pairs(a, b) whose texts(key, text) have a Jaccard similarity of `least` or more, by their whole shingle sets."""
 
@@ -236,19 +324,26 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Near copies share COPY_LEAST of their COPY_SHINGLE-word shingles; a group is what they link. The document is the
     one with the smallest id, nulls last, then the smallest text_key(). So rows without an id are kept apart by their
-    texts, and so are different texts under one id. An empty table gives no rows.
+    texts, and so are different texts under one id. An empty table gives no rows. Long texts are hashed whole.
+    Candidates share a band; the first round links large groups by few of their pairs, the second compares all that
+    the first left apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bands(t) for t in texts_of(batch)]
-            values = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield record(id=batch.column("id"), key=batch.column("key"), bands=pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, BANDS, dtype=np.int32)), pa.array(values)))
+            found = [least_hashes(t) for t in texts_of(batch)]
+            values = np.concatenate([bands(x) for x in found]).view(np.int64) if found else np.zeros(0, np.int64)
+            yield record(id=batch.column("id"), key=batch.column("key"), bands=pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, BANDS, dtype=np.int32)), pa.array(values)), low=pa.array([x.astype(np.uint8).tobytes() for x in found], pa.binary()))
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    marked = saved(map_batches(texts, run, "id long, key long, bands array<long>"))
+    marked = saved(map_batches(texts, run, "id long, key long, bands array<long>, low binary"))
     low = marked.groupBy("id", "key").agg(F.count("*").alias("n")).groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", F.col("key").alias("text_key"), "n")).alias("low"))
-    pairs = saved(copy_candidates(marked.groupBy("key").agg(F.first("bands").alias("bands"))))
-    roots = saved(components(copy_links(pairs, texts.select("key", "text"))))
+    banded = marked.groupBy("key").agg(F.first("bands").alias("bands"), F.first("low").alias("low"))
+    keyed = texts.select("key", "text")
+    links = saved(copy_links(saved(copy_candidates(banded)), keyed))
+    roots = saved(components(links))
+    more = saved(copies_apart(banded, roots))
+    if not more.isEmpty():
+        roots = saved(components(links.union(copy_links(more, keyed))))
     known = low.join(roots, low.key == roots.node, "left").select("low", F.coalesce("root", "key").alias("root"))
     return known.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.id").alias(id_col), "low.text_key", "low.n")

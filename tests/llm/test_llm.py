@@ -218,6 +218,24 @@ def test_bk_forest_finds_all_links():
     assert np.array_equal(label, want)
 
 
+@pytest.mark.parametrize(("radius", "crowd"), [(3, 8000), (3, 5), (1, 5), (5, 3)])
+def test_shards_meet(spark, radius, crowd):
+    """Any two fingerprints within the radius meet in a shard, also where crowded shards are split again."""
+    rnd = random.Random(22)
+    base = [rnd.getrandbits(64) for _ in range(8)]
+    fps = {0, 2**64 - 1} | {(x & ~0xFFFF) | (base[0] & 0xFFFF) for x in base}  # many agree in the lowest block
+    for x in base * 6:
+        for k in rnd.sample(range(64), rnd.randrange(radius + 1)):
+            x ^= 1 << k
+        fps.add(x)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    got = {}
+    for r in simhash.shards(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), radius, crowd).collect():
+        got.setdefault(r.fp & (2**64 - 1), set()).add(r.shard)
+    assert set(got) == fps
+    assert all(got[a] & got[b] for a in fps for b in fps if (a ^ b).bit_count() <= radius)
+
+
 def test_components(spark):
     rnd = random.Random(7)
     pairs = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5, 5)]
@@ -510,6 +528,30 @@ def test_pipeline_near_copies(spark, tmp_path):
     assert [r.doc_id for r in kept] == [0]
 
 
+def test_near_copies_left_apart(spark, monkeypatch):
+    """A large group of texts that share a band but are no near copies: the few that are get linked all the same."""
+    rnd = random.Random(23)
+    said = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    shared = said(300)
+    texts = [shared + said(110) for _ in range(60)]  # about 0.57 of each other
+    texts += [[*t[:400], *said(10)] for t in texts[20:40]]  # near copies of twenty of them
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    grams = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for _ in range(4):
+        for a in range(len(texts)):
+            for b in range(a):
+                if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    for chunk in (20_000, 7):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        kept = sorted(r.doc_id for r in simhash.representatives(docs(spark, rows)).collect())
+        assert kept == sorted(set(root)) and len(kept) == 60
+    low = [simhash.least_hashes(t.encode()) for _, t in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if sum(low[a] == low[b]) >= 96]
+    assert pairs and all(root[a] == root[b] for a, b in pairs)
+
+
 def test_language_sample_of_copies(spark):
     """A language of many copies of few texts is learned, and one that has short texts only."""
     pieces = langid.piece_list(RANKS)
