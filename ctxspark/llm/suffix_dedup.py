@@ -143,12 +143,10 @@ def suffix_array(raw: np.ndarray, rest: np.ndarray) -> np.ndarray:
 
 
 def words8(raw: np.ndarray) -> np.ndarray:
-    """The eight bytes from every place on as one big-endian number, zeros behind the end."""
-    padded = np.r_[raw, np.zeros(8, np.uint8)].astype(np.uint64)
-    out = np.zeros(len(raw), np.uint64)
-    for k in range(8):
-        out = out << np.uint64(8) | padded[k : len(raw) + k]
-    return out
+    """The eight bytes from every place on as one big-endian number, zeros behind the end: a view, without a copy of each."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray(len(raw), ">u8", padded, strides=(1,))
 
 
 def same_bytes(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -156,7 +154,7 @@ def same_bytes(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray
     out = np.zeros(len(a), np.int64)
     live = np.flatnonzero(most > 0)
     while len(live):
-        x = words[a[live] + out[live]] ^ words[b[live] + out[live]]
+        x = (words[a[live] + out[live]] ^ words[b[live] + out[live]]).astype(np.uint64)
         add = np.full(len(live), 8)
         differ = x != 0
         top = x[differ]
@@ -248,9 +246,6 @@ class Shard:
         return (low < len(self.windows)) & (order(self.windows[at], places) == 0) if len(self.windows) else np.zeros(len(places), bool)
 
 
-RANGE = "id long, tk long, start int, stop int"
-
-
 def _pivot_rows(least: int):
     """Step 1: (h, id, tk, at) of every pivot; at packs its place, what it stands for, and hashes of both half contexts.
 
@@ -314,8 +309,9 @@ def _pivot_rows(least: int):
 
 
 def _by_pivot(least: int):
-    """Step 2, over rows sorted by h: ranges that are settled (stop > 0), and the contexts that share a pivot and half a
-    context with another place (stop = 0): where their windows begin (start to last), the pivot, and their shard.
+    """Step 2, over rows sorted by h: ranges that are settled (need < 0: they begin at -1 - need and end at route), and
+    the contexts that share a pivot and half a context with another place: need packs their salt, where their windows
+    begin, how many more there are, and how far the pivot is from the first.
 
     A pivot of more than PIVOT_ROWS places is passed on in parts, all of it, so memory is bounded.
     """
@@ -336,23 +332,37 @@ def _by_pivot(least: int):
                 h, ids, tk, at = (x[fresh] for x in (h, ids, tk, at))
             p, d0, own, e1, e2 = at >> 32, at >> 25 & 127, at >> 18 & 127, at >> 9 & 511, at & 511
             s0, s1 = p - d0, p - d0 + own
-            outs = []
-            # windows with half a context or more before the pivot, and the others: each part goes on alone
-            for has, e, a, b, side in ((s0 <= p - half, e1, s0, np.minimum(s1, p - half), 1), (s1 > p - half, e2, np.maximum(s0, p - half + 1), s1, 2)):
-                route = mix(h.view(np.uint64) + e.astype(np.uint64) * np.uint64(4) + np.uint64(side))[has]
-                _, inverse, count = np.unique(route, return_inverse=True, return_counts=True)
-                many = count[inverse] if len(route) else np.zeros(0, np.int64)
-                always = h[has] == hot if hot is not None else np.zeros(len(route), bool)
-                go = (many > 1) | always
-                nth = np.zeros(len(route), np.int64)
-                by = np.argsort(inverse, kind="stable")
-                start_of = np.cumsum(np.r_[0, count[:-1]]) if len(count) else np.zeros(0, np.int64)
-                nth[by] = np.arange(len(route)) - np.repeat(start_of, count)
-                salt = np.where(always, 1 + (passed + nth) // MANY, np.where(many > MANY, 1 + nth // MANY, 0))
-                outs.append((ids[has][go], tk[has][go], a[has][go], b[has][go], (p - a)[has][go], route[go].view(np.int64), salt[go]))
-            i, t, a, b, d, route, salt = (np.concatenate([x[k] for x in outs]) for k in range(7))
-            zero, small = np.zeros(len(ki), np.int64), lambda x: pa.array(x.astype(np.int32))
-            return record(id=np.r_[ki, i], tk=np.r_[kt, t], start=small(np.r_[ka, a]), stop=small(np.r_[kb, np.zeros(len(i), np.int64)]), last=small(np.r_[zero, b]), d=small(np.r_[zero, d]), route=np.r_[zero, route], salt=small(np.r_[zero, salt]))
+            always = h == hot if hot is not None else np.zeros(len(h), bool)
+
+            def shared(e: np.ndarray, has: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+                """Whether another place shares this side's half context, and the route of those that do."""
+                route = mix(h.view(np.uint64) + e.astype(np.uint64) * np.uint64(4) + np.uint64(side))
+                _, inverse, count = np.unique(route[has], return_inverse=True, return_counts=True)
+                out = always & has
+                out[has] |= count[inverse] > 1
+                return out, route
+
+            left, left_route = shared(e1, s0 <= p - half, 1)
+            right, right_route = shared(e2, s1 > p - half, 2)
+            # a small pivot's contexts go on whole; of a large one those with half a context or more before the pivot,
+            # and the others, go on alone, by pivot and half context
+            _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+            large = (count[inverse] > MANY) | always if len(h) else always
+            small = ~large & (left | right)
+            outs = [(small, np.where(left, s0, np.maximum(s0, p - half + 1)), np.where(right, s1, np.minimum(s1, p - half)), h.view(np.uint64))]
+            outs += [(large & left, s0, np.minimum(s1, p - half), left_route), (large & right, np.maximum(s0, p - half + 1), s1, right_route)]
+            cols = []
+            for go, a, b, route in outs:
+                nth = np.zeros(int(go.sum()), np.int64)
+                if go is not small and len(nth):
+                    _, inverse, count = np.unique(route[go], return_inverse=True, return_counts=True)
+                    nth[np.argsort(inverse, kind="stable")] = np.arange(len(nth)) - np.repeat(np.cumsum(np.r_[0, count[:-1]]), count)
+                    salt = np.where(always[go], 1 + (passed + nth) // MANY, np.where(count[inverse] > MANY, 1 + nth // MANY, 0))
+                else:
+                    salt = nth
+                cols.append((ids[go], tk[go], route[go].view(np.int64), salt << 45 | a[go] << 14 | (b - a)[go] << 7 | (p - a)[go]))
+            i, t, route, need = (np.concatenate([x[k] for x in cols]) for k in range(4))
+            return record(id=np.r_[ki, i], tk=np.r_[kt, t], route=np.r_[kb, route], need=np.r_[-1 - ka, need])
 
         parts, size = [], 0
         for batch in batches:
@@ -381,8 +391,10 @@ def _cut_contexts(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for i, t, x, needs in zip(*(batch.column(k).to_pylist() for k in ("id", "tk", "text", "needs")), strict=True):
-                out += [(n["route"], n["salt"], i, t, n["start"], n["d"], x[n["start"] : n["last"] + least]) for n in needs]
+            for i, t, x, routes, needs in zip(*(batch.column(k).to_pylist() for k in ("id", "tk", "text", "routes", "needs")), strict=True):
+                for route, n in zip(routes, needs, strict=True):
+                    start = n >> 14 & 0x7FFFFFFF
+                    out.append((route, n >> 45, i, t, start, n & 127, x[start : start + (n >> 7 & 127) + least]))
             yield context_rows(out)
 
     return run
@@ -523,14 +535,14 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     keyed = df.select(*_keys(id_col, text_col))
     with_more = keyed if not carry else df.select(*_keys(id_col, text_col), F.struct(*carry).alias("more"))
     rows = map_batches(keyed, _pivot_rows(least), "h long, id long, tk long, at long")
-    judged = saved(map_batches(rows.repartition("h").sortWithinPartitions("h"), _by_pivot(least), RANGE + ", last int, d int, route long, salt int"))
-    needs = judged.where("stop = 0").groupBy("id", "tk").agg(F.collect_list(F.struct("route", "salt", "start", "last", "d")).alias("needs"))
-    contexts = map_batches(keyed.hint("merge").join(needs, ["id", "tk"]).select("id", "tk", "text", "needs"), _cut_contexts(least), CONTEXT)
+    judged = saved(map_batches(rows.repartition("h").sortWithinPartitions("h"), _by_pivot(least), "id long, tk long, route long, need long"))
+    needs = judged.where("need >= 0").groupBy("id", "tk").agg(F.collect_list("route").alias("routes"), F.collect_list("need").alias("needs"))  # both in the order of the rows
+    contexts = map_batches(keyed.hint("merge").join(needs, ["id", "tk"]).select("id", "tk", "text", "routes", "needs"), _cut_contexts(least), CONTEXT)
     ordered = ("route", "salt", "id", "tk", "start")
     sorted_ = saved(map_batches(contexts.repartition("route", "salt").sortWithinPartitions(*ordered), _sort_contexts(least), CONTEXT + ", stop int"))
     again = sorted_.where("context is not null").drop("stop")
     merged = map_batches(again.repartition("route").sortWithinPartitions(*ordered), _sort_contexts(least), CONTEXT + ", stop int")
-    found = judged.where("stop > 0").select("id", "tk", "start", "stop")
+    found = judged.where("need < 0").selectExpr("id", "tk", "cast(-1 - need as int) start", "cast(route as int) stop")
     for settled in (sorted_, merged):
         found = found.union(settled.where("context is null").select("id", "tk", "start", "stop"))
     found = found.groupBy("id", "tk").agg(F.collect_list(F.struct("start", "stop")).alias("found"))

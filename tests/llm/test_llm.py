@@ -79,8 +79,12 @@ def run_local(texts):
     rows = pa.Table.from_batches(out).sort_by("h")
     judged = pa.Table.from_batches(list(suffix_dedup._by_pivot(100)(iter(rows.to_batches(50))))).to_pylist()
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    contexts = [(r["route"], r["salt"], r["id"], r["tk"], r["start"], r["d"], texts[r["id"]][r["start"] : r["last"] + 100]) for r in judged if not r["stop"]]
-    found = [(r["id"], r["start"], r["stop"]) for r in judged if r["stop"]]
+    contexts = []
+    for r in judged:
+        if (n := r["need"]) >= 0:
+            start = n >> 14 & 0x7FFFFFFF
+            contexts.append((r["route"], n >> 45, r["id"], r["tk"], start, n & 127, texts[r["id"]][start : start + (n >> 7 & 127) + 100]))
+    found = [(r["id"], -1 - r["need"], r["route"]) for r in judged if r["need"] < 0]
     for _ in range(2):  # the second round sorts what is left of dealt routes
         batch = tab(sorted(contexts, key=lambda r: r[:5]), ["route", "salt", "id", "tk", "start", "d", "context"], kinds)
         out = [r for b in suffix_dedup._sort_contexts(100)(iter([batch] if batch else [])) for r in b.to_pylist()]
