@@ -415,6 +415,20 @@ def test_decontamination_rows_of_blocks(spark):
     assert shape(1) == shape(8_000_000) and len(shape(1)) == len(rows)
 
 
+def test_index_holds_every_token(spark):
+    """The stored index gives back each document's words, whatever is looked for in it later."""
+    rows = [(1, "One two one, THREE"), (2, None), (3, "two \u00e9\u00e9 two"), (None, "z " * 5000)]
+    got = {}
+    for r in decontam.build_index(docs(spark, rows), shard_bytes=40).collect():
+        words = [None] * r.doc_starts[-1]
+        for k, t in enumerate(r.terms):
+            for x in r.positions[r.offsets[k] : r.offsets[k + 1]]:
+                words[x] = bytes(t).decode()
+        got |= {i: words[a:b] for i, a, b in zip(r.doc_ids, r.doc_starts, r.doc_starts[1:], strict=False)}
+    assert got == {1: ["one", "two", "one", "three"], 2: [], 3: ["two", "\u00e9\u00e9", "two"], None: ["z"] * 5000}
+    assert decontam.contamination(docs(spark, rows).limit(0), docs(spark, rows), item_col="doc_id").count() == 0
+
+
 def test_decontamination_near(spark):
     from itertools import combinations
 
