@@ -21,13 +21,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .util import map_batches, record, saved
 
-LEAST, K = 100, 32
+LEAST, K = 100, 24
 #: Bytes of text whose pivots are looked for together, and of contexts in one suffix array.
 STRETCH, SHARD = 1_500_000, 1_000_000
 #: Contexts of one route that a shard takes; a route with more is dealt over several.
@@ -246,16 +247,21 @@ class Shard:
         return (low < len(self.windows)) & (order(self.windows[at], places) == 0) if len(self.windows) else np.zeros(len(places), bool)
 
 
+def owner_check(ids: np.ndarray) -> np.ndarray:
+    """32 bits of a document's id, which a settled range brings along beside its document's key."""
+    return mix(ids.view(np.uint64)) >> np.uint64(32)
+
+
 def _pivot_rows(least: int):
-    """Step 1: (h, id, tk, at) of every pivot; at packs its place, what it stands for, and hashes of both half contexts.
+    """Step 1: (h, doc, at) of every pivot; at packs its place, what it stands for, and hashes of both half contexts.
 
     at < 0 marks a range that repeats an earlier one of the stretch, byte for byte: it begins at -1 - at and ends at the
-    low half of h.
+    low half of h; the high half is owner_check().
     """
     half = (least - K) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stretch(ids: list[int], tks: list[int], bases: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        def stretch(ids: list[int], tks: list[int], keys: list[int], bases: list[int], texts: list[bytes]) -> pa.RecordBatch:
             raw = np.frombuffer(b"".join(texts), np.uint8)
             size = np.array([len(t) for t in texts], np.int64)
             end = np.cumsum(size)
@@ -267,7 +273,7 @@ def _pivot_rows(least: int):
             e1 = np.where(left, hashes.of(np.where(left, place - half, 0), np.where(left, place + K, 0)) >> np.uint64(55), np.uint64(0))
             upto = np.where(right, place + K + half, 0)
             e2 = np.where(right, hashes.of(np.where(right, place, 0), upto) >> np.uint64(55), np.uint64(0))
-            ids_, tks_, bases_ = np.array(ids, np.int64), np.array(tks, np.int64), np.array(bases, np.int64)
+            ids_, tks_, keys_, bases_ = (np.array(x, np.int64) for x in (ids, tks, keys, bases))
             pos = bases_[doc] + place - begin[doc]
             shape = ((place - s0) << 7 | (s1 - s0)).astype(np.uint64)
             near = mix(hashes.of(s0, s1 + least) + shape)  # puts contexts that may be equal side by side
@@ -285,33 +291,34 @@ def _pivot_rows(least: int):
             a, b, o = runs((pos - d0)[again], (pos - d0 + own + least)[again], doc[again])
             keep = ~again
             at = pos[keep] << 32 | d0[keep] << 25 | own[keep] << 18 | e1[keep].astype(np.int64) << 9 | e2[keep].astype(np.int64)
-            spread = mix(a.astype(np.uint64) + ids_[o].view(np.uint64)) >> np.uint64(32) << np.uint64(32) | b.astype(np.uint64)
-            return record(h=np.r_[h[keep], spread].view(np.int64), id=np.r_[i[keep], ids_[o]], tk=np.r_[t[keep], tks_[o]], at=np.r_[at, -1 - a])
+            stop = owner_check(ids_[o]) << np.uint64(32) | b.astype(np.uint64)
+            return record(h=np.r_[h[keep], stop].view(np.int64), doc=np.r_[keys_[doc[keep]], keys_[o]], at=np.r_[at, -1 - a])
 
-        ids, tks, bases, texts, size = [], [], [], [], 0
+        ids, tks, keys, bases, texts, size = [], [], [], [], [], 0
         for batch in batches:
-            for i, t, x in zip(batch.column("id").to_pylist(), batch.column("tk").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for i, t, key, x in zip(*(batch.column(c).to_pylist() for c in ("id", "tk", "doc", "text")), strict=True):
                 x = x or b""
                 for base in range(0, max(len(x) - least + 1, 0), STRETCH):  # windows start in [base, base + STRETCH)
                     part = x[base : base + STRETCH + least - 1] if len(x) > STRETCH else x
                     ids.append(i)
                     tks.append(t)
+                    keys.append(key)
                     bases.append(base)
                     texts.append(part)
                     size += len(part)
                     if size >= STRETCH:
-                        yield stretch(ids, tks, bases, texts)
-                        ids, tks, bases, texts, size = [], [], [], [], 0
+                        yield stretch(ids, tks, keys, bases, texts)
+                        ids, tks, keys, bases, texts, size = [], [], [], [], [], 0
         if texts:
-            yield stretch(ids, tks, bases, texts)
+            yield stretch(ids, tks, keys, bases, texts)
 
     return run
 
 
 def _by_pivot(least: int):
-    """Step 2, over rows sorted by h: ranges that are settled (need < 0: they begin at -1 - need and end at route), and
-    the contexts that share a pivot and half a context with another place: need packs their salt, where their windows
-    begin, how many more there are, and how far the pivot is from the first.
+    """Step 2, over rows sorted by h: ranges that are settled (need = at and route = h), and the contexts that share a
+    pivot and half a context with another place: need packs their salt, where their windows begin, how many more there
+    are, and how far the pivot is from the first.
 
     A pivot of more than PIVOT_ROWS places is passed on in parts, all of it, so memory is bounded.
     """
@@ -321,15 +328,15 @@ def _by_pivot(least: int):
         hot: int | None = None  # the pivot that is passed on in parts
         passed = 0
 
-        def settle(h: np.ndarray, ids: np.ndarray, tk: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        def settle(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
             known = at < 0
-            ki, kt, ka, kb = ids[known], tk[known], -1 - at[known], h[known] & 0xFFFFFFFF
-            h, ids, tk, at = h[~known], ids[~known], tk[~known], at[~known]
-            order = np.lexsort((at, tk, ids, h))
-            h, ids, tk, at = (x[order] for x in (h, ids, tk, at))
+            settled = h[known], doc[known], at[known]
+            h, doc, at = h[~known], doc[~known], at[~known]
+            order = np.lexsort((at, doc, h))
+            h, doc, at = (x[order] for x in (h, doc, at))
             if len(h):  # repeated rows of the table: one document
-                fresh = np.r_[True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]) | (tk[1:] != tk[:-1]) | (at[1:] != at[:-1])]
-                h, ids, tk, at = (x[fresh] for x in (h, ids, tk, at))
+                fresh = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])]
+                h, doc, at = (x[fresh] for x in (h, doc, at))
             p, d0, own, e1, e2 = at >> 32, at >> 25 & 127, at >> 18 & 127, at >> 9 & 511, at & 511
             s0, s1 = p - d0, p - d0 + own
             always = h == hot if hot is not None else np.zeros(len(h), bool)
@@ -360,13 +367,12 @@ def _by_pivot(least: int):
                     salt = np.where(always[go], 1 + (passed + nth) // MANY, np.where(count[inverse] > MANY, 1 + nth // MANY, 0))
                 else:
                     salt = nth
-                cols.append((ids[go], tk[go], route[go].view(np.int64), salt << 45 | a[go] << 14 | (b - a)[go] << 7 | (p - a)[go]))
-            i, t, route, need = (np.concatenate([x[k] for x in cols]) for k in range(4))
-            return record(id=np.r_[ki, i], tk=np.r_[kt, t], route=np.r_[kb, route], need=np.r_[-1 - ka, need])
+                cols.append((route[go].view(np.int64), doc[go], salt << 45 | a[go] << 14 | (b - a)[go] << 7 | (p - a)[go]))
+            return record(**{name: np.concatenate([x[k] for x in (settled, *cols)]) for k, name in enumerate(("route", "doc", "need"))})
 
         parts, size = [], 0
         for batch in batches:
-            parts.append([batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "id", "tk", "at")])
+            parts.append([batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "doc", "at")])
             size += batch.num_rows
             if size >= PIVOT_ROWS:
                 cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
@@ -387,28 +393,34 @@ def _by_pivot(least: int):
     return run
 
 
+CONTEXT = "route long, salt int, id long, tk long, start int, d int, context binary, stop int"
+_KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+_NAMES = ("route", "salt", "id", "tk", "start", "d", "context", "stop")
+
+
+def context_rows(rows: list[tuple]) -> pa.RecordBatch:
+    """Contexts, and settled ranges, which have a stop and no context."""
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(_NAMES)
+    return record(**{n: pa.array(c, k) for n, c, k in zip(_NAMES, cols, _KINDS, strict=True)})
+
+
 def _cut_contexts(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for i, t, x, routes, needs in zip(*(batch.column(k).to_pylist() for k in ("id", "tk", "text", "routes", "needs")), strict=True):
+            check = owner_check(batch.column("id").to_numpy()).tolist()
+            for i, t, x, routes, needs, own in zip(*(batch.column(k).to_pylist() for k in ("id", "tk", "text", "routes", "needs")), check, strict=True):
                 for route, n in zip(routes, needs, strict=True):
-                    start = n >> 14 & 0x7FFFFFFF
-                    out.append((route, n >> 45, i, t, start, n & 127, x[start : start + (n >> 7 & 127) + least]))
+                    if n >= 0:
+                        start = n >> 14 & 0x7FFFFFFF
+                        out.append((route, n >> 45, i, t, start, n & 127, x[start : start + (n >> 7 & 127) + least], 0))
+                    elif route >> 32 & 0xFFFFFFFF == own:
+                        out.append((t, 0, i, t, -1 - n, 0, None, route & 0xFFFFFFFF))
             yield context_rows(out)
 
     return run
 
 
-CONTEXT = "route long, salt int, id long, tk long, start int, d int, context binary"
-_KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-
-
-def context_rows(rows: list[tuple], **more: pa.Array) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-    return record(**{n: pa.array(c, k) for n, c, k in zip(("route", "salt", "id", "tk", "start", "d", "context"), cols, _KINDS, strict=True)}, **more)
-
-
 def finer(route: int, d: int, context: bytes, a: int, b: int, least: int) -> list[tuple[int, int, int]]:
     """Windows a to b of a context in parts (route, a, b) that share all but STEP - 1 bytes: windows whose distance to the
     pivot agrees in its multiple of STEP are equal only where those bytes are."""
@@ -424,9 +436,9 @@ def finer(route: int, d: int, context: bytes, a: int, b: int, least: int) -> lis
 
 
 def _sort_contexts(least: int):
-    """Step 3, over contexts sorted by (route, salt, id, tk, start): the duplicates among their windows (context null),
+    """Step 3, over contexts sorted by (route, salt, id, tk, start): the duplicates among their windows as settled ranges,
     and of routes that are dealt over several shards (salt > 0) the windows that no earlier one of the shard equals, for
-    the next round.
+    the next round. Ranges that are settled already pass through.
 
     Equal contexts of a route, compared by their bytes, are sorted once.
     """
@@ -457,7 +469,7 @@ def _sort_contexts(least: int):
             earlier = [*earlier, shard] if rows[0][:2] == rows[-1][:2] else [shard]
             going = rows[-1][:2]
             a, b, o = runs(pos[dup], pos[dup] + least, rec[dup])
-            again = list(zip(*equal, strict=True)) if equal else [()] * 4
+            found = zip(ids[o].tolist(), tks[o].tolist(), a.tolist(), b.tolist(), strict=True)
             more = []
             if any(r[1] for r in rows):
                 dealt = np.array([r[1] > 0 for r in rows], bool)
@@ -466,17 +478,17 @@ def _sort_contexts(least: int):
                 for u, v, k in zip(x.tolist(), (y - 1).tolist(), owner.tolist(), strict=True):
                     route, _, i, t, start, d, context = rows[k]
                     u, v = u - int(shard.begin[k]), v - int(shard.begin[k])
-                    more += [(r, 0, i, t, start + f, d - f, context[f : g + least]) for r, f, g in finer(route, d, context, u, v, least)]
-            n, m = len(a) + len(equal), len(more)
-            found = [(0, 0, i, t, f, 0, None) for i, t, f in chain(zip(ids[o].tolist(), tks[o].tolist(), a.tolist(), strict=True), zip(*again[:3], strict=True))]
-            out = context_rows(found + more, stop=pa.array([*b.tolist(), *again[3], *([0] * m)], pa.int32()))
-            assert out.num_rows == n + m
+                    more += [(r, 0, i, t, start + f, d - f, context[f : g + least], 0) for r, f, g in finer(route, d, context, u, v, least)]
+            out = context_rows([(t, 0, i, t, f, 0, None, g) for i, t, f, g in chain(found, equal)] + more)
             rows, where, equal = [], {}, []
             return out
 
         size, before = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("route", "salt", "id", "tk", "start", "d", "context")), strict=True):
+            settled = batch.column("context").is_null()
+            yield batch.filter(settled)
+            batch = batch.filter(pc.invert(settled))
+            for row in zip(*(batch.column(k).to_pylist() for k in _NAMES[:-1]), strict=True):
                 if row[:5] == before:  # a repeated row of the table: the same document
                     continue
                 if size >= SHARD or len(equal) >= 100_000:
@@ -532,24 +544,21 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     """
     if not K + 2 <= least <= K + 127:
         raise ValueError("least is out of range")
-    keyed = df.select(*_keys(id_col, text_col))
-    with_more = keyed if not carry else df.select(*_keys(id_col, text_col), F.struct(*carry).alias("more"))
-    rows = map_batches(keyed, _pivot_rows(least), "h long, id long, tk long, at long")
-    judged = saved(map_batches(rows.repartition("h").sortWithinPartitions("h"), _by_pivot(least), "id long, tk long, route long, need long"))
-    needs = judged.where("need >= 0").groupBy("id", "tk").agg(F.collect_list("route").alias("routes"), F.collect_list("need").alias("needs"))  # both in the order of the rows
-    contexts = map_batches(keyed.hint("merge").join(needs, ["id", "tk"]).select("id", "tk", "text", "routes", "needs"), _cut_contexts(least), CONTEXT)
+    keyed = df.select(*_keys(id_col, text_col), *([F.struct(*carry).alias("more")] if carry else [])).withColumn("doc", F.xxhash64("id", "tk"))
+    rows = map_batches(keyed.select("id", "tk", "doc", "text"), _pivot_rows(least), "h long, doc long, at long")
+    judged = map_batches(rows.repartition("h").sortWithinPartitions("h"), _by_pivot(least), "route long, doc long, need long")
+    needs = judged.groupBy("doc").agg(F.collect_list("route").alias("routes"), F.collect_list("need").alias("needs"))  # both in the order of the rows
+    # both joins shuffle the same columns of the texts, so that is done once
+    contexts = map_batches(keyed.hint("merge").join(needs, "doc"), _cut_contexts(least), CONTEXT)
     ordered = ("route", "salt", "id", "tk", "start")
-    sorted_ = saved(map_batches(contexts.repartition("route", "salt").sortWithinPartitions(*ordered), _sort_contexts(least), CONTEXT + ", stop int"))
-    again = sorted_.where("context is not null").drop("stop")
-    merged = map_batches(again.repartition("route").sortWithinPartitions(*ordered), _sort_contexts(least), CONTEXT + ", stop int")
-    found = judged.where("need < 0").selectExpr("id", "tk", "cast(-1 - need as int) start", "cast(route as int) stop")
-    for settled in (sorted_, merged):
-        found = found.union(settled.where("context is null").select("id", "tk", "start", "stop"))
-    found = found.groupBy("id", "tk").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    joined = with_more.hint("merge").join(found, ["id", "tk"], "left").select("id", "text", "found", *(["more"] if carry else []))
+    for by in (("route", "salt"), ("route",)):
+        contexts = map_batches(contexts.repartition(*by).sortWithinPartitions(*ordered), _sort_contexts(least), CONTEXT)
+    found = contexts.groupBy(F.xxhash64("id", "tk").alias("doc"), F.col("id").alias("of"), F.col("tk").alias("key")).agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    mine = (keyed.doc == found.doc) & (keyed.id == found.of) & (keyed.tk == found.key)
+    joined = keyed.hint("merge").join(found, mine, "left").select(keyed.doc, "id", "tk", "text", "found", *(["more"] if carry else []))
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.StringType() if decoded else T.BinaryType()), T.StructField("spans", T.ArrayType(span))])
-    out = map_batches(joined, _remove(decoded), T.StructType([*schema.fields, with_more.schema["more"]]) if carry else schema)
+    out = map_batches(joined, _remove(decoded), T.StructType([*schema.fields, keyed.schema["more"]]) if carry else schema)
     return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
 
 

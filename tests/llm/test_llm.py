@@ -72,25 +72,23 @@ def run_local(texts):
     import pyarrow as pa
 
     tab = lambda rows, names, kinds: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names) if rows else None
-    many = [(i, 0, t) for i, t in texts.items()]
-    first = [tab(many[a : a + 40], ["id", "tk", "text"], [pa.int64(), pa.int32(), pa.binary()]) for a in range(0, len(many), 40)]
+    many = [(i, 0, i * 7, t) for i, t in texts.items()]
+    first = [tab(many[a : a + 40], ["id", "tk", "doc", "text"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()]) for a in range(0, len(many), 40)]
     half = len(first) // 2
     out = [b for part in (first[:half], first[half:]) for b in suffix_dedup._pivot_rows(100)(iter(part))]
     rows = pa.Table.from_batches(out).sort_by("h")
-    judged = pa.Table.from_batches(list(suffix_dedup._by_pivot(100)(iter(rows.to_batches(50))))).to_pylist()
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    contexts = []
-    for r in judged:
-        if (n := r["need"]) >= 0:
-            start = n >> 14 & 0x7FFFFFFF
-            contexts.append((r["route"], n >> 45, r["id"], r["tk"], start, n & 127, texts[r["id"]][start : start + (n >> 7 & 127) + 100]))
-    found = [(r["id"], -1 - r["need"], r["route"]) for r in judged if r["need"] < 0]
+    needs = {}
+    for b in suffix_dedup._by_pivot(100)(iter(rows.to_batches(50))):
+        for r in b.to_pylist():
+            needs.setdefault(r["doc"] // 7, []).append((r["route"], r["need"]))
+    cut = [(i, 0, texts[i], [r for r, _ in x], [n for _, n in x]) for i, x in needs.items()]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    now = list(suffix_dedup._cut_contexts(100)(iter([tab(cut, ["id", "tk", "text", "routes", "needs"], kinds)] if cut else [])))
     for _ in range(2):  # the second round sorts what is left of dealt routes
-        batch = tab(sorted(contexts, key=lambda r: r[:5]), ["route", "salt", "id", "tk", "start", "d", "context"], kinds)
-        out = [r for b in suffix_dedup._sort_contexts(100)(iter([batch] if batch else [])) for r in b.to_pylist()]
-        found += [(r["id"], r["start"], r["stop"]) for r in out if r["context"] is None]
-        contexts = [(r["route"], r["salt"], r["id"], r["tk"], r["start"], r["d"], r["context"]) for r in out if r["context"] is not None]
-    assert not contexts
+        by = [(k, "ascending") for k in ("route", "salt", "id", "tk", "start")]
+        now = list(suffix_dedup._sort_contexts(100)(iter(pa.Table.from_batches(now).sort_by(by).to_batches(70) if now else [])))
+    found = [(r["id"], r["start"], r["stop"]) for b in now for r in b.to_pylist()]
+    assert all(r["context"] is None for b in now for r in b.to_pylist())
     for i, t in texts.items():
         gone = bytearray(len(t))
         for j, a, b in found:
@@ -169,16 +167,54 @@ def test_language_id(spark):
 
 
 def test_forward_sums_all_segmentations():
-    pieces = sorted([b" ", b"a", b"b", b"ab", b"ba", b" a", b"aba"])
-    lattice, p = langid.Lattice(pieces), np.random.default_rng(1).random((len(pieces) + 1, 1))
-    p[-1] = 0
+    pieces = sorted([b" ", b"a", b"b", b"ab", b"ba", b" a", b"aba", b"abababababab"])
+    lattice, p = langid.Lattice(pieces), np.random.default_rng(1).random((len(pieces), 2))
     index = {x: i for i, x in enumerate(pieces)}
 
-    def total(s):
-        return 1.0 if not s else sum(p[index[s[:k]], 0] * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in index)
-
-    words = ["abab", "b", "aabba"]
-    assert np.allclose(np.exp(lattice.scores(words, p))[:, 0], [total((" " + w).encode()) for w in words])
+    def total(s, n, have):
+        if s not in have:
+            have[s] = 1.0 if not s else sum(p[index[s[:k]], n] * total(s[k:], n, have) for k in range(1, len(s) + 1) if s[:k] in index)
+        return have[s]
+
+    words = ["abab", "b", "aabba", "ab" * 20, "abba" * 9]
+    want = [[total((" " + w).encode(), n, {}) for n in range(2)] for w in words]
+    assert np.allclose(np.exp(lattice.scores(words, p)), want)
+
+
+def test_forward_long_words():
+    """A run of many thousand letters is summed whole: nothing is cut and nothing vanishes."""
+    from fractions import Fraction
+
+    pieces = [b" ", b"a", b"aa"]
+    p = np.array([[0.5, 0.25], [2.0**-20, 2.0**-30], [2.0**-41, 2.0**-50]])
+    n = 3000
+    want = []
+    for lang in range(2):
+        one, two = Fraction(p[1, lang]), Fraction(p[2, lang])
+        x, y = Fraction(1), one
+        for _ in range(n - 1):
+            x, y = y, y * one + x * two
+        y *= Fraction(p[0, lang])
+        want.append((len(bin(y.numerator)) - len(bin(y.denominator))) * np.log(2))
+    got = langid.Lattice(pieces).scores(["a" * n, "a"], p)
+    assert np.allclose(got[0], want, atol=2) and np.allclose(got[1], np.log(p[0] * p[1]))
+    assert np.isfinite(got).all()
+
+
+def test_expected_counts_of_pieces():
+    """Expected counts over all segmentations, against every segmentation written out."""
+    pieces = sorted([b" ", b"a", b"b", b"ab", b" a", b"ba"])
+    p = np.random.default_rng(2).random((len(pieces), 1))
+    index = {x: i for i, x in enumerate(pieces)}
+    cuts = lambda s: [[]] if not s else [[s[:k], *r] for k in range(1, len(s) + 1) if s[:k] in index for r in cuts(s[k:])]
+    want = np.zeros(len(pieces))
+    words, weight = ["abab", "ba", "a"], np.array([2.0, 1.0, 3.0])
+    for w, c in zip(words, weight, strict=True):
+        every = [(x, np.prod([p[index[y], 0] for y in x])) for x in cuts((" " + w).encode())]
+        for x, q in every:
+            for y in x:
+                want[index[y]] += c * q / sum(q for _, q in every)
+    assert np.allclose(langid.Lattice(pieces).edges(words).expected(p, weight), want)
 
 
 def test_simhash(spark):
