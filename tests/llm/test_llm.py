@@ -394,6 +394,66 @@ def test_quality(spark):
     assert quality.fit_crf([], []) is quality.PRIOR
 
 
+def test_quality_learns_lines(spark):
+    """Labels are those of documents; lines of mixed documents still get labels of their own, and the chain sees them."""
+    rnd = random.Random(31)
+    good = lambda: " ".join(rnd.choice("bdfgklmn") + rnd.choice(["river", "stone", "walks", "over", "old", "bridge"]) for _ in range(12)) + "."
+    bad = lambda: " | ".join(rnd.choice("bdfgklmn") + rnd.choice(["home", "login", "share", "cart", "menu", "terms"]) for _ in range(10))
+    mixed = lambda a, m, b, n: "\n".join(rnd.sample([*(a() for _ in range(m)), *(b() for _ in range(n))], m + n))
+    texts = [mixed(good, 5, bad, k % 3) for k in range(40)] + [mixed(bad, 5, good, k % 3) for k in range(40)]
+    labels = [1] * 40 + [0] * 40
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(500, None), (None, good())], "doc_id long, text string")
+    marks = [(i, q) for i, q in enumerate(labels)] + [(500, 1), (None, 0), (999, 1)]
+    model = quality.train(frame, spark.createDataFrame(marks, "doc_id long, quality int"))
+    _, label, share = quality.content_lines(["\n".join([good(), bad(), bad(), good(), good()]), good(), bad()], model)
+    assert label.tolist() == [1, 0, 0, 1, 1, 1, 0] and 0.4 < share[0] < 0.8 and share[1:].tolist() == [1, 0]
+    held_out = ["\n".join([*(good() for _ in range(3)), bad()]) for _ in range(30)] + ["\n".join([good(), *(bad() for _ in range(3))]) for _ in range(30)]
+    got = {r.doc_id: r.kept for r in quality.judge(docs(spark, list(enumerate(held_out))), model).collect()}
+    assert [got[i] for i in range(60)] == [True] * 30 + [False] * 30
+    assert quality.train(frame, spark.createDataFrame([(0, 1)], "doc_id long, quality int")) is quality.PRIOR
+    assert quality.train(frame.limit(0), spark.createDataFrame(marks, "doc_id long, quality int")) is quality.PRIOR
+    assert quality.judge(frame.limit(0), model).count() == 0
+
+
+def test_quality_held_out():
+    """Accuracy on labelled documents that the model was not fitted on, against the hand-set weights."""
+    import pandas as pd
+
+    rows = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").merge(pd.read_parquet("/root/testdata/sf0.01/labels.parquet"), on="doc_id").sort_values("doc_id")
+    texts, q = [t or "" for t in rows.text], rows.quality.to_numpy()
+    right = {"trained": 0, "hand-set": 0}
+    for part in (0, 1):
+        fit, ask = [i for i in range(len(q)) if i % 2 == part], [i for i in range(len(q)) if i % 2 != part]
+        for name, model in (("trained", quality.fit_crf([texts[i] for i in fit], [int(q[i]) for i in fit])), ("hand-set", quality.PRIOR)):
+            lines, _, share = quality.content_lines([texts[i] for i in ask], model)
+            kept = ~quality.base_failed(lines.words, quality.repeat_words(lines.codes, lines.words)) & (share >= 0.5)
+            right[name] += (kept == q[ask]).sum()
+    assert right["trained"] >= max(0.965 * len(q), right["hand-set"] - 2)
+
+
+def test_marginals_brute():
+    from itertools import product
+
+    rnd = np.random.default_rng(13)
+    sizes = np.array([3, 1, 4])
+    emit, move = rnd.normal(size=(sizes.sum(), 2)), rnd.normal(size=(2, 2))
+    y, weight = rnd.integers(0, 2, sizes.sum()), rnd.random(sizes.sum())
+    got, gradient = quality.marginals(emit, move, quality.grid(sizes), y, weight)
+    at, want = 0, np.zeros((2, 2))
+    for n in sizes:
+        every = list(product((0, 1), repeat=int(n)))
+        e = np.exp([sum(emit[at + k, x[k]] for k in range(n)) + sum(move[x[k], x[k + 1]] for k in range(n - 1)) for x in every])
+        e /= e.sum()
+        for k in range(n):
+            assert np.isclose(got[at + k, 1], sum(p for p, x in zip(e, every, strict=True) if x[k]))
+            if k + 1 < n:
+                for p, x in zip(e, every, strict=True):
+                    want[x[k], x[k + 1]] -= p * weight[at + k + 1]
+                want[y[at + k], y[at + k + 1]] += weight[at + k + 1]
+        at += n
+    assert np.allclose(gradient, want)
+
+
 def test_viterbi_brute():
     from itertools import product
 
