@@ -370,6 +370,48 @@ def test_licenses_inside_lines_and_runs(spark):
     assert (got[3].spans[0]["first"], got[3].spans[0]["last"]) == (1, len(wrapped.split("\n")) - 3)
 
 
+def test_licenses_recall(spark):
+    """Notices and whole licences with noise, reflowed, quoted and in the middle of prose: at least 0.9 are found."""
+    rnd = random.Random(24)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+    rows, want = [], {}
+    for k, (name, text) in enumerate(licenses.TEMPLATES * 3):
+        words = text.split()
+        for _ in range(len(words) // 25):
+            words[rnd.randrange(len(words))] = rnd.choice(["X", "Corp", "2019"])
+        wide = rnd.choice([30, 60, 10_000])
+        form = rnd.choice(["\n", "\n\n", "\n# ", " "]) if len(words) > 60 else rnd.choice([" ", " *"])
+        lines = re.findall(rf".{{1,{wide}}}(?:\s|$)", " ".join(words))
+        rows.append((k, prose(rnd.randrange(40)) + rnd.choice(["\n", " ", ". "]) + form.join(x.strip() for x in lines) + rnd.choice(["\n", " "]) + prose(rnd.randrange(1, 40))))
+        want[k] = name
+    rows += [(1000 + k, prose(300)) for k in range(50)] + [(2000, prose(60_000) + " Released under the MIT License. " + prose(10))]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
+    same = sum(got[k].license == name for k, name in want.items())
+    assert same >= 0.9 * len(want), [(want[k], got[k].license) for k in want if got[k].license != want[k]]
+    assert all(got[1000 + k].license is None for k in range(50)) and got[2000].license == "MIT"
+    assert licenses.scan(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_licenses_whole_query(spark):
+    """scan() against a scan of every window and unit without bounds, inverted lists or shortcuts."""
+    rnd = random.Random(25)
+    short = [t for t in licenses.TEMPLATES if len(t[1].split()) < 14]
+    grams = [(n, licenses.bigrams(t)) for n, t in short]
+    rows = []
+    for k in range(60):
+        parts = [rnd.choice(short)[1] if rnd.random() < 0.4 else " ".join(rnd.choice(["under", "the", "license", "version", "x", "y", "gnu"]) for _ in range(rnd.randrange(1, 8))) for _ in range(rnd.randrange(1, 5))]
+        rows.append((k, "".join(p + rnd.choice([" ", "\n", "\n\n", "/"]) for p in parts)))
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows), short).collect()}
+    for k, t in rows:
+        best = 0.0
+        for run in re.split(r"\n\s*\n", t):
+            for unit in [run, *run.split("\n")]:
+                words = licenses.WORD.findall(unit.lower())
+                spans = [words] + [words[a : a + sum(g.values()) + 1] for _, g in grams for a in range(len(words))]
+                best = max(best, *(licenses.dice(licenses.Counter(zip(w, w[1:], strict=False)), g) for w in spans for _, g in grams if len(w) == len(words) or len(w) == sum(g.values()) + 1))
+        assert (got[k].score or 0) == pytest.approx(best if best >= 0.8 else 0), t
+
+
 def plain_counts(t):
     words = re.findall(r"[^\x20\x09-\x0d]+", t or "")
     grams = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
