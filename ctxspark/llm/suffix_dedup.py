@@ -33,6 +33,8 @@ LEAST, K = 100, 24
 STRETCH, SHARD = 1_500_000, 1_000_000
 #: Contexts of one route that a shard takes; a route with more is dealt over several.
 MANY = 5000
+#: Earlier shards of a dealt route that one task searches; what it misses so the next round finds.
+EARLIER = 4
 #: Places of one pivot that are held at once.
 PIVOT_ROWS = 200_000
 #: Windows of a dealt route that go on together: they share least - STEP + 1 bytes.
@@ -253,7 +255,8 @@ def owner_check(ids: np.ndarray) -> np.ndarray:
 
 
 def _pivot_rows(least: int):
-    """Step 1: (h, doc, at) of every pivot; at packs its place, what it stands for, and hashes of both half contexts.
+    """Step 1: (h, doc, at) of every pivot: 48 bits of its hash and 16 of its left half context's; its place, what it
+    stands for, and 18 bits of its right half context's hash.
 
     at < 0 marks a range that repeats an earlier one of the stretch, byte for byte: it begins at -1 - at and ends at the
     low half of h; the high half is owner_check().
@@ -268,11 +271,11 @@ def _pivot_rows(least: int):
             begin = end - size
             hashes, place, s0, s1 = pivots(raw, begin, end, least)
             doc = np.searchsorted(end, s0, "right")
-            h = hashes.of(place, place + K)
+            h = hashes.of(place, place + K) >> np.uint64(16) << np.uint64(16)
             left, right = s0 <= place - half, s1 > place - half
-            e1 = np.where(left, hashes.of(np.where(left, place - half, 0), np.where(left, place + K, 0)) >> np.uint64(55), np.uint64(0))
+            e1 = np.where(left, hashes.of(np.where(left, place - half, 0), np.where(left, place + K, 0)) >> np.uint64(48), np.uint64(0))
             upto = np.where(right, place + K + half, 0)
-            e2 = np.where(right, hashes.of(np.where(right, place, 0), upto) >> np.uint64(55), np.uint64(0))
+            e2 = np.where(right, hashes.of(np.where(right, place, 0), upto) >> np.uint64(46), np.uint64(0))
             ids_, tks_, keys_, bases_ = (np.array(x, np.int64) for x in (ids, tks, keys, bases))
             pos = bases_[doc] + place - begin[doc]
             shape = ((place - s0) << 7 | (s1 - s0)).astype(np.uint64)
@@ -290,9 +293,9 @@ def _pivot_rows(least: int):
                 again[ask] = (own[first[ask]] == own[ask]) & (same_bytes(words8(raw), s0[ask], s0[first[ask]], long) >= long)
             a, b, o = runs((pos - d0)[again], (pos - d0 + own + least)[again], doc[again])
             keep = ~again
-            at = pos[keep] << 32 | d0[keep] << 25 | own[keep] << 18 | e1[keep].astype(np.int64) << 9 | e2[keep].astype(np.int64)
+            at = pos[keep] << 32 | d0[keep] << 25 | own[keep] << 18 | e2[keep].astype(np.int64)
             stop = owner_check(ids_[o]) << np.uint64(32) | b.astype(np.uint64)
-            return record(h=np.r_[h[keep], stop].view(np.int64), doc=np.r_[keys_[doc[keep]], keys_[o]], at=np.r_[at, -1 - a])
+            return record(h=np.r_[h[keep] | e1[keep], stop].view(np.int64), doc=np.r_[keys_[doc[keep]], keys_[o]], at=np.r_[at, -1 - a])
 
         ids, tks, keys, bases, texts, size = [], [], [], [], [], 0
         for batch in batches:
@@ -316,7 +319,7 @@ def _pivot_rows(least: int):
 
 
 def _by_pivot(least: int):
-    """Step 2, over rows sorted by h: ranges that are settled (need = at and route = h), and the contexts that share a
+    """Step 2, over rows sorted by h, those of one pivot together: ranges that are settled (need = at and route = h), and the contexts that share a
     pivot and half a context with another place: need packs their salt, where their windows begin, how many more there
     are, and how far the pivot is from the first.
 
@@ -337,7 +340,8 @@ def _by_pivot(least: int):
             if len(h):  # repeated rows of the table: one document
                 fresh = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])]
                 h, doc, at = (x[fresh] for x in (h, doc, at))
-            p, d0, own, e1, e2 = at >> 32, at >> 25 & 127, at >> 18 & 127, at >> 9 & 511, at & 511
+            e1, h = h & 0xFFFF, h >> 16
+            p, d0, own, e2 = at >> 32, at >> 25 & 127, at >> 18 & 127, at & 0x3FFFF
             s0, s1 = p - d0, p - d0 + own
             always = h == hot if hot is not None else np.zeros(len(h), bool)
 
@@ -376,12 +380,12 @@ def _by_pivot(least: int):
             size += batch.num_rows
             if size >= PIVOT_ROWS:
                 cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                cut = int(np.searchsorted(cols[0], cols[0][-1]))
+                cut = int(np.searchsorted(cols[0] >> 16, cols[0][-1] >> 16))
                 if cut:
                     yield settle(*(x[:cut] for x in cols))
                     parts, size = [[x[cut:] for x in cols]], size - cut
                 if size >= PIVOT_ROWS:  # all of one pivot
-                    now = int(cols[0][-1])
+                    now = int(cols[0][-1] >> 16)
                     passed = passed if hot == now else 0
                     hot = now
                     yield settle(*(x[cut:] for x in cols))
@@ -404,17 +408,19 @@ def context_rows(rows: list[tuple]) -> pa.RecordBatch:
     return record(**{n: pa.array(c, k) for n, c, k in zip(_NAMES, cols, _KINDS, strict=True)})
 
 
-def _cut_contexts(least: int):
+def _cut_contexts(least: int, dealt: bool):
+    """The contexts of routes that are dealt over several shards; or those of all others, and the settled ranges."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             check = owner_check(batch.column("id").to_numpy()).tolist()
             for i, t, x, routes, needs, own in zip(*(batch.column(k).to_pylist() for k in ("id", "tk", "text", "routes", "needs")), check, strict=True):
                 for route, n in zip(routes, needs, strict=True):
-                    if n >= 0:
+                    if n >= 0 and (n >> 45 > 0) == dealt:
                         start = n >> 14 & 0x7FFFFFFF
                         out.append((route, n >> 45, i, t, start, n & 127, x[start : start + (n >> 7 & 127) + least], 0))
-                    elif route >> 32 & 0xFFFFFFFF == own:
+                    elif n < 0 and not dealt and route >> 32 & 0xFFFFFFFF == own:
                         out.append((t, 0, i, t, -1 - n, 0, None, route & 0xFFFFFFFF))
             yield context_rows(out)
 
@@ -436,18 +442,18 @@ def finer(route: int, d: int, context: bytes, a: int, b: int, least: int) -> lis
 
 
 def _sort_contexts(least: int):
-    """Step 3, over contexts sorted by (route, salt, id, tk, start): the duplicates among their windows as settled ranges,
-    and of routes that are dealt over several shards (salt > 0) the windows that no earlier one of the shard equals, for
-    the next round. Ranges that are settled already pass through.
+    """Step 3, over contexts sorted by (route, id, tk, start): the duplicates among their windows as settled ranges,
+    and of routes that are dealt over several shards (salt > 0) the windows that no earlier one here equals, for the next
+    round; of such a route no more than EARLIER shards are held. Ranges that are settled already pass through.
 
     Equal contexts of a route, compared by their bytes, are sorted once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         earlier: list[Shard] = []  # shards that hold contexts of the route that goes on
-        going: tuple | None = None
+        going: int | None = None
         rows: list[tuple] = []
-        where: dict[tuple[int, bytes], int] = {}
+        where: set[tuple[int, bytes]] = set()
         equal: list[tuple] = []
 
         def settle() -> pa.RecordBatch:
@@ -458,16 +464,18 @@ def _sort_contexts(least: int):
             rec, mine = shard.record[place], shard.record[low]
             pos, first = starts[rec] + place - shard.begin[rec], starts[mine] + low - shard.begin[mine]
             dup = (ids[rec] != ids[mine]) | (tks[rec] != tks[mine]) | (pos != first)
-            if earlier and going == rows[0][:2]:
-                same = np.array([r[:2] == going for r in rows], bool)
+            if earlier and going == rows[0][0]:
+                same = np.array([r[0] == going for r in rows], bool)
                 ask = np.flatnonzero(~dup & same[rec])
                 for other in earlier:
                     ask = ask[~dup[ask]]
                     dup[ask] = other.holds(shard, place[ask])
             else:
                 earlier = []
-            earlier = [*earlier, shard] if rows[0][:2] == rows[-1][:2] else [shard]
-            going = rows[-1][:2]
+            earlier = [*earlier, shard] if rows[0][0] == rows[-1][0] else [shard]
+            if rows[-1][1]:
+                earlier = earlier[-EARLIER:]
+            going = rows[-1][0]
             a, b, o = runs(pos[dup], pos[dup] + least, rec[dup])
             found = zip(ids[o].tolist(), tks[o].tolist(), a.tolist(), b.tolist(), strict=True)
             more = []
@@ -480,7 +488,7 @@ def _sort_contexts(least: int):
                     u, v = u - int(shard.begin[k]), v - int(shard.begin[k])
                     more += [(r, 0, i, t, start + f, d - f, context[f : g + least], 0) for r, f, g in finer(route, d, context, u, v, least)]
             out = context_rows([(t, 0, i, t, f, 0, None, g) for i, t, f, g in chain(found, equal)] + more)
-            rows, where, equal = [], {}, []
+            rows, where, equal = [], set(), []
             return out
 
         size, before = 0, None
@@ -489,17 +497,18 @@ def _sort_contexts(least: int):
             yield batch.filter(settled)
             batch = batch.filter(pc.invert(settled))
             for row in zip(*(batch.column(k).to_pylist() for k in _NAMES[:-1]), strict=True):
-                if row[:5] == before:  # a repeated row of the table: the same document
+                place = (row[0], *row[2:5])
+                if place == before:  # a repeated row of the table: the same document
                     continue
                 if size >= SHARD or len(equal) >= 100_000:
                     yield settle()
                     size = 0
-                before = row[:5]
-                key = (row[0], row[1], row[6])
+                before = place
+                key = (row[0], row[6])
                 if key in where:
                     equal.append((row[2], row[3], row[4], row[4] + len(row[6])))
                 else:
-                    where[key] = len(rows)
+                    where.add(key)
                     rows.append(row)
                     size += len(row[6])
         if rows:
@@ -512,9 +521,9 @@ def _remove(decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, spans = [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            for text, found, own in zip(*(batch.column(c).to_pylist() for c in ("text", "found", "own")), strict=True):
                 cut: list[list[int]] = []
-                for r in sorted((r["start"], r["stop"]) for r in found or ()):
+                for r in sorted((r["start"], r["stop"]) for r in found or () if r["own"] == own):
                     if cut and r[0] <= cut[-1][1]:
                         cut[-1][1] = max(cut[-1][1], r[1])
                     else:
@@ -546,16 +555,18 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
         raise ValueError("least is out of range")
     keyed = df.select(*_keys(id_col, text_col), *([F.struct(*carry).alias("more")] if carry else [])).withColumn("doc", F.xxhash64("id", "tk"))
     rows = map_batches(keyed.select("id", "tk", "doc", "text"), _pivot_rows(least), "h long, doc long, at long")
-    judged = map_batches(rows.repartition("h").sortWithinPartitions("h"), _by_pivot(least), "route long, doc long, need long")
+    judged = map_batches(rows.repartition(F.shiftright("h", 16)).sortWithinPartitions("h"), _by_pivot(least), "route long, doc long, need long")
     needs = judged.groupBy("doc").agg(F.collect_list("route").alias("routes"), F.collect_list("need").alias("needs"))  # both in the order of the rows
-    # both joins shuffle the same columns of the texts, so that is done once
-    contexts = map_batches(keyed.hint("merge").join(needs, "doc"), _cut_contexts(least), CONTEXT)
-    ordered = ("route", "salt", "id", "tk", "start")
-    for by in (("route", "salt"), ("route",)):
-        contexts = map_batches(contexts.repartition(*by).sortWithinPartitions(*ordered), _sort_contexts(least), CONTEXT)
-    found = contexts.groupBy(F.xxhash64("id", "tk").alias("doc"), F.col("id").alias("of"), F.col("tk").alias("key")).agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    mine = (keyed.doc == found.doc) & (keyed.id == found.of) & (keyed.tk == found.key)
-    joined = keyed.hint("merge").join(found, mine, "left").select(keyed.doc, "id", "tk", "text", "found", *(["more"] if carry else []))
+    found = None
+    # all joins shuffle the same columns of the texts by doc alone, so that is done once
+    for dealt, rounds in ((False, (("route",),)), (True, (("route", "salt"), ("route",)))):
+        now = map_batches(keyed.hint("merge").join(needs, "doc"), _cut_contexts(least, dealt), CONTEXT)
+        for by in rounds:
+            now = map_batches(now.repartition(*by).sortWithinPartitions("route", "id", "tk", "start"), _sort_contexts(least), CONTEXT)
+        found = now if found is None else found.union(now)
+    found = found.select(F.xxhash64("id", "tk").alias("doc"), F.struct("start", "stop", F.hash("id", "tk").alias("own")).alias("range"))
+    found = found.groupBy("doc").agg(F.collect_list("range").alias("found"))
+    joined = keyed.hint("merge").join(found, "doc", "left").withColumn("own", F.hash("id", "tk"))
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.StringType() if decoded else T.BinaryType()), T.StructField("spans", T.ArrayType(span))])
     out = map_batches(joined, _remove(decoded), T.StructType([*schema.fields, keyed.schema["more"]]) if carry else schema)

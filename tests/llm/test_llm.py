@@ -83,12 +83,14 @@ def run_local(texts):
             needs.setdefault(r["doc"] // 7, []).append((r["route"], r["need"]))
     cut = [(i, 0, texts[i], [r for r, _ in x], [n for _, n in x]) for i, x in needs.items()]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    now = list(suffix_dedup._cut_contexts(100)(iter([tab(cut, ["id", "tk", "text", "routes", "needs"], kinds)] if cut else [])))
-    for _ in range(2):  # the second round sorts what is left of dealt routes
-        by = [(k, "ascending") for k in ("route", "salt", "id", "tk", "start")]
-        now = list(suffix_dedup._sort_contexts(100)(iter(pa.Table.from_batches(now).sort_by(by).to_batches(70) if now else [])))
-    found = [(r["id"], r["start"], r["stop"]) for b in now for r in b.to_pylist()]
-    assert all(r["context"] is None for b in now for r in b.to_pylist())
+    found = []
+    for dealt in (False, True):
+        now = list(suffix_dedup._cut_contexts(100, dealt)(iter([tab(cut, ["id", "tk", "text", "routes", "needs"], kinds)] if cut else [])))
+        for _ in range(1 + dealt):  # the second round sorts what is left of dealt routes
+            by = [(k, "ascending") for k in ("route", "id", "tk", "start")]
+            now = list(suffix_dedup._sort_contexts(100)(iter(pa.Table.from_batches(now).sort_by(by).to_batches(70) if now else [])))
+        found += [(r["id"], r["start"], r["stop"]) for b in now for r in b.to_pylist()]
+        assert all(r["context"] is None for b in now for r in b.to_pylist())
     for i, t in texts.items():
         gone = bytearray(len(t))
         for j, a, b in found:
