@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,8 +40,22 @@ def chunk_id(doc: str | Column, index: str | Column) -> Column:
 
 
 def normalize_key(c: str | Column) -> Column:
-    """Entity key: lower case, runs of white space, hyphens and underscores as one underscore, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(col(c)), r"[\s\-_]+", "_"), "^_+|_+$", "")
+    """Entity key: NFKC, case folded, runs of white space, hyphens and underscores as one underscore, none at the ends;
+    null where nothing is left. Plain ASCII stays in the JVM, other texts are folded in Arrow batches."""
+    text = col(c)
+    folded = F.when(text.rlike(r"^[\x00-\x7f]*$"), F.lower(text)).otherwise(_nfkc()(text))
+    key = F.regexp_replace(F.regexp_replace(folded, r"(?U)[\s\-_]+", "_"), "^_+|_+$", "")
+    return F.nullif(key, F.lit(""))
+
+
+def _nfkc():
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+    return fold
 
 
 def keyword_overlap(query: str | Column, content: str | Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .fold import greedy_fit, ordered_fold
 
@@ -21,12 +22,12 @@ def pack(items: DataFrame, max_tokens: int, reserve: int = 0, key: str = "query_
     """items(key, id, priority, score, tokens) with `included`: greedy by priority, then score, ties by id."""
     if max_tokens - reserve <= 0:
         raise ValueError("nothing is left of the budget")
-    return ordered_fold(items, [key], [F.desc("priority"), F.desc("score"), "id"], *greedy_fit(max_tokens - reserve), "included", "boolean")
+    return ordered_fold(items, [key], [F.desc("priority"), F.desc("score"), "id"], ["tokens"], *greedy_fit(max_tokens - reserve), "included", BooleanType())
 
 
 def cap_sources_truncate(items: DataFrame, cap: int, key: str = "query_id") -> DataFrame:
     """`included` within each source's cap, greedy in the same order."""
-    return ordered_fold(items, [key, "source"], [F.desc("priority"), F.desc("score"), "id"], *greedy_fit(cap), "included", "boolean")
+    return ordered_fold(items, [key, "source"], [F.desc("priority"), F.desc("score"), "id"], ["tokens"], *greedy_fit(cap), "included", BooleanType())
 
 
 def cap_sources_drop(items: DataFrame, caps: dict[str, int], key: str = "query_id") -> DataFrame:
@@ -66,9 +67,11 @@ def generic_format(items: DataFrame, key: str, order: str) -> DataFrame:
     return items.groupBy(key).agg(F.concat_ws("\n\n", *parts).alias("formatted"))
 
 
-def chat_json(turns: DataFrame, key: str, order: str, role: str, text: str) -> DataFrame:
-    """The list-of-messages form as JSON; retrieval content never speaks as system."""
-    message = F.struct(F.col(role).alias("role"), F.col(text).alias("content"))
+def chat_json(turns: DataFrame, key: str, order: str, role: str, text: str, source: str | None = None) -> DataFrame:
+    """The list-of-messages form as JSON. With a source column, items speak in the role that message_role() allows them,
+    so retrieved content never speaks as system; without one, turns speak in their own role."""
+    said = F.col(role) if source is None else message_role(role, source)
+    message = F.struct(said.alias("role"), F.col(text).alias("content"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), message.alias("m")))), lambda s: s["m"])
     return turns.groupBy(key).agg(F.to_json(rows).alias("messages"))
 

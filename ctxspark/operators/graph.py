@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.session import shared_folder
+
 
 def saved(df: DataFrame) -> DataFrame:
     """Checkpointed in the folder that executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
     """One row for each (source, target, relation): all evidence, the best confidence, the first fact."""
-    return edges.groupBy("source", "target", "relation").agg(F.array_join(F.array_sort(F.array_distinct(F.collect_list("evidence"))), ",").alias("evidence"), F.max("confidence").alias("confidence"), F.min_by("fact", "seq").alias("fact"), F.count("*").alias("merged"))
+    return edges.groupBy("source", "target", "relation").agg(F.array_join(F.array_sort(F.collect_set("evidence")), ",").alias("evidence"), F.max("confidence").alias("confidence"), F.min_by("fact", "seq").alias("fact"), F.count("*").alias("merged"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -64,20 +62,22 @@ def bfs(seeds: DataFrame, adj: DataFrame, depth: int, paths: bool = False) -> Da
 def pagerank(seeds: DataFrame, adj: DataFrame, damping: float = 0.5, rounds: int = 10, tolerance: float = 0.0) -> DataFrame:
     """(query, node, score) of personalised PageRank; seeds(query, node) share the restart, dangling mass goes to them.
 
-    Rounds are checkpointed every five; with a tolerance they stop once no query's L1 change exceeds it.
+    A round is one join with the links, which are partitioned by their source once, and one aggregate: the mass of nodes
+    without links comes out of it under a null node. Each round is checkpointed, so plans don't grow; with a tolerance
+    they stop once no query's L1 change exceeds it.
     """
-    restart = seeds.distinct().withColumn("p", 1.0 / F.count("*").over(W.partitionBy("query")))
+    restart = saved(seeds.distinct().withColumn("p", 1.0 / F.count("*").over(W.partitionBy("query"))))
     out = adj.groupBy("a").agg(F.count("*").alias("deg"))
+    links = saved(adj.join(out, "a").select("a", "b", (damping / F.col("deg")).alias("share")).repartition("a"))
     rank = restart.withColumnRenamed("p", "r")
-    for n in range(1, rounds + 1):
-        spread = rank.join(out, rank.node == out.a, "left")
-        kept = spread.groupBy("query").agg(F.sum(F.when(F.col("deg").isNull(), F.col("r")).otherwise(0.0)).alias("lost"))
-        flow = spread.where("deg is not null").select("query", "a", (F.col("r") / F.col("deg")).alias("share")).join(adj, "a").groupBy("query", F.col("b").alias("node")).agg(F.sum("share").alias("m"))
-        base = restart.join(kept, "query").select("query", "node", ((1 - damping) * F.col("p") + damping * F.col("lost") * F.col("p")).alias("m"))
-        new = flow.select("query", "node", (damping * F.col("m")).alias("m")).union(base).groupBy("query", "node").agg(F.sum("m").alias("r"))
-        if tolerance or n % 5 == 0:
-            new = saved(new)
+    for _ in range(rounds):
+        moved = rank.join(links, rank.node == links.a, "left").select("query", F.col("b").alias("node"), (F.col("r") * F.coalesce("share", F.lit(damping))).alias("m"))
+        flow = saved(moved.groupBy("query", "node").agg(F.sum("m").alias("m")))
+        lost = flow.where("node is null").select("query", F.col("m").alias("lost"))
+        base = restart.join(lost, "query", "left").select("query", "node", (((1 - damping) + F.coalesce("lost", F.lit(0.0))) * F.col("p")).alias("m"))
+        new = flow.where("node is not null").union(base).groupBy("query", "node").agg(F.sum("m").alias("r"))
         if tolerance:
+            new = saved(new)
             gap = new.join(rank.withColumnRenamed("r", "old"), ["query", "node"], "full").groupBy("query").agg(F.sum(F.abs(F.coalesce("r", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("d")).agg(F.max("d")).first()[0]
             if gap is not None and gap <= tolerance:
                 return new.withColumnRenamed("r", "score")
@@ -90,8 +90,9 @@ def modularity(adj: DataFrame, communities: DataFrame) -> DataFrame:
     c = communities
     e = adj.join(c.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(c.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
     per = e.groupBy("ca").agg(F.sum((F.col("ca") == F.col("cb")).cast("long")).alias("inside"), F.count("*").alias("tot"))
-    m2 = per.withColumn("m2", F.sum("tot").over(W.partitionBy(F.lit(1))))
-    return m2.agg(F.sum(F.col("inside") / F.col("m2") - F.pow(F.col("tot") / F.col("m2"), 2)).alias("modularity"))
+    tot = F.col("tot").cast("double")
+    sums = per.agg(F.sum("inside").alias("inside"), F.sum("tot").alias("m2"), F.sum(tot * tot).alias("squares"))
+    return sums.select((F.col("inside") / F.col("m2") - F.col("squares") / F.col("m2") / F.col("m2")).alias("modularity"))
 
 
 def label_communities(nodes: DataFrame, adj: DataFrame, rounds: int = 5) -> DataFrame:
@@ -106,7 +107,7 @@ def label_communities(nodes: DataFrame, adj: DataFrame, rounds: int = 5) -> Data
 
 def mentions(texts: DataFrame, aliases: DataFrame, longest: int = 4) -> DataFrame:
     """(id, node): aliases(alias, node) that stand in a text as n-grams of up to `longest` words (case folded)."""
-    w = F.split(F.trim(F.regexp_replace(F.lower("content"), r"[^a-z0-9#_]+", " ")), " ")
+    w = F.split(F.trim(F.regexp_replace(F.lower("content"), r"[^\p{L}\p{M}\p{N}#_]+", " ")), " ")
     base = texts.select("id", w.alias("w"))
 
     def grams_of(n: int) -> DataFrame:

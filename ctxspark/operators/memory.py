@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions.text import clamp
 from .fold import ordered_fold
@@ -55,7 +58,7 @@ def by_hash(new: DataFrame, store: DataFrame, content: str = "content") -> DataF
 
 def merge_entries(rows: DataFrame, key: str) -> DataFrame:
     """Entries of a key as one: the longest content (ties: the newest), all tags, one more access for each, the best relevance."""
-    return rows.groupBy(key).agg(F.max_by("content", F.struct(F.length("content"), "created_at", "id")).alias("content"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))), ",").alias("tags"), (F.sum("access_count") + F.count("*") - 1).cast("long").alias("access_count"), F.max("relevance_score").alias("relevance_score"))
+    return rows.groupBy(key).agg(F.max_by("content", F.struct(F.length("content"), "created_at", "id")).alias("content"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))), ",").alias("tags"), (F.sum("access_count") + F.count("*") - 1).cast("long").alias("access_count"), F.max("relevance_score").alias("relevance_score"))
 
 
 def collect_garbage(entries: DataFrame, retention: Column, retained_below: float, as_of: Column, hours: Column) -> DataFrame:
@@ -68,18 +71,18 @@ def sliding_memory(turns: DataFrame, max_tokens: int, key: str = "conv_id", orde
     """`evicted_so_far` after each turn, as the window takes them one by one."""
 
     def start() -> dict:
-        return {"held": [], "sum": 0, "out": 0}
+        return {"held": deque(), "sum": 0, "out": 0}
 
     def step(state: dict, row: dict) -> int:
-        t = min(row["tokens"], max_tokens)
+        t = min(row["tokens"] or 0, max_tokens)
         while state["held"] and state["sum"] + t > max_tokens:
-            state["sum"] -= state["held"].pop(0)
+            state["sum"] -= state["held"].popleft()
             state["out"] += 1
         state["held"].append(t)
         state["sum"] += t
         return state["out"]
 
-    return ordered_fold(turns, [key], [order], start, step, "evicted_so_far", "long")
+    return ordered_fold(turns, [key], [order], ["tokens"], start, step, "evicted_so_far", LongType())
 
 
 def apply_decisions(store: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .fold import ordered_fold
 
@@ -17,8 +18,9 @@ def cost_summary(entries: DataFrame) -> DataFrame:
 
 
 def price(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Cost by the price per million tokens; a date behind a model's name is ignored."""
-    return usage.withColumn("name", F.regexp_replace("model", r"-\d{8}$", "")).join(F.broadcast(prices), "name", "left").withColumn("cost", (F.col("input") * F.col("input_price") + F.col("output") * F.col("output_price")) / 1e6)
+    """Cost by the price per million tokens; a date behind a model's name is ignored, with
+    dashes or without."""
+    return usage.withColumn("name", F.regexp_replace("model", r"-\d{4}-?\d{2}-?\d{2}$", "")).join(F.broadcast(prices), "name", "left").withColumn("cost", (F.col("input") * F.col("input_price") + F.col("output") * F.col("output_price")) / 1e6)
 
 
 def metric_summary(points: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def stuck(events: DataFrame, key: str, order: list[str], call: str, times: int)
         state["call"] = row[call]
         return state["n"]
 
-    return ordered_fold(events, [key], order, lambda: {"call": None, "n": 0}, step, "in_a_row", "long").where(F.col("in_a_row") >= times)
+    return ordered_fold(events, [key], order, [call], lambda: {"call": None, "n": 0}, step, "in_a_row", LongType()).where(F.col("in_a_row") >= times)
 
 
 def span_kind(name: str) -> Column:

@@ -120,9 +120,9 @@ s as (select e.vec_id, e.label, c.label as predicted, round(list_cosine_similari
 select vec_id, cast(label as bigint) as label, cast(predicted as bigint) as predicted, score from s qualify row_number() over (partition by vec_id order by score desc, predicted) = 1""")
 def centroid_classify(spark, sf):
     e = table(spark, sf, "embeddings")
-    c = R.centroids(e, "label", "embedding").select(F.col("label").cast("long").alias("query_id"), F.col("centroid").alias("embedding"))
-    best = R.knn(c, e, k=2**31 - 1, item_id="vec_id").groupBy("id").agg(F.max_by(F.struct("query_id", "score"), F.struct("score", -F.col("query_id"))).alias("b"))
-    return best.join(e.select(F.col("vec_id").alias("id"), F.col("label").cast("long")), "id").select(F.col("id").alias("vec_id"), "label", F.col("b.query_id").alias("predicted"), F.col("b.score").alias("score"))
+    c = R.centroids(e, "label", "embedding").withColumn("label", F.col("label").cast("long"))
+    best = R.nearest(e, c, "vec_id").withColumnRenamed("id", "vec_id")
+    return best.join(e.select("vec_id", F.col("label").cast("long")), "vec_id").select("vec_id", "label", F.col("center").alias("predicted"), "score")
 
 
 def bm25_sql(scope: str = "true", idf: str = "ln(1 + (n - df + 0.5) / (df + 0.5))", out: str = "query_id, id, score, rank", k: int = 10) -> str:
@@ -374,11 +374,12 @@ def format_generic(spark, sf):
     return A.generic_format(turns(spark, sf).select("conv_id", "turn", F.col("text").alias("content"), section.alias("section")), "conv_id", "turn")
 
 
-@query("""with a as (select *, case when lag(role) over w is distinct from role or role = 'system' then 1 else 0 end as new from (select * from conversations where turn % 3 <> 1) window w as (partition by conv_id order by turn)),
+@query("""with a as (select *, case when lag(role) over w is distinct from role or role = 'system' then 1 else 0 end as new from (select * exclude role, case when turn % 3 = 1 then 'assistant' else role end as role from conversations) window w as (partition by conv_id order by turn)),
 i as (select *, sum(new) over (partition by conv_id order by turn) as island from a)
 select conv_id, cast(island as bigint) as island, first(role) as role, string_agg(text, chr(10) || chr(10) order by turn) as content, count(*) as merged from i group by conv_id, island""")
 def format_roles_merged(spark, sf):
-    return A.alternating(turns(spark, sf).where("turn % 3 <> 1"), "conv_id", "turn", "role", "text")
+    t = turns(spark, sf).withColumn("role", F.when(F.col("turn") % 3 == 1, "assistant").otherwise(F.col("role")))
+    return A.alternating(t, "conv_id", "turn", "role", "text")
 
 
 @query("select conv_id, '[' || string_agg('{\"role\":' || to_json(role) || ',\"content\":' || to_json(text) || '}', ',' order by turn) || ']' as messages from conversations group by 1")
@@ -557,10 +558,10 @@ def hubs(spark, sf):
     return G.hubs(adj.select(F.col("a").alias("node")).distinct(), adj, 10)
 
 
-@query(f"with {EDGES}, s as (select 'c' || c_custkey as seed from customer where c_custkey % 100 = 0), h1 as (select seed, b as node from s join adj on a = seed), h2 as (select seed, adj.b as node from h1 join adj on adj.a = h1.node) select seed, node, min(h) as hops from (select seed, seed as node, 0::bigint as h from s union all select seed, node, 1 from h1 union all select seed, node, 2 from h2) group by all")
+@query(f"with {EDGES}, s as (select 'c' || c_custkey as seed from customer where c_custkey % 50 = 0), h1 as (select seed, b as node from s join adj on a = seed), h2 as (select seed, adj.b as node from h1 join adj on adj.a = h1.node) select seed, node, min(h) as hops from (select seed, seed as node, 0::bigint as h from s union all select seed, node, 1 from h1 union all select seed, node, 2 from h2) group by all")
 def neighbors_2hop(spark, sf):
     e = edges(spark, sf)
-    seeds = e.where("source like 'c%' and cast(substring(source, 2) as long) % 100 = 0").select(F.col("source").alias("seed")).distinct()
+    seeds = e.where("source like 'c%' and cast(substring(source, 2) as long) % 50 = 0").select(F.col("source").alias("seed")).distinct()
     return G.bfs(seeds, G.adjacency(e), 2)
 
 
@@ -569,17 +570,17 @@ def backlinks(spark, sf):
     return edges(spark, sf).where("target like 'r%'").groupBy(F.col("target").alias("node")).agg(F.count("*").alias("backlinks"))
 
 
-@query(f"""with {EDGES}, s as (select 'c' || c_custkey as seed from customer where c_custkey % 500 = 0),
+@query(f"""with {EDGES}, s as (select 'c' || c_custkey as seed from customer where c_custkey % 50 = 0),
 p as (select seed, seed || '>' || x.b || '>' || y.b as path, y.b as node, 2::bigint as hops from s join adj x on x.a = seed join adj y on y.a = x.b where y.b like 'r%')
 select seed, node, hops, min(path) as path from p group by all""")
 def shortest_path(spark, sf):
     e = edges(spark, sf)
-    seeds = e.where("source like 'c%' and cast(substring(source, 2) as long) % 500 = 0").select(F.col("source").alias("seed")).distinct()
+    seeds = e.where("source like 'c%' and cast(substring(source, 2) as long) % 50 = 0").select(F.col("source").alias("seed")).distinct()
     return G.bfs(seeds, G.adjacency(e), 2, paths=True).where("node like 'r%'")
 
 
 def ppr_sql(rounds: int) -> str:
-    parts = [f"with {EDGES}, seeds as (select c_custkey as query, 'c' || c_custkey as node from customer where c_custkey % 500 = 0), deg as (select a, count(*) as d from adj group by 1), r0 as (select query, node, 1.0::double as r from seeds)"]
+    parts = [f"with {EDGES}, seeds as (select c_custkey as query, 'c' || c_custkey as node from customer where c_custkey % 50 = 0), deg as (select a, count(*) as d from adj group by 1), r0 as (select query, node, 1.0::double as r from seeds)"]
     for n in range(1, rounds + 1):
         parts.append(f"r{n} as (select query, node, sum(m) as r from (select p.query, adj.b as node, 0.5 * p.r / d as m from r{n - 1} p join deg on deg.a = p.node join adj on adj.a = p.node union all select query, node, 0.5 from seeds) group by all)")
     return ", ".join(parts) + f" select query, node, round(r, 6) as score from r{rounds}"
@@ -588,7 +589,7 @@ def ppr_sql(rounds: int) -> str:
 @query(ppr_sql(10))
 def ppr_10iter(spark, sf):
     e = edges(spark, sf)
-    seeds = table(spark, sf, "customer").where("c_custkey % 500 = 0").select(F.col("c_custkey").alias("query"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    seeds = table(spark, sf, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("query"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
     return G.pagerank(seeds, G.saved(G.adjacency(e)), 0.5, 10).select("query", "node", T.r6("score").alias("score"))
 
 
@@ -638,10 +639,10 @@ def graph_visible(spark, sf):
     return G.visible(nodes, ni, e, proof, parts, F.col("p_size") <= 25, True, F.lit(True))[1].select("source", "target")
 
 
-@query(f"with {EDGES}, l as (select distinct 'c' || c_custkey as node, o_orderkey as item from customer join orders on o_custkey = c_custkey where c_custkey % 500 = 0 or c_nationkey in (select c_nationkey from customer where c_custkey % 500 = 0)), s as (select 'c' || c_custkey as seed from customer where c_custkey % 500 = 0), h as (select distinct seed, y.b as node from s join adj x on x.a = seed join adj y on y.a = x.b) select seed, count(distinct item) as items from h join l using (node) group by 1")
+@query(f"with {EDGES}, l as (select distinct 'c' || c_custkey as node, o_orderkey as item from customer join orders on o_custkey = c_custkey where c_custkey % 50 = 0 or c_nationkey in (select c_nationkey from customer where c_custkey % 50 = 0)), s as (select 'c' || c_custkey as seed from customer where c_custkey % 50 = 0), h as (select distinct seed, y.b as node from s join adj x on x.a = seed join adj y on y.a = x.b) select seed, count(distinct item) as items from h join l using (node) group by 1")
 def related_items(spark, sf):
     e = edges(spark, sf)
-    seeds = e.where("source like 'c%' and cast(substring(source, 2) as long) % 500 = 0").select(F.col("source").alias("seed")).distinct()
+    seeds = e.where("source like 'c%' and cast(substring(source, 2) as long) % 50 = 0").select(F.col("source").alias("seed")).distinct()
     near = G.bfs(seeds, G.adjacency(e), 2)
     links = table(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("node"), F.col("o_orderkey").alias("item")).distinct()
     return near.join(links, "node").groupBy("seed").agg(F.countDistinct("item").alias("items"))
@@ -696,10 +697,10 @@ def ndcg_graded(spark, sf):
     return E.ndcg_graded(R.knn(q, e), grades, 10).withColumn("ndcg", T.r6("ndcg"))
 
 
-@query(f"with {METRICS}, a as (select query_id, precision as a, round(f1, 6) as b from ev), s as (select count(*) as n, avg(a) as mean_a, avg(b) as mean_b, avg(b - a) as delta, stddev_samp(b - a) as sd from a) select n, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, round(delta, 6) as delta, round(delta / (sd / sqrt(n)), 4) as z from s")
+@query(f"with {METRICS}, a as (select query_id, precision as a, round(f1, 6) as b from ev), s as (select count(*) as n, cast(sum(cast(a as decimal(28, 12))) as double) / count(*) as mean_a, cast(sum(cast(b as decimal(28, 12))) as double) / count(*) as mean_b, cast(sum(cast(b as decimal(28, 12)) - cast(a as decimal(28, 12))) as double) / count(*) as delta, stddev_samp(b - a) as sd from a) select n, round(mean_a, 9) as mean_a, round(mean_b, 9) as mean_b, round(delta, 9) as delta, round(delta / (sd / sqrt(n)), 4) as z from s")
 def ab_test(spark, sf):
     m = metrics(spark, sf).select(F.col("precision").alias("a"), F.col("f1").alias("b"))
-    return E.ab_test(m).select("n", T.r6("mean_a").alias("mean_a"), T.r6("mean_b").alias("mean_b"), T.r6("delta").alias("delta"), F.round("z", 4).alias("z"))
+    return E.ab_test(m).select("n", *(F.round(c, 9).alias(c) for c in ("mean_a", "mean_b", "delta")), F.round("z", 4).alias("z"))
 
 
 @query("with x as (select quality as a, case when toxic = 1 then 0 else 1 end as b from labels), s as (select count(*) as n, avg(case when a = b then 1.0 else 0 end) as o, (sum(a) * sum(b) + sum(1 - a) * sum(1 - b)) / (count(*) * count(*)) as e from x) select n, round(o, 6) as observed, round(e, 6) as expected, round((o - e) / (1 - e), 6) as kappa from s")

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql.types import LongType
 from pyspark.sql import functions as F
 
 from ctxspark.functions import text as T
@@ -93,7 +94,7 @@ def test_sliding_memory_is_the_window(spark):
 
 def test_ordered_fold_streams_a_hot_key(spark):
     df = spark.range(30_000).selectExpr("1L as k", "id as n")
-    out = fold.ordered_fold(df, ["k"], ["n"], lambda: {"s": 0}, lambda s, r: s.update(s=s["s"] + r["n"]) or s["s"], "total", "long")
+    out = fold.ordered_fold(df, ["k"], ["n"], ["n"], lambda: {"s": 0}, lambda s, r: s.update(s=s["s"] + r["n"]) or s["s"], "total", LongType())
     assert out.agg(F.max("total")).first()[0] == 30_000 * 29_999 // 2
 
 
