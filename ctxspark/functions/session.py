@@ -1,4 +1,4 @@
-"""The folder that the driver and all executors share."""
+"""What operators need of a session: a folder that the driver and all executors share, and unions that can be trusted."""
 
 from __future__ import annotations
 
@@ -21,3 +21,9 @@ def shared_folder(spark: SparkSession) -> str:
         sc.setCheckpointDir(have)
         have = sc.getCheckpointDir()
     return have
+
+
+def sound_unions(spark: SparkSession) -> None:
+    """Keeps Spark 4.1 from taking a union's parts for partitioned alike. Where adaptive execution has coalesced them
+    differently, grouping such a union by their key gives a key several rows."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -114,3 +117,69 @@ def block_format(items: DataFrame, key: str, order: str) -> DataFrame:
     messages = talk.withColumn("m", line).groupBy(key).agg(joined("island", "m", ",").alias("messages"))
     both = system.join(messages, key, "full")
     return both.select(key, *(F.concat(F.lit("["), F.coalesce(c, F.lit("")), F.lit("]")).alias(c) for c in ("system", "messages")))
+
+
+@dataclass(frozen=True)
+class TokenBudget:
+    """A total, what of it is reserved for the answer, shares by source, and what to do with a source over its share."""
+
+    total: int
+    reserve: int = 0
+    shares: Mapping[str, int] = field(default_factory=dict)
+    overflow: Mapping[str, str] = field(default_factory=dict)
+
+    def __post_init__(self):
+        if self.total <= 0 or not 0 <= self.reserve < self.total:
+            raise ValueError("nothing is left of the budget")
+        if sum(self.shares.values()) + self.reserve > self.total:
+            raise ValueError("the shares exceed the budget")
+        if bad := set(self.overflow.values()) - {"truncate", "drop"}:
+            raise ValueError(f"unknown strategy {sorted(bad)}")
+
+    @classmethod
+    def preset(cls, name: str, total: int) -> TokenBudget:
+        return cls(total, int(total * RESERVE), {s: int(total * x) for s, x in PRESETS[name].items()})
+
+    def allocation(self, source: str) -> int:
+        """A source's own share, or the pool that all sources without one use."""
+        return self.shares.get(source, self.shared_pool)
+
+    @property
+    def shared_pool(self) -> int:
+        return max(0, self.total - self.reserve - sum(self.shares.values()))
+
+    def strategy(self, source: str) -> str:
+        return self.overflow.get(source, "truncate")
+
+    def apply(self, items: DataFrame, key: str = "query_id") -> DataFrame:
+        """items(key, id, source, priority, score, tokens) with `included`: sources with a share are cut to it or dropped
+        whole, then everything that is left is packed into the total."""
+        capped = cap_by_source(items, self.shares, {s: self.strategy(s) for s in self.shares}, key)
+        kept = pack(capped.where("fits").drop("fits"), self.total, self.reserve, key)
+        return kept.unionByName(capped.where("not fits").drop("fits").withColumn("included", F.lit(False)))
+
+
+def cap_by_source(items: DataFrame, caps: Mapping[str, int], strategy: Mapping[str, str], key: str = "query_id") -> DataFrame:
+    """`fits`: an item within its source's cap. "truncate" keeps what fits one by one, "drop" the whole source or nothing;
+    a source without a cap passes."""
+    if not caps:
+        return items.withColumn("fits", F.lit(True))
+    cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])[F.col("source")]
+    drops = [s for s in caps if strategy.get(s) == "drop"]
+    used = F.sum("tokens").over(W.partitionBy(key, "source"))
+    whole = items.where(cap.isNull() | F.col("source").isin(drops)).withColumn("fits", F.coalesce(used <= cap, F.lit(True)))
+    cut = items.where(cap.isNotNull() & ~F.col("source").isin(drops)).withColumn("cap", cap)
+
+    def step(state: dict, row: dict) -> bool:
+        fits = state["used"] + (row["tokens"] or 0) <= row["cap"]
+        if fits:
+            state["used"] += row["tokens"] or 0
+        return fits
+
+    one_by_one = ordered_fold(cut, [key, "source"], [F.desc("priority"), F.desc("score"), "id"], ["tokens", "cap"], lambda: {"used": 0}, step, "fits", BooleanType())
+    return whole.unionByName(one_by_one.drop("cap"))
+
+
+def usage(packed: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, source, tokens) of what was included."""
+    return packed.where("included").groupBy(key, "source").agg(F.sum("tokens").cast("long").alias("tokens"))

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 
-#: Where a definition begins, by language.
+#: Where a definition begins, by language, and the language by a file's ending.
 BOUNDARIES = {
-    "python": r"^(?:class |def |async def |@)",
-    "javascript": r"^(?:export |function |class |const |let |async function )",
-    "typescript": r"^(?:export |function |class |interface |type |const |enum )",
-    "go": r"^(?:func |type |var |const )",
-    "rust": r"^(?:pub |fn |struct |enum |impl |trait |mod )",
+    "python": r"^(?:def |class |async def )",
+    "javascript": r"^(?:function |class |const \w+ = |export (?:default )?(?:function|class))",
+    "typescript": r"^(?:function |class |const \w+ = |export (?:default )?(?:function|class))",
+    "go": r"^func ",
+    "rust": r"^(?:fn |impl |pub fn |pub impl )",
 }
+LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go", ".rs": "rust"}
 
 
 def fixed(df: DataFrame, size: int = 512, overlap: int = 50, id_col: str = "id", text_col: str = "content") -> DataFrame:
@@ -45,52 +46,86 @@ def sentences(df: DataFrame, id_col: str = "id", text_col: str = "content") -> D
     return df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.trim(F.regexp_replace(text_col, r"([.!?])\s+", "$1\u0001")), "\u0001")).alias("n", "sentence")).where("sentence <> ''").select("id", F.col("n").cast("long"), "sentence")
 
 
+Count = Callable[[str], int]
+
+
 def count(text: str) -> int:
     return len(text.split())
 
 
-def sentence_chunks(text: str, size: int = 512, overlap: int = 1) -> list[str]:
-    """Groups of sentences within size; each begins with the last `overlap` of the one before. What is carried over last is a chunk too."""
-    out, now = [], []
-    for s in (s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s):
-        if now and count(" ".join([*now, s])) > size:
-            out.append(" ".join(now))
-            now = now[-overlap:] if overlap else []
-        now.append(s)
-    if now:
-        out.append(" ".join(now))
-    if overlap and len(out) > 1 and now[-overlap:] != now:
-        out.append(" ".join(now[-overlap:]))
+def sentences_of(text: str) -> list[str]:
+    return [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
+
+
+def sentence_chunks(text: str, size: int = 512, overlap: int = 1, tokens: Count = count) -> list[str]:
+    """Windows of whole sentences within size, each beginning `overlap` sentences before the end of the last; a sentence
+    that is too long stands alone. Windows move on by one sentence at least, up to the last one."""
+    every, out, at = sentences_of(text), [], 0
+    while at < len(every):
+        end = at + 1
+        while end < len(every) and tokens(" ".join(every[at : end + 1])) <= size:
+            end += 1
+        out.append(" ".join(every[at:end]))
+        at += max(1, end - at - overlap)
     return out
 
 
-def recursive_chunks(text: str, size: int = 384, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[str]:
-    """Splits at the coarsest separator, packs neighbours while they fit, and goes on with the next one in what doesn't."""
-    if count(text) <= size or not separators:
-        return [text] if text.strip() else []
-    cut, out, now = separators[0], [], ""
-    for part in text.split(cut):
-        both = part if not now else now + cut + part
-        if count(both) <= size:
-            now = both
-            continue
-        if now.strip():
-            out.append(now)
-        now = ""
-        if count(part) <= size:
-            now = part
+def fixed_chunks(text: str, size: int, overlap: int = 0) -> list[str]:
+    """fixed() for one text."""
+    w = text.split()
+    return [" ".join(w[k : k + size]) for k in range(0, max(1, len(w) - overlap), size - overlap)] if w else []
+
+
+def recursive_chunks(text: str, size: int = 384, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " "), overlap: int = 0, tokens: Count = count) -> list[str]:
+    """Splits at the coarsest separator, packs neighbours while they fit, and goes on with the next one in what doesn't;
+    what no separator splits is cut to size. With an overlap each chunk begins with that many of the last words of the
+    one before, where that still fits."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be smaller than size")
+
+    def parts(text: str, level: int) -> Iterator[str]:
+        if tokens(text) <= size:
+            yield text
+        elif level == len(separators):
+            yield " ".join(text.split()[:size])
         else:
-            out += recursive_chunks(part, size, separators[1:])
-    return out + ([now] if now.strip() else [])
+            packed = ""
+            for piece in text.split(separators[level]):
+                joined = packed + separators[level] + piece if packed else piece
+                if tokens(joined) <= size:
+                    packed = joined
+                    continue
+                yield packed
+                packed = ""
+                if tokens(piece) <= size:
+                    packed = piece
+                else:
+                    yield from parts(piece, level + 1)
+            yield packed
+
+    found = [c.strip() for c in parts(text, 0) if c.strip()]
+    if not overlap:
+        return found
+    out = found[:1]
+    for before, now in zip(found, found[1:], strict=False):
+        tail, used = [], 0
+        for w in reversed(before.split()):
+            used += tokens(w)
+            if used > overlap:
+                break
+            tail.insert(0, w)
+        joined = " ".join([*tail, now])
+        out.append(joined if tokens(joined) <= size else now)
+    return out
 
 
-def markdown_chunks(text: str, size: int = 512) -> list[str]:
+def markdown_chunks(text: str, size: int = 512, tokens: Count = count) -> list[str]:
     """Sections by heading, each led by its path of headings."""
     out, path, body = [], [], []
 
     def close() -> None:
         inside = "\n".join(body).strip()
-        for c in recursive_chunks(inside, size) if inside else []:
+        for c in recursive_chunks(inside, size, tokens=tokens) if inside else []:
             out.append((" > ".join(h for _, h in path) + "\n" if path else "") + c)
         body.clear()
 
@@ -106,38 +141,44 @@ def markdown_chunks(text: str, size: int = 512) -> list[str]:
     return out
 
 
-def code_chunks(text: str, size: int = 512, language: str = "python") -> list[str]:
-    """Packs whole definitions; one that is too long is split recursively."""
-    starts = [0, *(m.start() for m in re.finditer(BOUNDARIES[language], text, re.M) if m.start()), len(text)]
-    out, now = [], ""
-    for a, b in zip(starts, starts[1:], strict=False):
-        part = text[a:b]
-        if now and count(now + part) > size:
-            out.append(now)
-            now = ""
-        now += part
-    out += [now] if now.strip() else []
-    return [c for part in out for c in (recursive_chunks(part, size) if count(part) > size else [part])]
+def code_chunks(text: str, size: int = 512, language: str | None = "python", overlap: int = 50, tokens: Count = count) -> list[str]:
+    """Whole definitions, neighbours packed while they fit; a longer one stays whole. Other languages, and texts without
+    definitions, are split recursively."""
+    starts = [m.start() for m in re.finditer(BOUNDARIES[language], text, re.M)] if language in BOUNDARIES else []
+    if not starts:
+        return recursive_chunks(text, size, overlap=min(overlap, size - 1), tokens=tokens)
+    edges = sorted({0, *starts, len(text)})
+    packed: list[str] = []
+    for block in (text[a:b] for a, b in zip(edges, edges[1:], strict=False)):
+        if not block.strip():
+            continue
+        if packed and tokens(packed[-1] + block) <= size:
+            packed[-1] += block
+        else:
+            packed.append(block)
+    return [c.strip() for c in packed]
 
 
-def table_chunks(text: str, size: int = 512) -> list[str]:
-    """Markdown tables stay whole, or are cut by rows with the header repeated; other text is split recursively."""
+def table_chunks(text: str, size: int = 512, tokens: Count = count) -> list[str]:
+    """Markdown and HTML tables stay whole; a Markdown one that is too long is cut by rows with its header repeated, an
+    HTML one by its rows. Other text is split recursively."""
     out, at = [], 0
-    for m in re.finditer(r"(?:^\|.*\|[ \t]*(?:\n|\Z))+", text, re.M):
-        out += recursive_chunks(text[at : m.start()], size)
-        rows = m[0].strip().split("\n")
-        if count(m[0]) <= size:
-            out.append(m[0].strip())
-        else:
-            head, now = rows[:2], []
-            for r in rows[2:]:
-                if now and count("\n".join([*head, *now, r])) > size:
-                    out.append("\n".join([*head, *now]))
-                    now = []
-                now.append(r)
-            out += ["\n".join([*head, *now])] if now else []
-        at = m.end()
-    return out + recursive_chunks(text[at:], size)
+    for m in re.finditer(r"(?is:<table[\s>].*?</table>)|(?:^\|.*\|[ \t]*(?:\n|\Z))+", text, re.M):
+        out += recursive_chunks(text[at : m.start()], size, tokens=tokens)
+        at, table = m.end(), m[0].strip()
+        if tokens(table) <= size:
+            out.append(table)
+            continue
+        html = not table.startswith("|")
+        rows = re.findall(r"(?is)<tr[\s>].*?</tr>", table) or [table] if html else table.split("\n")
+        head, now = ([], []) if html else (rows[:2], [])
+        for r in rows[len(head) :]:
+            if now and tokens("\n".join([*head, *now, r])) > size:
+                out.append("\n".join([*head, *now]))
+                now = []
+            now.append(r)
+        out += ["\n".join([*head, *now])] if now else []
+    return out + recursive_chunks(text[at:], size, tokens=tokens)
 
 
 def semantic_breaks(df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -151,8 +192,30 @@ def semantic_breaks(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return df.withColumn("before", F.lag("vector").over(w)).withColumn("chunk", F.sum(F.coalesce(new, F.lit(0))).over(w)).drop("before")
 
 
-def split_texts(df: DataFrame, chunker: Callable[[str], list[str]], id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """(id, chunk_index, content): any function from a text to chunks, over Arrow batches."""
+def semantic_groups(parts: list[str], size: int, least: int, tokens: Count = count) -> list[str]:
+    """Parts of a text between its breaks as chunks: all in one if that fits; else a part joins the one before where
+    either is under `least`, and what is over size is cut into fixed chunks."""
+    whole = " ".join(parts)
+    if tokens(whole) <= size:
+        return [whole] if whole else []
+    merged: list[str] = []
+    for p in parts:
+        if merged and least > 0 and min(tokens(merged[-1]), tokens(p)) < least:
+            merged[-1] += " " + p
+        else:
+            merged.append(p)
+    return [c for m in merged for c in ([m] if tokens(m) <= size else fixed_chunks(m, size))]
+
+
+def semantic(df: DataFrame, threshold: float = 0.5, size: int = 512, least: int = 50) -> DataFrame:
+    """(id, chunk_index, content) of df(id, n, sentence, vector): semantic_breaks() and semantic_groups() of each text."""
+    parts = semantic_breaks(df, threshold).groupBy("id", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "sentence"))), lambda s: s["sentence"]), " ").alias("part"))
+    texts = parts.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda s: s["part"]).alias("parts"))
+    return split_texts(texts, lambda p: semantic_groups(p or [], size, least), text_col="parts")
+
+
+def split_texts(df: DataFrame, chunker: Callable, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """(id, chunk_index, content): any function from a text (null: empty) to chunks, over Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

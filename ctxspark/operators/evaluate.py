@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -94,3 +95,47 @@ def metric_floor(metrics: DataFrame, name: str, floor: float, case: str = "query
     mean = metrics.agg(F.avg(name).alias("mean"))
     worst = metrics.orderBy(name, case).limit(3).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name, case))), lambda s: s[case].cast("string")), ",").alias("worst"))
     return mean.join(F.broadcast(worst)).withColumn("reached", F.coalesce(F.col("mean") >= floor, F.lit(False)))
+
+
+def evaluate_pipeline(cases: DataFrame, run: Callable[[DataFrame], DataFrame], relevant: DataFrame, k: int, judges: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """Per case the retrieval metrics of what run(cases) ranks, and a column for each judge(cases) that gives
+    (query_id, score); a case that a judge leaves out is null there, a case without results scores 0."""
+    got = retrieval_metrics(run(cases), relevant, k)
+    names = [c for c in got.columns if c != "query_id"]
+    out = cases.select("query_id").join(got, "query_id", "left").na.fill(0.0, names)
+    for name, judge in (judges or {}).items():
+        out = out.join(judge(cases).select("query_id", F.col("score").alias(name)), "query_id", "left")
+    return out
+
+
+def rag_scores(answers: DataFrame, **metrics: Callable[[Column, Column, Column], Column] | None) -> DataFrame:
+    """answers(case, question, answer, contexts) with a column for each metric(question, answer, contexts), clamped to
+    [0, 1]; one that isn't given is null."""
+    q, a, c = F.col("question"), F.col("answer"), F.col("contexts")
+    score = lambda f: F.lit(None).cast("double") if f is None else F.greatest(F.lit(0.0), F.least(F.lit(1.0), f(q, a, c)))
+    return answers.withColumns({name: score(f) for name, f in metrics.items()})
+
+
+def replay_consolidation(cases: DataFrame, after: DataFrame) -> DataFrame:
+    """(case, passed, missing, forbidden, size_ok) of cases(case, must_have, must_not, most) against the stores that a
+    consolidator left, after(case, content): each text of must_have is part of an entry (case folded), none of must_not is
+    part of any, and there are at most `most` entries. A case without entries has an empty store."""
+    low = after.select("case", F.lower("content").alias("content"))
+    size = low.groupBy("case").agg(F.count("*").alias("n"))
+    parts = cases.select("case", F.explode(F.concat(F.transform("must_have", lambda t: F.struct(F.lit(True).alias("want"), t.alias("t"))), F.transform("must_not", lambda t: F.struct(F.lit(False).alias("want"), t.alias("t"))))).alias("p")).select("case", "p.*")
+    held = parts.join(low, "case", "left").groupBy("case", "want", "t").agg(F.coalesce(F.max(F.contains("content", F.lower("t"))), F.lit(False)).alias("there"))
+    sums = held.groupBy("case").agg(F.count(F.when(F.col("want") & ~F.col("there"), 1)).alias("missing"), F.count(F.when(~F.col("want") & F.col("there"), 1)).alias("forbidden"))
+    out = cases.join(sums, "case", "left").join(size, "case", "left").na.fill(0, ["missing", "forbidden", "n"])
+    fits = F.col("most").isNull() | (F.col("n") <= F.col("most"))
+    return out.select("case", ((F.col("missing") == 0) & (F.col("forbidden") == 0) & fits).alias("passed"), "missing", "forbidden", fits.alias("size_ok"))
+
+
+def pair_runs(a: DataFrame, b: DataFrame, metric: str, case: str = "query_id") -> DataFrame:
+    """Paired samples (case, a, b) of two runs' metrics; cases that either lacks are left out."""
+    return a.select(case, F.col(metric).alias("a")).join(b.select(case, F.col(metric).alias("b")), case)
+
+
+def relevant_by_rating(ratings: DataFrame, threshold: float = 2.0) -> DataFrame:
+    """(query, item, mean_rating, judgments) of the pairs whose ratings(query, item, rating) reach the threshold on average."""
+    mean = ratings.groupBy("query", "item").agg(F.avg(F.col("rating").cast("double")).alias("mean_rating"), F.count("*").alias("judgments"))
+    return mean.where(F.col("mean_rating") >= threshold)

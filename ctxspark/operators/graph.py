@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.session import shared_folder
+from ..functions.session import shared_folder, sound_unions
 
 
 def saved(df: DataFrame) -> DataFrame:
     """Checkpointed in the folder that executors share."""
+    sound_unions(df.sparkSession)
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BooleanType, LongType
 
 from .fold import ordered_fold
 
@@ -79,3 +79,70 @@ def pass_lift(runs: DataFrame) -> DataFrame:
     """One row of runs(passed_with, passed_without): both pass rates and their difference; 0 without runs."""
     rate = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0))
     return runs.agg(F.count("*").alias("n"), rate("passed_with").alias("rate_with"), rate("passed_without").alias("rate_without")).withColumn("lift", F.col("rate_with") - F.col("rate_without"))
+
+
+def round_cost(prices: DataFrame, rounds: DataFrame, cached: float = 0.1, written: float = 1.25) -> DataFrame:
+    """Cost of rounds(model, prompt, completion, cache_read, cache_write): tokens read from a cache cost `cached` of the
+    input price, tokens written to it `written`; both count as prompt tokens that are not paid for again. Null without a
+    price."""
+    plain = F.greatest(F.lit(0), F.col("prompt") - F.col("cache_read") - F.col("cache_write"))
+    paid = plain + F.col("cache_read") * cached + F.col("cache_write") * written
+    return price(rounds.withColumns({"input": paid, "output": F.col("completion")}), prices).drop("name", "input", "output", "input_price", "output_price")
+
+
+def span_tree(spans: DataFrame, levels: int = 64) -> DataFrame:
+    """spans(trace_id, span_id, parent_id, start, end) with depth, seconds, and own_seconds without those of children. A
+    span whose parent isn't there is a root; spans deeper than `levels`, or in a circle, have a null depth."""
+    from .graph import saved
+
+    seconds = (F.unix_micros("end") - F.unix_micros("start")) / 1e6
+    timed = spans.withColumn("seconds", seconds)
+    below = timed.where("parent_id is not null").groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.sum("seconds").alias("below"))
+    told = timed.join(below, ["trace_id", "span_id"], "left").withColumn("own_seconds", F.col("seconds") - F.coalesce("below", F.lit(0.0))).drop("below")
+    links = spans.select("trace_id", "span_id", "parent_id")
+    there = links.select("trace_id", F.col("span_id").alias("up"), F.lit(True).alias("there"))
+    up = links.select("trace_id", "span_id", F.col("parent_id").alias("up")).join(there, ["trace_id", "up"], "left").withColumn("up", F.when(F.col("there"), F.col("up")))
+    jump = saved(up.select("trace_id", "span_id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    for _ in range(max(1, (levels - 1).bit_length())):  # each round doubles how far a span has looked up
+        if jump.where("up is not null").isEmpty():
+            break
+        far = jump.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        jump = saved(jump.join(far, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+    found = jump.select("trace_id", "span_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+    return told.join(found, ["trace_id", "span_id"], "left")
+
+
+def rollup_runs(calls: DataFrame, run: str, turn: str, amount: str) -> DataFrame:
+    """(run, turn, calls, amount): per turn, per run (turn null), and over all (both null)."""
+    return calls.rollup(run, turn).agg(F.count("*").alias("calls"), F.sum(amount).alias("amount"))
+
+
+def correlate(events: DataFrame, key: str, call: str, kind: str, started: str, finished: str, at: str) -> DataFrame:
+    """(key, call, started_at, finished_at, seconds) of an event stream's calls: each start with its own end, null where
+    that is missing."""
+    when = lambda k: F.min(F.when(F.col(kind) == k, F.col(at)))
+    both = events.where(F.col(kind).isin(started, finished)).groupBy(key, call).agg(when(started).alias("started_at"), when(finished).alias("finished_at"))
+    return both.where("started_at is not null").withColumn("seconds", (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6)
+
+
+def cache_replay(log: DataFrame, ttl: float, most: int, vault: str = "vault") -> DataFrame:
+    """log(vault, seq, op, key, at in seconds) with `hit`: whether a get finds what a set put there no more than ttl
+    seconds before. A cache holds `most` keys; a new one pushes out the one that was set first. `clear` empties it,
+    `drop` removes a key."""
+
+    def step(state: dict, row: dict) -> bool:
+        held, op, key, at = state["held"], row["op"], row["key"], row["at"]
+        if op == "clear":
+            held.clear()
+        elif op == "drop":
+            held.pop(key, None)
+        elif op == "set":
+            held.pop(key, None)
+            for old in [k for k, t in held.items() if at - t > ttl]:
+                del held[old]
+            if len(held) >= most:
+                del held[next(iter(held))]
+            held[key] = at
+        return op == "get" and key in held and at - held[key] <= ttl
+
+    return ordered_fold(log, [vault], ["seq"], ["op", "key", "at"], lambda: {"held": {}}, step, "hit", BooleanType())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.session import shared_folder, sound_unions
 from ..operators import assemble as A
 from ..operators import chunking as C
 from ..operators import evaluate as E
@@ -46,6 +47,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    sound_unions(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -768,11 +770,8 @@ def _stream(spark, sf) -> DataFrame:
     return X.event_stream(spark, sf, table(spark, sf, "events").schema.simpleString()[7:-1].replace(":", " "), "events.parquet")
 
 
-_runs = iter(range(10**9))
-
-
-def _drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    return X.drain(stream, f"out_{next(_runs)}", tempfile.mkdtemp(), mode)
+def _drain(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    return X.drain(stream, f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}", mode, keys)
 
 
 @query("select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by all")
@@ -780,7 +779,7 @@ def stream_tumbling(spark, sf):
     return _drain(X.tumbling(_stream(spark, sf)), "complete")
 
 
-@query()
+@query("with o as (select *, case when ts - lag(ts) over w < interval 30 minute then 0 else 1 end as new from events window w as (partition by user_id order by ts)), i as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from o), z as (select user_id, s, min(ts) as a, max(ts) as b, count(*) as n from i group by 1, 2) select strftime(a, '%Y-%m-%d %H:%M:%S.%f') as start, user_id, n from z where b + interval 30 minute <= (select max(ts) - interval 10 minute from events)")
 def stream_session(spark, sf):
     return _drain(X.sessions(_stream(spark, sf)))
 
@@ -794,7 +793,7 @@ def stream_dedup(spark, sf):
 def stream_conversation_window(spark, sf):
     schema = table(spark, sf, "conversations").schema
     s = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf).withColumn("tokens", T.token_count("text"))
-    return _drain(X.conversation_window(s, 120), "update")
+    return _drain(X.conversation_window(s, 120), "update", ["conv_id"])
 
 
 @query(f"""with {ENTRIES}, d as (select id, case when id % 7 = 0 then 'DELETE' when id % 5 = 0 then 'UPDATE' else 'NONE' end as action from en union all select id + 10000000, 'ADD' from en where id % 11 = 0 union all select id + 20000000, 'DELETE' from en where id % 13 = 0),
