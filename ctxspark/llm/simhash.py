@@ -232,41 +232,50 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def copy_candidates(banded: DataFrame) -> DataFrame:
-    """The first round's distinct pairs (a, b) of the keys of banded(key, bands) that share a band; see LEADERS."""
+    """(crowd, a, b) of banded(key, bands). Where crowd is null: a pair of keys that share a band, the first round's; see
+    LEADERS. Else: the key a is in the group of band `crowd`, which is so large that the first round leaves out pairs.
+    """
+    most = LEADERS + 2  # in a group of so many the first round compares all pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, lead, last = None, [], None
+        band, held, n, last = None, [], 0, None
         for batch in batches:
-            a, b = [], []
+            crowd, a, b = [], [], []
             for x, key in zip(batch.column("band").to_pylist(), batch.column("key").to_pylist(), strict=True):
                 if x != band:
-                    band, lead, last = x, [key], key
+                    band, held, n, last = x, [key], 1, key
                     continue
+                lead = held[:LEADERS]
                 near = lead if last in lead else [*lead, last]
+                crowd += [None] * len(near)
                 a += near
                 b += [key] * len(near)
-                if len(lead) < LEADERS:
-                    lead.append(key)
-                last = key
-            yield record(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
+                n, last = n + 1, key
+                if n <= most:
+                    held.append(key)
+                else:
+                    told = [*held, key] if n == most + 1 else [key]
+                    crowd += [band] * len(told)
+                    a += told
+                    b += [0] * len(told)
+            yield record(crowd=pa.array(crowd, pa.int64()), a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
 
     rows = banded.select(F.explode("bands").alias("band"), "key")
-    return rows.repartition("band").sortWithinPartitions("band", "key").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("band").sortWithinPartitions("band", "key").mapInArrow(run, "crowd long, a long, b long").distinct()
 
 
-def copies_apart(banded: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that share a band, are not connected by roots(node, root) and agree in AGREE minimal hashes.
+def copies_apart(crowds: DataFrame, lows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that share a crowded band, are not connected by roots(node, root) and agree in AGREE hashes.
 
-    banded(key, bands, low) has the low byte of each minimal hash. Only groups with texts of different components are
-    looked at, without limit: those outside the group's largest component are compared with all of the group, in blocks
-    of CHUNK by CHUNK texts, each block a task's work.
+    crowds(band, key) are the members of large groups, lows(key, low) has the low byte of each minimal hash. Only groups
+    with texts of different components are looked at, without limit: those outside the group's largest component are
+    compared with all of the group, in blocks of CHUNK by CHUNK texts, each block a task's work.
     """
-    member = banded.join(roots, banded.key == roots.node, "left").select("key", "low", F.coalesce("root", "key").alias("root"), F.explode("bands").alias("band"))
-    slim = member.select("band", "root", "key")
-    parts = slim.groupBy("band", "root").agg(F.count("*").alias("n"))
+    member = crowds.join(roots, crowds.key == roots.node, "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    parts = member.groupBy("band", "root").agg(F.count("*").alias("n"))
     sizes = parts.groupBy("band").agg(F.sum("n").alias("n"), F.max_by("root", "n").alias("main"), F.max("n").alias("most"), F.count("*").alias("roots")).where("roots > 1")
     sizes = sizes.select("band", "main", F.ceil(F.col("n") / CHUNK).cast("int").alias("ways"), F.ceil((F.col("n") - F.col("most")) / CHUNK).cast("int").alias("asks"))
-    known = member.join(sizes, "band")
+    known = saved(member.join(sizes, "band")).join(lows, "key")
     deal = lambda ways: F.pmod(F.xxhash64("key"), F.col(ways)).cast("int")
     every = lambda ways: F.sequence(F.lit(0), F.col(ways) - 1)
     held = known.select("band", deal("ways").alias("way"), F.explode(every("asks")).alias("ask"), F.lit(False).alias("asks"), "key", "root", "low")
@@ -338,11 +347,13 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = df.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     marked = saved(map_batches(texts, run, "id long, key long, bands array<long>, low binary"))
     low = marked.groupBy("id", "key").agg(F.count("*").alias("n")).groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", F.col("key").alias("text_key"), "n")).alias("low"))
-    banded = marked.groupBy("key").agg(F.first("bands").alias("bands"), F.first("low").alias("low"))
     keyed = texts.select("key", "text")
-    links = saved(copy_links(saved(copy_candidates(banded)), keyed))
+    found = saved(copy_candidates(marked.groupBy("key").agg(F.first("bands").alias("bands"))))
+    links = saved(copy_links(found.where("crowd is null").select("a", "b"), keyed))
     roots = saved(components(links))
-    more = saved(copies_apart(banded, roots))
+    crowds = found.where("crowd is not null").select(F.col("crowd").alias("band"), F.col("a").alias("key"))
+    lows = marked.select("key", "low").join(crowds.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("low").alias("low"))
+    more = saved(copies_apart(crowds, lows, roots))
     if not more.isEmpty():
         roots = saved(components(links.union(copy_links(more, keyed))))
     known = low.join(roots, low.key == roots.node, "left").select("low", F.coalesce("root", "key").alias("root"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,15 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import shared_folder, sound_unions
+
 #: Word separators of the contracts: space and \x09-\x0D.
 SEPARATORS = " \t\n\x0b\x0c\r"
 #: bytes.translate table that lower-cases A-Z only.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Texts in one Arrow batch; keeps a Python worker's memory bounded by the batch, not by the partition.
-BATCH_ROWS = 1000
+#: Rows and bytes of the Arrow slices that a function sees; keep a Python worker's memory bounded by the slice.
+BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    sound_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -37,10 +39,20 @@ def released(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return run
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most BATCH_ROWS rows and about BATCH_BYTES, one row at least."""
+    for batch in batches:
+        rows = BATCH_ROWS
+        if batch.num_rows:
+            rows = max(1, min(rows, int(BATCH_BYTES * batch.num_rows // max(1, batch.nbytes))))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with small batches, so that long texts don't pile up in a worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(released(fn), schema)
+    """mapInArrow over small slices, so that what fn makes of long texts doesn't pile up in a worker. The size of the
+    batches themselves is the session's own setting."""
+    return df.mapInArrow(released(lambda batches: fn(slices(batches))), schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -54,9 +66,8 @@ def record(**columns) -> pa.RecordBatch:
 
 def saved(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder that all executors share, with its lineage cut."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    sound_unions(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
