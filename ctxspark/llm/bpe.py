@@ -8,7 +8,6 @@ entries before it and recomputes those behind it only until they agree with the
 from __future__ import annotations
 
 import base64
-import gc
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import map_batches, record
+from .util import map_batches, no_cycles, record
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -241,7 +240,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     With `decoded` the ids are decoded in the same pass, as decode() would, into `bytes` behind them: one Python
     worker a task instead of two. Null and empty texts give an empty array, null ids stay, repeated rows give
-    repeated results, other columns are ignored. The rank file (under a megabyte) is read on the driver and sent
+    repeated results, other columns are ignored; long texts are encoded whole, an empty table gives no rows. The rank file (under a megabyte) is read on the driver and sent
     with the function.
     """
     with open(ranks_path, "rb") as f:
@@ -250,15 +249,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(data.value, pattern)
         back = Decoder(bpe.ranks) if decoded else None
-        gc.disable()  # the caches hold no cycles, and walking them costs a tenth of the time or more
-        for batch in batches:
-            rows = [np.fromiter(chain.from_iterable(bpe.encode(x or "")), np.int32) for x in batch.column("text").to_pylist()]
-            sizes = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-            flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-            more = {"bytes": pa.array([back.decode(x) for x in rows], pa.binary())} if back else {}
-            yield record(id=batch.column("id"), ids=pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), **more)
-        bpe.forget()
-        gc.enable()
+        with no_cycles(bpe.forget):  # walking the caches costs a tenth of the time or more
+            for batch in batches:
+                rows = [np.fromiter(chain.from_iterable(bpe.encode(x or "")), np.int32) for x in batch.column("text").to_pylist()]
+                sizes = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+                flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+                more = {"bytes": pa.array([back.decode(x) for x in rows], pa.binary())} if back else {}
+                yield record(id=batch.column("id"), ids=pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), **more)
 
     return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, ids array<int>" + ", bytes binary" * decoded).withColumnRenamed("id", id_col)
 

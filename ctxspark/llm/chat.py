@@ -22,6 +22,7 @@ FORMATTED = "conv_id long, turn long, role string, formatted string, loss_start
 START, END = "<|im_start|>", "<|im_end|>\n"
 ESCAPED = re.compile(r"\\([\\|n])")
 TURN = re.compile(r"(?s)<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n")
+PLACEHOLDER = re.compile(r"<\|([a-z]+):(\d+)\|>")
 
 
 def escape(text: str) -> str:
@@ -87,6 +88,20 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(role), unescape(body)) for role, body in TURN.findall(formatted)]
 
 
+def read_parts(formatted: str) -> list[tuple[str, list[tuple[str, str]]]]:
+    """(role, parts) of every turn: text parts unescaped, and (kind, number) of every attachment's placeholder. A text
+    that looks like a placeholder was escaped, so it comes back as the text it is; empty texts are left out."""
+    out = []
+    for role, body in TURN.findall(formatted):
+        parts, at = [], 0
+        for m in PLACEHOLDER.finditer(body):
+            parts += [("text", unescape(body[at : m.start()]))] * (m.start() > at) + [(m[1], m[2])]
+            at = m.end()
+        parts += [("text", unescape(body[at:]))] * (at < len(body))
+        out.append((unescape(role), parts))
+    return out
+
+
 def text_parts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with `parts`: its text as the only part; null is empty."""
     return df.withColumn("parts", F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text_col, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("double").alias("amount"))))
@@ -95,7 +110,8 @@ def text_parts(df: DataFrame, text_col: str = "text") -> DataFrame:
 def format_turns(df: DataFrame) -> DataFrame:
     """Each row of df(conv_id, turn, role, parts) formatted on its own, without a shuffle.
 
-    A conversation is its turns' texts joined in order. Null roles are empty, null parts none. Repeated rows and equal turn numbers are formatted alike.
+    A conversation is its turns' texts joined in order. Null roles are empty, null parts none.
+    Repeated rows and equal turn numbers are formatted alike; long texts are formatted whole; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +128,7 @@ def digests(formatted: DataFrame) -> DataFrame:
 
     Turns are sorted within partitions and streamed, so a conversation of any length takes constant memory; a
     digest over all its turns is sequential by nature. Order: turn (nulls first), then the formatted text. Null
-    conversations are one conversation.
+    conversations are one conversation; repeated rows are turns of their own; an empty table gives no rows.
     """
     ordered = formatted.select("conv_id", "turn", "formatted", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

@@ -126,10 +126,8 @@ from e group by conv_id
 
 
 def queries() -> dict:
-    from corpus_pipeline import run
-
     ops = [op1_suffix_dedup, op2_language_id, op3_simhash, op4_byte_bpe, op5_url_filter, op6_license_scan, op7_quality_crf, op8_decontaminate, op8_near_items, op9_token_counts, op10_chat_format]
-    return {f.__name__: f for f in ops} | {"pipeline": run}
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,6 @@ around them until a cut falls where one was before, and updates the sums above.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PrefixBpe, encoder
-from .util import map_batches, record
+from .util import map_batches, no_cycles, record
 
 #: Pre-tokens in a leaf when it is built.
 LEAF = 32
@@ -124,8 +123,8 @@ class CountTree:
     def place(self, leaf: int, before: int, at: int) -> int:
         """Pre-tokens of the leaves from `leaf` on, which begins at `before`, that end at or before `at`."""
         n = 0
-        for pieces in self.leaves[leaf:]:
-            for p, _ in pieces:
+        for i in range(leaf, len(self.leaves)):
+            for p, _ in self.leaves[i]:
                 before += len(p)
                 if before > at:
                     return n
@@ -163,26 +162,24 @@ def count_edited(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     Places count code points of the text as it stands when the edit comes, and are clipped to it. n_encoded: pre-tokens
     of the first encoding; n_reencoded: of all edits. Null and empty texts count 0, null edits are none, null ids
-    stay, repeated rows give repeated results.
+    stay, repeated rows give repeated results, long texts are counted whole, an empty table gives no rows.
     """
     with open(ranks_path, "rb") as f:
         data = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(data.value, pattern)
-        gc.disable()  # trees and caches hold no cycles
-        for batch in batches:
-            rows = []
-            for text, edits in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
-                tree = CountTree(bpe, text or "")
-                before, encoded = tree.count, tree.encoded
-                for e in edits or ():
-                    if e is not None:
-                        tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "")
-                rows.append((before, tree.count, encoded, tree.encoded - encoded))
-            cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
-            yield record(id=batch.column("id"), n_tokens=cols[0], n_tokens_after=cols[1], n_encoded=cols[2], n_reencoded=cols[3])
-        bpe.forget()
-        gc.enable()
+        with no_cycles(bpe.forget):
+            for batch in batches:
+                rows = []
+                for text, edits in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
+                    tree = CountTree(bpe, text or "")
+                    before, encoded = tree.count, tree.encoded
+                    for e in edits or ():
+                        if e is not None:
+                            tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "")
+                    rows.append((before, tree.count, encoded, tree.encoded - encoded))
+                cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
+                yield record(id=batch.column("id"), n_tokens=cols[0], n_tokens_after=cols[1], n_encoded=cols[2], n_reencoded=cols[3])
 
     return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(edits_col).cast(EDITS).alias("edits")), run, "id long, n_tokens long, n_tokens_after long, n_encoded long, n_reencoded long").withColumnRenamed("id", id_col)

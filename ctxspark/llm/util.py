@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,6 +57,17 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(released(lambda batches: fn(slices(batches))), schema)
 
 
+@contextlib.contextmanager
+def no_cycles(end: Callable[[], None]) -> Iterator[None]:
+    """Garbage collection off while caches without cycles grow; on again, after end(), however the task ends."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        end()
+        gc.enable()
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The column as UTF-8 bytes; null is empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

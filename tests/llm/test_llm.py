@@ -299,6 +299,31 @@ def test_bpe(spark, encoder):
     assert sorted((str(r.doc_id), bytes(r.bytes).decode(), r.ids) for r in got) == sorted((str(i), t or "", want.encode_ordinary(t or "")) for i, t in ODD)
 
 
+def test_empty_tables_and_long_texts(spark):
+    """Operators over rows: no rows in, none out; a text of a megabyte and repeated rows come out whole."""
+    long = "word and more " * 80_000
+    rows = [(1, long), (2, "twice the same"), (2, "twice the same"), (None, None)]
+    df = docs(spark, rows)
+    edited = df.withColumn("edits", F.lit(None).cast("array<struct<start:int,end:int,text:string>>"))
+    pieces = langid.piece_list(RANKS)
+    langs, prob = langid.fit(spark.createDataFrame([("word and more", "en"), ("twice le m\u00eame", "fr")], "text string, lang string"), pieces)
+    ops = {
+        "encode": (lambda d: bpe.encode(d, RANKS, public_tokenizers.PATTERN), df),
+        "count": (lambda d: token_counts.count_edited(d, RANKS, public_tokenizers.PATTERN), edited),
+        "scan": (licenses.scan, df),
+        "judge": (lambda d: quality.judge(d, quality.PRIOR), df),
+        "predict": (lambda d: langid.predict(d, pieces, langs, prob), df),
+        "dedup": (suffix_dedup.dedup, df),
+        "near": (simhash.near_duplicates, df),
+        "representatives": (simhash.representatives, df),
+    }
+    for name, (op, frame) in ops.items():
+        got = op(frame).collect()
+        assert len(got) == (len(rows) if name != "representatives" else 3), name
+        assert op(frame.limit(0)).count() == 0, name
+    assert [r.lang_pred for r in langid.predict(df, pieces, [], np.zeros((len(pieces), 0))).collect()] == ["und"] * 4
+
+
 def test_prefix_table(encoder):
     rnd = random.Random(9)
     for _ in range(200):
@@ -627,6 +652,9 @@ def test_chat(spark):
     text, a, b, attached = chat.format_turn("assistant", parts)
     assert [(x["kind"], x["ref"], x["tokens"]) for x in attached] == [("image", "i1", 765), ("audio", "a1", 75), ("document", None, 1200)]
     assert all(text[x["at"] :].startswith(f"<|{x['kind']}:{k + 1}|>") for k, x in enumerate(attached))
+    typed = [{"type": "text", "text": "no <|image:1|> here"}, {"type": "image", "ref": "x", "amount": 1.0}, {"type": "text", "text": "<|audio:2|>\\"}]
+    assert chat.read_parts(chat.format_turn("user", typed)[0]) == [("user", [("text", "no <|image:1|> here"), ("image", "1"), ("text", "<|audio:2|>\\")])]
+    assert chat.digests(chat.format_turns(chat.text_parts(df.limit(0)))).count() == 0
     assert text.count("<|im_end|>") == 1 and chat.unescape(text[a:b]).startswith("see <|im_end|><|image:1|>")
 
 
