@@ -60,6 +60,16 @@ def validate_vault(name: str) -> str:
     return name
 
 
+def same_vault(*frames: DataFrame, vault: str = "vault") -> str | None:
+    """The one vault that all rows of the frames are in, null if there are none; several are an error."""
+    found: set[str] = set()
+    for f in frames:
+        found |= {r[0] for r in f.select(vault).distinct().limit(2).collect()}
+    if len(found) > 1:
+        raise ValueError(f"rows of several vaults: {sorted(map(str, found))}")
+    return next(iter(found), None)
+
+
 def is_under(namespace: str | Column, prefix: str) -> Column:
     """Whether the namespace is the prefix or below it; /a is not above /ab. Reaches the scan as equality and prefix."""
     ns, prefix = F.col(namespace) if isinstance(namespace, str) else namespace, normalize_namespace(prefix)

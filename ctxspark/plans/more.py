@@ -84,8 +84,8 @@ def span_tree(spark, sf):
 
 @query()
 def cache_replay(spark, sf):
-    e = events(spark, sf).select("user_id", F.struct("ts", "event_id").alias("seq"), F.when(F.col("event_type") == "error", "clear").when(F.col("event_id") % 2 == 0, "set").otherwise("get").alias("op"), (F.col("event_id") % 4).alias("key"), (F.unix_micros("ts") / 1e6).alias("at"))
-    return O.cache_replay(e, 86_400, 3, "user_id").select("user_id", "seq.event_id", "op", "hit")
+    e = events(spark, sf).select("user_id", F.struct("ts", "event_id").alias("seq"), F.when(F.col("event_type") == "error", "clear").when(F.col("event_id") % 2 == 0, "set").otherwise("get").alias("op"), F.pmod(F.floor(F.col("event_id") / 100), F.lit(4)).alias("key"), (F.unix_micros("ts") / 1e6).alias("at"))
+    return O.cache_replay(e, 20 * 86_400, 3, "user_id").select("user_id", "seq.event_id", "op", "hit")
 
 
 @query("""with l as (select user_id, event_id // 3 as call, min(ts) filter (event_type = 'view') as started_at, min(ts) filter (event_type = 'click') as finished_at from events group by all)
