@@ -73,6 +73,14 @@ def decode_bytes(raw: bytes) -> str:
         return raw.decode("latin-1")
 
 
+def json_of(c: str | Column) -> Column:
+    """The JSON in a model's answer: what stands in a fence, else from the first bracket to the last; null if none."""
+    text = col(c)
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    bare = F.regexp_extract(text, r"(?s)([\[{].*[\]}])", 1)
+    return F.nullif(F.when(fenced != "", fenced).otherwise(bare), F.lit(""))
+
+
 def head_and_tail(c: str | Column, limit: int) -> Column:
     """A text of more than `limit` words cut to its first and last ones, with a mark that says how many are left out."""
     w = words(F.coalesce(col(c), F.lit("")))

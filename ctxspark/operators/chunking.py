@@ -41,6 +41,14 @@ def parent_child(df: DataFrame, parent: int, child: int, overlap: int = 0, id_co
     return kids.select("id.doc", "id.parent_index", "id.parent_id", F.col("chunk_index").alias("child_index"), "content")
 
 
+def expand_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
+    """Hits on children (doc, parent_id, child_index, score) as their parents: each parent once a document, with the place
+    and score of its first child and the parent's own text; a hit whose parent is gone keeps a null text."""
+    first = hits.groupBy("doc", "parent_id").agg(F.min(F.struct("child_index", "score")).alias("f"))
+    text = parents.select("doc", "parent_id", "content").dropDuplicates(["doc", "parent_id"])
+    return first.select("doc", "parent_id", "f.child_index", "f.score").join(text, ["doc", "parent_id"], "left")
+
+
 def sentences(df: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """(id, n, sentence): cut behind . ! or ? before white space."""
     return df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.trim(F.regexp_replace(text_col, r"([.!?])\s+", "$1\u0001")), "\u0001")).alias("n", "sentence")).where("sentence <> ''").select("id", F.col("n").cast("long"), "sentence")

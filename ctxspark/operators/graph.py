@@ -143,6 +143,16 @@ def query_items(seeds: DataFrame, edges: DataFrame, links: DataFrame, k: int = 1
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).withColumn("norm", F.col("score") / F.max("score").over(W.partitionBy("query")))
 
 
+def related_items(seeds: DataFrame, adj: DataFrame, links: DataFrame, depth: int = 2) -> DataFrame:
+    """(seed, item, hops): the items linked to a seed or to what it reaches within `depth`, by the fewest hops."""
+    return bfs(seeds, adj, depth).join(links, "node").groupBy("seed", "item").agg(F.min("hops").alias("hops"))
+
+
+def backlinks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, source): what links to each of nodes(node)."""
+    return edges.select(F.col("target").alias("node"), "source").join(nodes.select("node").distinct(), "node", "left_semi").distinct()
+
+
 def explain(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """(seed, node, hop, a, b, relation): the first edge (by seq), in either direction, of every hop of bfs() paths."""
     w = F.split("path", ">")

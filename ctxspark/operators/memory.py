@@ -26,7 +26,7 @@ def position_scores(turns: DataFrame, rate: float = 2.0, key: str = "conv_id", o
     i = F.row_number().over(W.partitionBy(key).orderBy(order)) - 1
     x = i / F.nullif(n - 1, F.lit(0))
     one = F.lit(1.0)
-    return turns.withColumns({"score": F.round(F.coalesce(0.5 + 0.5 * x, F.lit(0.5)), 4), "linear": F.coalesce(x.cast("double"), one), "exponential": F.coalesce((F.exp(rate * x) - 1) / (F.exp(F.lit(rate)) - 1), one)})
+    return turns.withColumns({"score": F.bround(F.coalesce(0.5 + 0.5 * x, F.lit(0.5)).cast("double"), 4), "linear": F.coalesce(x.cast("double"), one), "exponential": F.coalesce((F.exp(rate * x) - 1) / (F.exp(F.lit(rate)) - 1), one)})
 
 
 def evict_prefix(rows: DataFrame, order: list, to_free: int, key: str = "conv_id") -> DataFrame:
@@ -147,6 +147,17 @@ def entry_items(found: DataFrame, entries: DataFrame, priority: int = 7) -> Data
     return found.join(told, "id").select("query_id", "id", "content", F.col("own").alias("score"), F.lit(priority).alias("priority"), F.lit("memory").alias("source"))
 
 
+def summary_buffer(turns: DataFrame, max_tokens: int, compact: Callable[[Column], Column] | None = None, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
+    """(key, evicted, summary): what a window of max_tokens has let go, in order and summarised by compact(text); the text
+    itself without one, or where that gives null. Conversations that let nothing go have an empty summary."""
+    from .assemble import joined
+
+    held = fifo_window(turns, max_tokens, key, order).select(key, order, F.lit(True).alias("_kept"))
+    out = F.col("_kept").isNull()
+    gone = turns.join(held, [key, order], "left").groupBy(key).agg(F.count(F.when(out, 1)).alias("evicted"), joined(order, text, " ", out).alias("whole"))
+    return gone.select(key, "evicted", (F.col("whole") if compact is None else F.coalesce(compact(F.col("whole")), "whole")).alias("summary"))
+
+
 #: Share of the budget of each tier: turns as they are, summaries, shorter summaries, facts.
 TIERS = (0.5, 0.25, 0.125, 0.0625)
 

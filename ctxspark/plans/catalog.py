@@ -394,7 +394,7 @@ def window_fifo(spark, sf):
     return M.fifo_window(turns(spark, sf), 120).select("conv_id", "turn", "tokens")
 
 
-@query("with p as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as i, count(*) over (partition by conv_id) as n from conversations) select conv_id, turn, case when n = 1 then 0.5 else round(0.5 + 0.5 * i / (n - 1), 4) end as score, case when n = 1 then 1 else round(i / (n - 1), 6) end as linear, case when n = 1 then 1 else round((exp(2.0 * i / (n - 1)) - 1) / (exp(2.0) - 1), 6) end as exponential from p")
+@query("with p as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as i, count(*) over (partition by conv_id) as n from conversations) select conv_id, turn, case when n = 1 then 0.5 else round_even(0.5 + 0.5 * i / (n - 1), 4) end as score, case when n = 1 then 1 else round(i / (n - 1), 6) end as linear, case when n = 1 then 1 else round((exp(2.0 * i / (n - 1)) - 1) / (exp(2.0) - 1), 6) end as exponential from p")
 def window_recency(spark, sf):
     return M.position_scores(turns(spark, sf)).select("conv_id", "turn", "score", T.r6("linear").alias("linear"), T.r6("exponential").alias("exponential"))
 
@@ -424,10 +424,7 @@ def sliding_memory(spark, sf):
 
 @query(f"with {TURNS}, h as (select *, sum(least(tokens, 120)) over (partition by conv_id order by turn desc rows unbounded preceding) as held from tn) select conv_id, coalesce(string_agg(text, ' ' order by turn) filter (held > 120), '') as summary_input, count(*) filter (held > 120) as evicted from h group by 1")
 def summary_buffer(spark, sf):
-    held = M.fifo_window(turns(spark, sf), 120).select("conv_id", "turn", F.lit(True).alias("kept"))
-    t = turns(spark, sf).join(held, ["conv_id", "turn"], "left")
-    out = F.col("kept").isNull()
-    return t.groupBy("conv_id").agg(A.joined("turn", "text", " ", out).alias("summary_input"), F.count(F.when(out, 1)).alias("evicted"))
+    return M.summary_buffer(turns(spark, sf), 120).withColumnRenamed("summary", "summary_input")
 
 
 @query(f"with {ENTRIES} select id, round(least(1, greatest(0, exp(-hours / (24.0 + access_count * 12.0)))), 6) as ebbinghaus, round(least(1, greatest(0, 1 - hours / 336.0)), 6) as linear from en")
@@ -569,7 +566,8 @@ def neighbors_2hop(spark, sf):
 
 @query(f"with {EDGES} select e.target as node, count(*) as backlinks from ed e where e.target like 'r%' group by 1")
 def backlinks(spark, sf):
-    return edges(spark, sf).where("target like 'r%'").groupBy(F.col("target").alias("node")).agg(F.count("*").alias("backlinks"))
+    e = edges(spark, sf)
+    return G.backlinks(e, e.where("target like 'r%'").select(F.col("target").alias("node"))).groupBy("node").agg(F.count("*").alias("backlinks"))
 
 
 @query(f"""with {EDGES}, s as (select 'c' || c_custkey as seed from customer where c_custkey % 50 = 0),
@@ -645,9 +643,8 @@ def graph_visible(spark, sf):
 def related_items(spark, sf):
     e = edges(spark, sf)
     seeds = e.where("source like 'c%' and cast(substring(source, 2) as long) % 50 = 0").select(F.col("source").alias("seed")).distinct()
-    near = G.bfs(seeds, G.adjacency(e), 2)
     links = table(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("node"), F.col("o_orderkey").alias("item")).distinct()
-    return near.join(links, "node").groupBy("seed").agg(F.countDistinct("item").alias("items"))
+    return G.related_items(seeds, G.adjacency(e), links).groupBy("seed").agg(F.count("*").alias("items"))
 
 
 @query("with a as (select p_name as alias, min(p_partkey) as node from part group by 1), t as (select p_partkey as id, ' ' || p_name || ' ' || p_type || ' ' || lower(p_brand) || ' ' as x from part) select id, node from t join a on contains(lower(x), ' ' || alias || ' ')")
@@ -715,7 +712,7 @@ def kappa(spark, sf):
 @query("select user_id as query, event_type as item, round(avg(value % 4), 6) as mean_rating, count(*) as judgments from (select user_id, event_type, cast(floor(value) as bigint) as value from events) group by all having avg(value % 4) >= 2")
 def human_to_dataset(spark, sf):
     r = events(spark, sf).select(F.col("user_id").alias("query"), F.col("event_type").alias("item"), (F.floor("value") % 4).alias("r"))
-    return r.groupBy("query", "item").agg(T.r6(F.avg("r")).alias("mean_rating"), F.count("*").alias("judgments"), F.avg("r").alias("m")).where("m >= 2").drop("m")
+    return E.relevant_by_rating(r.withColumnRenamed("r", "rating")).withColumn("mean_rating", T.r6("mean_rating"))
 
 
 @query("select cast(grouping(m) * 2 + grouping(o) as bigint) as level, m as model, o as operation, count(*) as calls, round(sum(value), 6) as cost from (select 'model-' || (user_id % 3) as m, event_type as o, value from events) group by grouping sets ((), (m), (o))")
@@ -756,7 +753,7 @@ def stuck_calls(spark, sf):
 @query("select coalesce(o_custkey, -1) as run, coalesce(p, 'all') as turn, count(*) as calls, round(sum(o_totalprice), 2) as cost from (select o_custkey, o_orderpriority as p, o_totalprice from orders) group by rollup (o_custkey, p)")
 def run_rollup(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderpriority").alias("turn"), "o_totalprice")
-    return o.rollup("run", "turn").agg(F.count("*").alias("calls"), F.round(F.sum("o_totalprice"), 2).alias("cost")).select(F.coalesce("run", F.lit(-1)).alias("run"), F.coalesce("turn", F.lit("all")).alias("turn"), "calls", "cost")
+    return O.rollup_runs(o, "run", "turn", "o_totalprice").withColumn("cost", F.round("amount", 2)).select(F.coalesce("run", F.lit(-1)).alias("run"), F.coalesce("turn", F.lit("all")).alias("turn"), "calls", "cost")
 
 
 @query("select event_type, case when regexp_matches(event_type, 'error|view') then 'retrieval' else 'pipeline' end as kind, count(*) as n from events group by all")

@@ -321,3 +321,27 @@ def evaluate_pipeline(spark, sf):
 def stream_expiring(spark, sf):
     """Keys whose last event is an hour old by the watermark; what the end of the stream leaves alive has no row."""
     return base._drain(X.expiring(base._stream(spark, sf), "user_id", 3600)).select("user_id", "n")
+
+
+@query("select doc_id, length(substr(text, 1, 40)) as chars, true as same from documents")
+def answer_json(spark, sf):
+    """JSON cut out of answers: fenced, bare, and none at all."""
+    d = table(spark, sf, "documents").select("doc_id", F.to_json(F.struct(F.substring("text", 1, 40).alias("t"))).alias("j"))
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here:\n```json\n"), "j", F.lit("\n```\nDone."))).otherwise(F.concat(F.lit("It is "), "j", F.lit(" as asked.")))
+    got = d.withColumns({"a": T.json_of(said), "none": T.json_of(F.lit("no answer"))})
+    return got.select("doc_id", F.length(F.get_json_object("a", "$.t")).cast("long").alias("chars"), ((F.col("a") == F.col("j")) & F.col("none").isNull()).alias("same"))
+
+
+@query(f"with {base.PARENTS}, h as (select id, sha256(array_to_string(pw, ' '))[1:16] as pid, array_to_string(pw, ' ') as body, ci from ki where ci % 2 = 1) select id as doc, pid as parent_id, cast(min(ci) as bigint) as child_index, md5(any_value(body)) as digest from h group by id, pid")
+def parent_texts(spark, sf):
+    docs = items(spark, sf)
+    kids = C.parent_child(docs, 128, 32).where("child_index % 2 = 1").withColumn("score", F.lit(0.5))
+    parents = C.fixed(docs, 128, 0).select(F.col("id").alias("doc"), F.substring(F.sha2("content", 256), 1, 16).alias("parent_id"), "content")
+    return C.expand_parents(kids, parents).select("doc", "parent_id", "child_index", F.md5("content").alias("digest"))
+
+
+@query()
+def embed_hashed(spark, sf):
+    """Documents embedded by hashed words, and each one's nearest other among those whose id is divisible by 50."""
+    e = R.embed(items(spark, sf).select("id", "content"), R.hashed_words(64))
+    return R.knn(e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), e, 2)

@@ -242,6 +242,18 @@ def test_ivf_recall(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_embed_hashed(spark):
+    import numpy as np
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    vec = {r.doc_id: np.array(retrieval.hashed_words(64)([r.text])[0]) for r in rows if r.text is not None}
+    for r in catalog.queries()["embed_hashed"](spark, SF).collect():
+        scores = sorted(((-round(float(vec[r.query_id] @ v), 6), i) for i, v in vec.items()))
+        assert abs(-scores[r.rank - 1][0] - r.score) < 2e-6
+    df = spark.createDataFrame([(1, None), (2, "a b")], "id long, content string")
+    assert [r.embedding is None for r in retrieval.embed(df, retrieval.hashed_words(8), batch=1).orderBy("id").collect()] == [True, False]
+
+
 def test_analyzer(spark):
     df = spark.createDataFrame([("The Cats, running to cats' beds",)], "t string")
     tokens = retrieval.analyzer(retrieval.STOP_WORDS, lambda w: w.removesuffix("s"))
