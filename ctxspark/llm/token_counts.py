@@ -8,6 +8,7 @@ around them until a cut falls where one was before, and updates the sums above.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,10 +26,19 @@ CONTEXT = 2
 class CountTree:
     """The segment tree of one document."""
 
-    def __init__(self, bpe: PrefixBpe, text: str):
+    def __init__(self, bpe: PrefixBpe, text: str, stored: tuple[list[int], list[int]] | None = None):
+        """stored: the pre-tokens' lengths and token counts, where the text was cut before."""
         self.bpe = bpe
         self.encoded = 0
-        self.build(self.cut(text))
+        if stored is None:
+            self.build(self.cut(text))
+        else:
+            ends = list(accumulate(stored[0]))
+            self.build([(text[b - n : b], c) for b, n, c in zip(ends, *stored, strict=True)])
+
+    def stored(self) -> tuple[list[int], list[int]]:
+        every = [x for leaf in self.leaves for x in leaf]
+        return [len(p) for p, _ in every], [n for _, n in every]
 
     def cut(self, text: str) -> list[tuple[str, int]]:
         pieces = self.bpe.pattern.findall(text)
@@ -183,3 +193,42 @@ def count_edited(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 yield record(id=batch.column("id"), n_tokens=cols[0], n_tokens_after=cols[1], n_encoded=cols[2], n_reencoded=cols[3])
 
     return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(edits_col).cast(EDITS).alias("edits")), run, "id long, n_tokens long, n_tokens_after long, n_encoded long, n_reencoded long").withColumnRenamed("id", id_col)
+
+
+TREES = "id long, text string, sizes array<int>, counts array<int>, n_tokens long, n_encoded long"
+
+
+def trees(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, text, sizes, counts, n_tokens, n_encoded): each text with its pre-tokens' lengths and token counts, the
+    leaves of its tree, to be written and edited later. Null texts are empty; else as count_edited()."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.lit(None).cast(t).alias(n) for n, t in (("sizes", "array<int>"), ("counts", "array<int>"), ("edits", EDITS))))
+    return _trees(rows, ranks_path, pattern).withColumnRenamed("id", id_col)
+
+
+def edit_trees(stored: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:
+    """The trees() of a frame with `edits` behind its columns, after these edits: texts, lengths and counts for the next
+    time. n_encoded: the pre-tokens that were encoded for it; what no edit touches is never encoded again."""
+    rows = stored.select(F.col(id_col).cast("long").alias("id"), "text", "sizes", "counts", F.col(edits_col).cast(EDITS).alias("edits"))
+    return _trees(rows, ranks_path, pattern).withColumnRenamed("id", id_col)
+
+
+def _trees(rows: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    with open(ranks_path, "rb") as f:
+        data = rows.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(data.value, pattern)
+        with no_cycles(bpe.forget):
+            for batch in batches:
+                out = []
+                for text, sizes, counts, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "sizes", "counts", "edits")), strict=True):
+                    tree = CountTree(bpe, text or "", None if sizes is None else (sizes, counts))
+                    for e in edits or ():
+                        if e is not None:
+                            tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "")
+                    out.append((tree.text(), *tree.stored(), tree.count, tree.encoded))
+                cols = list(zip(*out, strict=True)) if out else [()] * 5
+                kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
+                yield record(id=batch.column("id"), **{n: pa.array(c, k) for n, c, k in zip(("text", "sizes", "counts", "n_tokens", "n_encoded"), cols, kinds, strict=True)})
+
+    return map_batches(rows, run, TREES)

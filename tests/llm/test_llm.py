@@ -637,6 +637,21 @@ def test_token_counts(spark, encoder):
     assert big.encoded - before < 40
 
 
+def test_stored_trees(spark, encoder, tmp_path):
+    """Trees that are written, read and edited twice: counts equal those of the whole text, untouched parts aren't encoded."""
+    rows = [*ODD, (77, "some words and more " * 3000)]
+    token_counts.trees(docs(spark, rows), RANKS, public_tokenizers.PATTERN).write.parquet(f"{tmp_path}/0")
+    want = [(i, t or "") for i, t in rows]
+    for n, (a, b, new) in enumerate([(30, 33, "xyz"), (2, 2, " é new")]):
+        edit = F.array(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(new).alias("text")))
+        token_counts.edit_trees(spark.read.parquet(f"{tmp_path}/{n}").withColumn("edits", edit), RANKS, public_tokenizers.PATTERN).write.parquet(f"{tmp_path}/{n + 1}")
+        want = [(i, t[:a] + new + t[min(len(t), b) :]) for i, t in want]
+        got = spark.read.parquet(f"{tmp_path}/{n + 1}").collect()
+        assert sorted((str(r.doc_id), r.text, r.n_tokens) for r in got) == sorted((str(i), t, sum(map(len, encoder.encode(t)))) for i, t in want)
+        assert all(r.n_encoded < 60 for r in got) and all("".join(r.text) == r.text and sum(r.sizes) == len(r.text) for r in got)
+    assert token_counts.trees(docs(spark, rows).limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
 def test_chat(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     turns = [(1, 0, "user", "a\\<|b"), (1, 1, "assistant", "c\\n<"), (2, 0, None, None), (2, 0, "assistant", "x"), (2, 0, "assistant", "x"), (None, 0, "user", ""), (-1, 0, "user", said), (-1, 1, "assistant", said), (3, 5, "system\nx", "é" * 5000)]
