@@ -32,7 +32,7 @@ LEAST, K = 100, 24
 #: Bytes of text whose pivots are looked for together, and of contexts in one suffix array.
 STRETCH, SHARD = 1_500_000, 1_000_000
 #: Contexts of one route that a shard takes; a route with more is dealt over several.
-MANY = 5000
+MANY = 1000
 #: Earlier shards of a dealt route that one task searches; what it misses so the next round finds.
 EARLIER = 4
 #: Places of one pivot that are held at once.
