@@ -189,11 +189,11 @@ BANDS, DEPTH = 24, 5
 #: In the first round each text of a band's group is a candidate with this many first ones of the group and with the
 #: one before it; what that leaves apart is compared in the second.
 LEADERS = 4
-#: The second round checks pairs that agree in so many of the BANDS * DEPTH minimal hashes: one of 0.8 agrees in 96 of 120
+#: The second round compares pairs by their shingles that agree in so many of the BANDS * DEPTH minimal hashes: one of 0.8 agrees in 96 of 120
 #: on average, and in fewer than 74 less often than once in 100,000.
 AGREE = 74
 #: Texts of a band's group that are compared with each other at once.
-CHUNK = 20_000
+CHUNK = 4000
 _MULTIPLIERS = np.random.default_rng(20240301).integers(1, 2**63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -264,46 +264,60 @@ def copy_candidates(banded: DataFrame) -> DataFrame:
     return rows.repartition("band").sortWithinPartitions("band", "key").mapInArrow(run, "crowd long, a long, b long").distinct()
 
 
-def copies_apart(crowds: DataFrame, lows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that share a crowded band, are not connected by roots(node, root) and agree in AGREE hashes.
+def copies_apart(crowds: DataFrame, lows: DataFrame, texts: DataFrame, roots: DataFrame, least: float = COPY_LEAST) -> DataFrame:
+    """Links (a, b) between texts that share a crowded band and are not connected by roots(node, root): for each text
+    and component one, if there is any, so that all within `least` are connected.
 
-    crowds(band, key) are the members of large groups, lows(key, low) has the low byte of each minimal hash. Only groups
-    with texts of different components are looked at, without limit: those outside the group's largest component are
-    compared with all of the group, in blocks of CHUNK by CHUNK texts, each block a task's work.
+    crowds(band, key) are the members of large groups, lows(key, low) has the low byte of each minimal hash, texts(key,
+    text) the texts. Only groups with texts of different components are looked at, without limit: those outside a group's
+    largest component are compared with all texts of such groups, in blocks of CHUNK by CHUNK texts, each block a task's
+    work. Texts that agree in AGREE minimal hashes are compared by their shingles there; no pair leaves a task but links.
     """
     member = crowds.join(roots, crowds.key == roots.node, "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     parts = member.groupBy("band", "root").agg(F.count("*").alias("n"))
-    sizes = parts.groupBy("band").agg(F.sum("n").alias("n"), F.max_by("root", "n").alias("main"), F.max("n").alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    sizes = sizes.select("band", "main", F.ceil(F.col("n") / CHUNK).cast("int").alias("ways"), F.ceil((F.col("n") - F.col("most")) / CHUNK).cast("int").alias("asks"))
-    known = saved(member.join(sizes, "band")).join(lows, "key")
-    deal = lambda ways: F.pmod(F.xxhash64("key"), F.col(ways)).cast("int")
-    every = lambda ways: F.sequence(F.lit(0), F.col(ways) - 1)
-    held = known.select("band", deal("ways").alias("way"), F.explode(every("asks")).alias("ask"), F.lit(False).alias("asks"), "key", "root", "low")
-    asked = known.where("root <> main").select("band", F.explode(every("ways")).alias("way"), deal("asks").alias("ask"), F.lit(True).alias("asks"), "key", "root", "low")
+    sizes = parts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    # groups of one largest component are one, so that a text comes once and not with each of its bands
+    known = saved(member.join(sizes, "band").select("main", "key", "root").distinct())
+    ways = known.groupBy("main").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("ways"), F.ceil(F.greatest(F.lit(1), F.count(F.when(F.col("root") != F.col("main"), 1))) / CHUNK).cast("int").alias("asks"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield record(key=batch.column("key"), shingles=pa.array([np.unique(shingle_hashes(t)).tobytes() for t in texts_of(batch)], pa.binary()))
+
+    needed = known.select("key").distinct()
+    held = texts.join(needed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    told = known.join(ways, "main").join(lows, "key").join(map_batches(held, sets, "key long, shingles binary"), "key")
+    deal = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    both = told.select("main", "key", "root", "low", "shingles", F.explode(F.concat(F.transform(every("asks"), lambda x: F.struct(deal("ways").alias("way"), x.alias("ask"), F.lit(False).alias("asks"))), F.when(F.col("root") != F.col("main"), F.transform(every("ways"), lambda x: F.struct(x.alias("way"), deal("asks").alias("ask"), F.lit(True).alias("asks")))).otherwise(F.array().cast("array<struct<way:int,ask:int,asks:boolean>>")))).alias("p")).select("main", "p.*", "key", "root", "low", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, keys, roots, lows = None, [], [], []
-        table = None
+        block, keys, roots, lows, shingles, table = None, [], [], [], [], None
         for batch in batches:
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-            columns = (batch.column(c).to_pylist() for c in ("band", "way", "ask", "asks", "key", "root", "low"))
-            for band, way, ask, asks, key, root, low in zip(*columns, strict=True):
-                if (band, way, ask) != block:
-                    block, keys, roots, lows, table = (band, way, ask), [], [], [], None
+            out = []
+            columns = (batch.column(c).to_pylist() for c in ("main", "way", "ask", "asks", "key", "root", "low", "shingles"))
+            for main, way, ask, asks, key, root, low, own in zip(*columns, strict=True):
+                if (main, way, ask) != block:
+                    block, keys, roots, lows, shingles, table = (main, way, ask), [], [], [], [], None
                 if not asks:
                     keys.append(key)
                     roots.append(root)
                     lows.append(low)
+                    shingles.append(own)
                 elif keys:
                     if table is None:
-                        table = (np.array(keys, np.int64), np.array(roots, np.int64), np.frombuffer(b"".join(lows), np.uint8).reshape(len(lows), -1))
-                    near = (table[2] == np.frombuffer(low, np.uint8)).sum(axis=1) >= AGREE
-                    found = table[0][near & (table[1] != root)]
-                    out.append((np.minimum(found, key), np.maximum(found, key)))
-            a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(2))
-            yield record(a=a, b=b)
+                        table = np.array(roots, np.int64), np.frombuffer(b"".join(lows), np.uint8).reshape(len(lows), -1)
+                    agree = (table[1] == np.frombuffer(low, np.uint8)).sum(axis=1)
+                    near = np.flatnonzero((agree >= AGREE) & (table[0] != root))
+                    done: set[int] = set()
+                    mine = np.frombuffer(own, np.uint64)
+                    for i in near[np.argsort(-agree[near], kind="stable")].tolist():  # the likeliest first: one link a component is enough
+                        if roots[i] not in done and jaccard(np.frombuffer(shingles[i], np.uint64), mine) >= least:
+                            done.add(roots[i])
+                            out.append((min(keys[i], key), max(keys[i], key)))
+            yield record(a=pa.array([x[0] for x in out], pa.int64()), b=pa.array([x[1] for x in out], pa.int64()))
 
-    return held.union(asked).repartition("band", "way", "ask").sortWithinPartitions("band", "way", "ask", "asks").mapInArrow(run, "a long, b long").distinct()
+    return map_batches(both.repartition("main", "way", "ask").sortWithinPartitions("main", "way", "ask", "asks"), run, "a long, b long").distinct()
 
 
 def copy_links(pairs: DataFrame, texts: DataFrame, least: float = COPY_LEAST) -> DataFrame:
@@ -353,8 +367,8 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = saved(components(links))
     crowds = found.where("crowd is not null").select(F.col("crowd").alias("band"), F.col("a").alias("key"))
     lows = marked.select("key", "low").join(crowds.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("low").alias("low"))
-    more = saved(copies_apart(crowds, lows, roots))
+    more = saved(copies_apart(crowds, lows, keyed, roots))
     if not more.isEmpty():
-        roots = saved(components(links.union(copy_links(more, keyed))))
+        roots = saved(components(links.union(more)))
     known = low.join(roots, low.key == roots.node, "left").select("low", F.coalesce("root", "key").alias("root"))
     return known.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.id").alias(id_col), "low.text_key", "low.n")

@@ -744,7 +744,7 @@ def test_near_copies_left_apart(spark, monkeypatch):
             for b in range(a):
                 if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
                     root[a] = root[b] = min(root[a], root[b])
-    for chunk in (20_000, 7):
+    for chunk in (4000, 7):
         monkeypatch.setattr(simhash, "CHUNK", chunk)
         kept = sorted(r.doc_id for r in simhash.representatives(docs(spark, rows)).collect())
         assert kept == sorted(set(root)) and len(kept) == 60
