@@ -4,8 +4,8 @@ import math
 import random
 
 import pytest
-from pyspark.sql.types import LongType
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ctxspark.functions import text as T
 from ctxspark.operators import assemble, chunking, evaluate, fold, graph, memory, predicates, retrieval
@@ -128,9 +128,9 @@ def test_text_chunkers():
 def test_parsers(spark, tmp_path):
     html = "<html><title>T &amp; U</title><script>no()</script><p>a</p><p>b<br>c</p><table><tr><th>x</th><th>y</th></tr><tr><td>1</td></tr></table></html>"
     text, title = files.html_text(html)
-    assert title == "T & U" and "no()" not in text and text.startswith("a\n") and "\n\n\n" not in text
+    assert title == "T & U" and "no()" not in text and text.startswith("T & U\na\n") and "\n\n\n" not in text
     assert files.html_tables(html) == ["| x | y |\n| --- | --- |\n| 1 |  |"]
-    assert files.markdown("---\ntitle: Note\n---\n# Head\nx")[1:] == ("Note", {"title": "Note"})
+    assert files.markdown("---\ntitle: Note\n---\n# Head\nx")[1:] == ("Note", {"title": "Note", "headings": ["Head"]})
     (tmp_path / "a.csv").write_text("n,m\n1,\n2,z\n")
     (tmp_path / "b.md").write_text("# Top\nbody")
     (tmp_path / "c.json").write_text("{bad")
