@@ -33,6 +33,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the smallest id, nulls last; a row that is repeated stays once.
 
+    Texts are grouped by SimHash fingerprints through BK-trees, and by bands of minimal hashes where near copies are more
+    bits apart; an exact check of the shingles decides.
+
     All null and empty texts are one group; rows without an id are told apart by their texts; long texts are compared
     whole; an empty table gives no rows.
     """

@@ -231,8 +231,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def copy_candidates(banded: DataFrame) -> DataFrame:
-    """(crowd, a, b) of banded(key, bands). Where crowd is null: a pair of keys that share a band, the first round's; see
+def copy_candidates(rows: DataFrame) -> DataFrame:
+    """(crowd, a, b) of rows(band, key). Where crowd is null: a pair of keys that share a band, the first round's; see
     LEADERS. Else: the key a is in the group of band `crowd`, which is so large that the first round leaves out pairs.
     """
     most = LEADERS + 2  # in a group of so many the first round compares all pairs
@@ -260,7 +260,6 @@ def copy_candidates(banded: DataFrame) -> DataFrame:
                     b += [0] * len(told)
             yield record(crowd=pa.array(crowd, pa.int64()), a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
 
-    rows = banded.select(F.explode("bands").alias("band"), "key")
     return rows.repartition("band").sortWithinPartitions("band", "key").mapInArrow(run, "crowd long, a long, b long").distinct()
 
 
@@ -348,21 +347,27 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Near copies share COPY_LEAST of their COPY_SHINGLE-word shingles; a group is what they link. The document is the
     one with the smallest id, nulls last, then the smallest text_key(). So rows without an id are kept apart by their
     texts, and so are different texts under one id. An empty table gives no rows. Long texts are hashed whole.
-    Candidates share a band; the first round links large groups by few of their pairs, the second compares all that
-    the first left apart.
+    Candidates are the texts whose fingerprints the BK-trees link (RADIUS bits, a component is one group), and for near
+    copies that are farther apart, those that share a band of minimal hashes. All are checked by their shingles: the
+    first round links large groups by few of their pairs, the second compares all that the first left apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [least_hashes(t) for t in texts_of(batch)]
+            told = texts_of(batch)
+            found = [least_hashes(t) for t in told]
+            fps = np.array([fingerprint(t) for t in told], np.uint64).view(np.int64)
             values = np.concatenate([bands(x) for x in found]).view(np.int64) if found else np.zeros(0, np.int64)
-            yield record(id=batch.column("id"), key=batch.column("key"), bands=pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, BANDS, dtype=np.int32)), pa.array(values)), low=pa.array([x.astype(np.uint8).tobytes() for x in found], pa.binary()))
+            yield record(id=batch.column("id"), key=batch.column("key"), fp=fps, bands=pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, BANDS, dtype=np.int32)), pa.array(values)), low=pa.array([x.astype(np.uint8).tobytes() for x in found], pa.binary()))
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    marked = saved(map_batches(texts, run, "id long, key long, bands array<long>, low binary"))
+    marked = saved(map_batches(texts, run, "id long, key long, fp long, bands array<long>, low binary"))
     low = marked.groupBy("id", "key").agg(F.count("*").alias("n")).groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", F.col("key").alias("text_key"), "n")).alias("low"))
     keyed = texts.select("key", "text")
-    found = saved(copy_candidates(marked.groupBy("key").agg(F.first("bands").alias("bands"))))
+    near = components(near_links(marked.select("fp").distinct()))
+    linked = marked.select("key", "fp").distinct().join(near, F.col("fp") == near.node, "left").select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("band"), "key")
+    banded = marked.groupBy("key").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("band"), "key")
+    found = saved(copy_candidates(linked.union(banded)))
     links = saved(copy_links(found.where("crowd is null").select("a", "b"), keyed))
     roots = saved(components(links))
     crowds = found.where("crowd is not null").select(F.col("crowd").alias("band"), F.col("a").alias("key"))

@@ -753,6 +753,29 @@ def test_near_copies_left_apart(spark, monkeypatch):
     assert pairs and all(root[a] == root[b] for a, b in pairs)
 
 
+def test_near_copies_by_simhash(spark, monkeypatch):
+    """Fingerprints find near copies without any band of minimal hashes; what they link is checked by its shingles."""
+    rnd = random.Random(15)
+    said = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, want, linked, apart = [], [], 0, 0
+    for k in range(60):
+        base = said(150)
+        other = list(base)
+        for _ in range(1 + k % 8):
+            other[rnd.randrange(150)] = "changed"
+        a, b, x, y = grams(base), grams(other), " ".join(base), " ".join(other)
+        near = bin(simhash.fingerprint(x.encode()) ^ simhash.fingerprint(y.encode())).count("1") <= 3
+        copy = len(a & b) >= 0.8 * len(a | b)
+        rows += [(2 * k, x), (2 * k + 1, y)]
+        want += [2 * k] if near and copy else [2 * k, 2 * k + 1]
+        linked, apart = linked + (near and copy), apart + (near and not copy)
+    assert linked > 5 and apart
+    count = simhash.BANDS
+    monkeypatch.setattr(simhash, "bands", lambda low: low.reshape(count, -1)[:, 0] * 0 + low.sum() + np.arange(count, dtype=np.uint64))
+    assert sorted(r.doc_id for r in simhash.representatives(docs(spark, rows)).collect()) == want
+
+
 def test_language_sample_of_copies(spark):
     """A language of many copies of few texts is learned, and one that has short texts only."""
     pieces = langid.piece_list(RANKS)
