@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def table_path(folder: str, name: str) -> str:
+    """The table `name` of a folder, one file or a folder of part files, as a pattern: a stream takes a file only so."""
+    return f"{folder}/[{name[0]}]{name[1:]}"
+
+
 def event_stream(spark, folder: str, schema: str, pattern: str = "*.parquet") -> DataFrame:
     """Events as they arrive in a folder; ts becomes a timestamp, which a watermark needs."""
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -34,8 +40,9 @@ def conversation_window(turns: DataFrame, max_tokens: int) -> DataFrame:
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held, total = (deque(state.get[0]), sum(state.get[0])) if state.exists else (deque(), 0)
-        rows = pd.concat([f[["turn", "tokens"]] for f in frames])  # a key's turns of one micro-batch, which has a bounded size
-        for t in rows.sort_values("turn")["tokens"]:
+        parts = [(f["turn"].to_numpy(), f["tokens"].to_numpy()) for f in frames]  # a key's turns of one micro-batch, which has a bounded size
+        turn, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for t in tokens[np.argsort(turn, kind="stable")].tolist():
             held.append(min(int(t), max_tokens))
             total += held[-1]
             while total > max_tokens:
@@ -45,7 +52,7 @@ def conversation_window(turns: DataFrame, max_tokens: int) -> DataFrame:
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return turns.groupBy("conv_id").applyInPandasWithState(run, "conv_id long, turns long, tokens long", "held array<long>", "update", GroupStateTimeout.NoTimeout)
+    return turns.select("conv_id", "turn", "tokens").groupBy("conv_id").applyInPandasWithState(run, "conv_id long, turns long, tokens long", "held array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
 def expiring(events: DataFrame, key: str, seconds: int, late: str = "10 minutes") -> DataFrame:
@@ -93,7 +100,8 @@ def merge_batches(stream: DataFrame, folder: str, checkpoint: str, apply: Callab
 
 def drain(stream: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Runs the stream over what there is now and returns what it wrote to `folder`, which all executors share: all rows
-    in append mode, the last state of the table in complete mode, the last row of each key in update mode."""
+    in append mode, the last state of the table in complete mode, the last row of each key in update mode. No rows come
+    of a stream that has none."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/rows/_batch_{number}".replace("/_batch_", "/b"))
@@ -104,6 +112,8 @@ def drain(stream: DataFrame, folder: str, mode: str = "append", keys: list[str]
     finally:
         q.stop()
     schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
+    path = stream.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    path.getFileSystem(stream.sparkSession.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)  # there may have been no batch
     rows = stream.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
     if mode == "complete":
         return rows.join(rows.agg(F.max("_batch").alias("_batch")), "_batch", "left_semi").drop("_batch")

@@ -242,6 +242,16 @@ def test_ivf_recall(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_streams_over_part_files(spark, tmp_path):
+    """Tables that are folders of part files, as larger ones are, stream as single files do; empty ones give no rows."""
+    for name in ("conversations", "events"):
+        spark.read.parquet(f"{SF}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/parts/{name}.parquet")
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    for name in ("stream_conversation_window", "stream_tumbling"):
+        run = lambda folder, fn=catalog.queries()[name]: sorted(map(str, fn(spark, folder).collect()))
+        assert len(run(SF)) > 10 and run(f"{tmp_path}/parts") == run(SF) and not run(f"{tmp_path}/none")
+
+
 def test_embed_hashed(spark):
     import numpy as np
 
