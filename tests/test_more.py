@@ -242,6 +242,25 @@ def test_ivf_recall(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_ivf_search_plan_and_ties(spark, monkeypatch):
+    """All lists probed is exact, also with copies, odd vectors and several blocks; no pair of a query and an item is a row
+    of a join, as they were."""
+    rnd = random.Random(31)
+    vec = lambda: [rnd.gauss(0, 1) for _ in range(5)]
+    items = [(k, vec()) for k in range(300)]
+    items += [(1000 + k, items[k % 7][1]) for k in range(60)] + [(2000, None), (2001, [1.0]), (2002, [0.0] * 5)]
+    e = spark.createDataFrame(items, "id long, embedding array<double>")
+    q = spark.createDataFrame([(k, v) for k, v in items if k % 3 == 0 and v and len(v) == 5], "query_id long, embedding array<double>")
+    index = retrieval.IvfIndex(e, 8, sample=200)
+    monkeypatch.setattr(retrieval, "SEARCH_BLOCK", 50)
+    got = index.search(q, 10, 8)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    key = lambda df: sorted((r.query_id, r["rank"], r.id, r.score) for r in df.collect())
+    assert key(got) == key(retrieval.knn(q, e.where("size(embedding) = 5")))
+    empty = retrieval.IvfIndex(e.limit(0), 8)
+    assert empty.items.count() == 0 and empty.search(q).count() == 0
+
+
 def test_streams_over_part_files(spark, tmp_path):
     """Tables that are folders of part files, as larger ones are, stream as single files do; empty ones give no rows."""
     for name in ("conversations", "events"):
