@@ -167,6 +167,26 @@ def test_bfs_and_pagerank(spark):
     assert all(math.isclose(got[n], rank[n], abs_tol=1e-9) for n in rank)
 
 
+def test_related_counts(spark):
+    """As related_items() counts, also for seeds without neighbours or items, repeated links, and items of several nodes."""
+    rnd = random.Random(8)
+    pairs = [(rnd.randrange(30), 100 + rnd.randrange(4)) for _ in range(40)] + [(100, 200), (101, 200)]
+    adj = graph.adjacency(spark.createDataFrame(pairs, "source long, target long")).localCheckpoint()
+    links = spark.createDataFrame([(rnd.randrange(34), rnd.randrange(25)) for _ in range(60)] + [(33, 99), (33, 99)], "node long, item long")
+    seeds = spark.createDataFrame([(k,) for k in [*range(34), 5]], "seed long")
+    walked = []
+    bfs = graph.bfs
+    for depth in (1, 2, 3):
+        want = graph.related_items(seeds.distinct(), adj, links, depth).groupBy("seed").count()
+        graph.bfs = lambda s, *a, **b: walked.append(s.count()) or bfs(s, *a, **b)
+        try:
+            got = graph.related_counts(seeds, adj, links, depth)
+        finally:
+            graph.bfs = bfs
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert walked[1] < 30
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3)], "query_id long, id long, rank long")
     rel = spark.createDataFrame([(1, 11), (1, 99)], "query_id long, id long")
