@@ -167,6 +167,39 @@ def test_bfs_and_pagerank(spark):
     assert all(math.isclose(got[n], rank[n], abs_tol=1e-9) for n in rank)
 
 
+def test_pagerank_classes(spark):
+    """Directed links, dangling and isolated nodes, several seeds and twins; rounds run over few classes of twins."""
+    rnd = random.Random(12)
+    links = {(rnd.randrange(9), rnd.randrange(12)) for _ in range(25)} | {(k, 3) for k in range(20, 60)} | {(3, k) for k in range(20, 60)} | {(4, k) for k in range(70, 75)}
+    adj = spark.createDataFrame(sorted(links), "a long, b long")
+    seeds = {1: [0, 1, 21], 2: [22], 3: [23], 4: [23, 24, 3], 5: [99], 6: [70, 99], 7: [11]}
+    frame = spark.createDataFrame([(q, n) for q, ns in seeds.items() for n in ns], "query long, node long")
+    assert graph.node_classes(frame.select("node"), adj).where("node >= 20 and node < 60").select("class").distinct().count() == 1
+    to = {}
+    for a, b in links:
+        to.setdefault(a, []).append(b)
+
+    def walk(ns, rounds, tolerance=0.0):
+        rank = {n: 1 / len(ns) for n in ns}
+        for _ in range(rounds):
+            lost = sum(0.5 * r for n, r in rank.items() if n not in to)
+            new = {n: (0.5 + lost) / len(ns) for n in ns}
+            for n, r in rank.items():
+                for b in to.get(n, ()):
+                    new[b] = new.get(b, 0) + 0.5 * r / len(to[n])
+            gap, rank = sum(abs(new.get(n, 0) - rank.get(n, 0)) for n in {*new, *rank}), new
+            yield rank, gap
+
+    for rounds in (1, 6):
+        got = graph.pagerank(frame, adj, 0.5, rounds).collect()
+        want = {(q, n): r for q, ns in seeds.items() for n, r in list(walk(ns, rounds))[-1][0].items()}
+        assert len(got) == len(want) and all(math.isclose(r.score, want[r.query, r.node], abs_tol=1e-12) for r in got)
+    walks = {q: list(walk(ns, 40)) for q, ns in seeds.items()}
+    stop = next(k for k in range(40) if all(w[k][1] <= 1e-4 for w in walks.values()))
+    got = graph.pagerank(frame, adj, 0.5, 40, 1e-4).collect()
+    assert stop > 2 and all(math.isclose(r.score, walks[r.query][stop][0][r.node], abs_tol=1e-12) for r in got)
+
+
 def test_related_counts(spark):
     """As related_items() counts, also for seeds without neighbours or items, repeated links, and items of several nodes."""
     rnd = random.Random(8)
