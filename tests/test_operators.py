@@ -200,6 +200,29 @@ def test_pagerank_classes(spark):
     assert stop > 2 and all(math.isclose(r.score, walks[r.query][stop][0][r.node], abs_tol=1e-12) for r in got)
 
 
+def test_item_scores_by_classes(spark):
+    """The k best items are those of pagerank(), with seeds in the core, in stems, in leaves and several at once."""
+    rnd = random.Random(17)
+    edges = [(f"c{k}", f"n{k % 3}") for k in range(24)] + [("n0", "r0"), ("n1", "r0"), ("n2", "r1"), ("r1", "n0"), ("x1", "x2"), ("n1", "n2")]
+    links = [(f"c{k}", 100 * k + j) for k in range(24) for j in range(rnd.choice([0, 1, 2, 2, 5]))] + [("c1", 9000), ("c2", 9000), ("n1", 9001), ("r1", 9002), ("x1", 9003)]
+    seeds = [(k, f"c{k}") for k in range(24)] + [(30, "n1"), (31, "c3"), (31, "c6"), (31, "n0"), (32, "x1"), (33, "x2")]
+    e = spark.createDataFrame(edges, "source string, target string")
+    item = spark.createDataFrame(links, "node string, item long")
+    q = spark.createDataFrame([(q, f"n:{n}") for q, n in seeds], "query long, node string")
+    both = e.selectExpr("'n:' || source source", "'n:' || target target").union(item.selectExpr("'n:' || node", "'i:' || item"))
+    adj = graph.saved(graph.adjacency(both))
+    assert {r.kind for r in graph.branches(adj).select("kind").distinct().collect()} == {"C", "L", "R", "RL"}
+    want, got = {}, {}
+    for r in graph.pagerank(q, adj, 0.5, 6).where("node like 'i:%' and score > 0").collect():
+        want.setdefault(r.query, []).append((-round(r.score, 9), r.node))
+    for r in graph.item_scores(q, adj, 4, 0.5, 6, 9).collect():
+        got.setdefault(r.query, []).append((-round(r.score, 9), r.node))
+    assert len(want) > 24
+    for key, rows in want.items():
+        assert [x[1] for x in sorted(got[key])[:4]] == [x[1] for x in sorted(rows)[:4]], key
+        assert all(math.isclose(x[0], y[0], abs_tol=2e-9) for x, y in zip(sorted(got[key])[:4], sorted(rows)[:4], strict=True))
+
+
 def test_related_counts(spark):
     """As related_items() counts, also for seeds without neighbours or items, repeated links, and items of several nodes."""
     rnd = random.Random(8)
