@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import LOWER, components, forest, map_batches, record, saved, texts_of
+from .util import LOWER, components, forest, let_go, map_batches, record, saved, texts_of
 
 RADIUS, BLOCKS, SHINGLE, SEED = 3, 4, 3, 42
 #: Fingerprints in one tree; a larger shard is split by a second block.
@@ -364,15 +364,19 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = saved(map_batches(texts, run, "id long, key long, fp long, bands array<long>, low binary"))
     low = marked.groupBy("id", "key").agg(F.count("*").alias("n")).groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", F.col("key").alias("text_key"), "n")).alias("low"))
     keyed = texts.select("key", "text")
-    near = components(near_links(marked.select("fp").distinct()))
+    near = components(saved(near_links(marked.select("fp").distinct())))
+    let_go(df.sparkSession)
     linked = marked.select("key", "fp").distinct().join(near, F.col("fp") == near.node, "left").select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("band"), "key")
     banded = marked.groupBy("key").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("band"), "key")
     found = saved(copy_candidates(linked.union(banded)))
+    let_go(df.sparkSession)
     links = saved(copy_links(found.where("crowd is null").select("a", "b"), keyed))
+    let_go(df.sparkSession)
     roots = saved(components(links))
     crowds = found.where("crowd is not null").select(F.col("crowd").alias("band"), F.col("a").alias("key"))
     lows = marked.select("key", "low").join(crowds.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("low").alias("low"))
     more = saved(copies_apart(crowds, lows, keyed, roots))
+    let_go(df.sparkSession)
     if not more.isEmpty():
         roots = saved(components(links.union(more)))
     known = low.join(roots, low.key == roots.node, "left").select("low", F.coalesce("root", "key").alias("root"))

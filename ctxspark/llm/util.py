@@ -84,6 +84,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has shuffles and checkpoints removed that nothing refers to any more; else they stay until the driver happens to
+    collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For nodes 0..n-1 and edges a-b: the smallest node of each one's component."""
     root = np.arange(n)
