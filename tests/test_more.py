@@ -461,3 +461,41 @@ def test_consolidation_replay_and_extraction(spark):
     assert got == {1: (True, 0, 0, True), 2: (False, 0, 0, False), 3: (True, 0, 0, True), 4: (False, 0, 1, True)}
     rel = spark.createDataFrame([(1, "a", 3), (1, "a", 1), (1, "b", 1)], "query long, item string, rating long")
     assert [(r.item, r.mean_rating) for r in evaluate.relevant_by_rating(rel).collect()] == [("a", 2.0)]
+
+
+def small_graph(spark, folder, customers=600):
+    """A folder of tables for the graph's queries, in which every customer is a seed, 4 nations and 2 regions."""
+    frame = lambda rows, cols, name: spark.createDataFrame(rows, cols).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    frame([(50 * i, i % 4) for i in range(customers)], "c_custkey long, c_nationkey long", "customer")
+    frame([(i, i % 4) for i in range(9)], "s_suppkey long, s_nationkey long", "supplier")
+    frame([(i, i % 2) for i in range(4)], "n_nationkey long, n_regionkey long", "nation")
+    return str(folder)
+
+
+@pytest.fixture
+def saved_rows(monkeypatch):
+    """Rows of each frame that a graph operator checkpoints."""
+    rows, save = [], graph.saved
+
+    def counted(df):
+        out = save(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "saved", counted)
+    return rows
+
+
+def test_neighbourhoods_of_many_seeds(spark, tmp_path, saved_rows):
+    """As bfs() has them, also for seeds without links and on paths; no checkpoint holds the rows that come out, as one did."""
+    rnd = random.Random(5)
+    pairs = [(f"c{i}", f"n{rnd.randrange(4)}") for i in range(90)] + [(f"n{i}", f"r{i % 2}") for i in range(4)] + [("r1", "x"), ("x", "y"), ("y", "y")]
+    adj = graph.saved(graph.adjacency(spark.createDataFrame(pairs, "source string, target string")))
+    seeds = spark.createDataFrame([(f"c{i}",) for i in range(0, 90, 3)] + [("n1",), ("x",), ("lonely",)], "seed string")
+    key = lambda df: sorted((r.seed, r.node, r.hops) for r in df.collect())
+    for depth in (1, 2, 3):
+        assert key(graph.neighbourhoods(seeds, adj, depth)) == key(graph.bfs(seeds, adj, depth))
+    assert graph.neighbourhoods(seeds.limit(0), adj, 2).count() == 0
+    saved_rows.clear()
+    got = catalog.queries()["neighbors_2hop"](spark, small_graph(spark, tmp_path)).collect()
+    assert len(got) == 600 * (1 + 1 + 149 + 1) + sum(2 + (i % 4 == 0) for i in range(600)) and max(saved_rows) < 1000
