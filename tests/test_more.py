@@ -499,3 +499,24 @@ def test_neighbourhoods_of_many_seeds(spark, tmp_path, saved_rows):
     saved_rows.clear()
     got = catalog.queries()["neighbors_2hop"](spark, small_graph(spark, tmp_path)).collect()
     assert len(got) == 600 * (1 + 1 + 149 + 1) + sum(2 + (i % 4 == 0) for i in range(600)) and max(saved_rows) < 1000
+
+
+def test_paths_to_targets(spark):
+    """As bfs() has them for these nodes, also where adj has repeats and a seed is a target or has no links."""
+    rnd = random.Random(7)
+    edges = spark.createDataFrame([(f"k{rnd.randrange(40)}", f"k{rnd.randrange(40)}") for _ in range(70)] + [("k1", "k2")] * 3, "source string, target string")
+    seeds = spark.createDataFrame([(f"k{i}",) for i in range(0, 40, 2)] + [("lonely",)], "seed string")
+    targets = spark.createDataFrame([("k3",), ("k4",), ("k10",), ("k10",), ("nowhere",), ("lonely",), (None,)], "node string")
+    key = lambda df: sorted((r.seed, r.node, r.hops, r.path) for r in df.collect())
+    for depth in (1, 2, 4):
+        whole = graph.bfs(seeds, graph.adjacency(edges), depth, paths=True)
+        assert key(graph.paths_to(seeds, targets, graph.both_ways(edges), depth)) == key(whole.join(targets.distinct(), "node", "left_semi"))
+    assert graph.paths_to(seeds, targets.limit(0), graph.both_ways(edges), 2).count() == 0
+
+
+@pytest.mark.parametrize("name", ["explain_path"])
+def test_paths_go_to_their_targets_only(spark, tmp_path, saved_rows, name):
+    """600 seeds have 1200 nodes on their paths; a checkpoint held the 91,350 of two hops."""
+    got = catalog.queries()[name](spark, small_graph(spark, tmp_path)).collect()
+    assert len(got) == (1200 if name == "explain_path" else 600) and max(saved_rows) <= 600
+    assert {(r.seed, r.node) for r in got} == {(f"c{50 * i}", f"r{i % 2}") for i in range(600)}
