@@ -514,7 +514,7 @@ def test_paths_to_targets(spark):
     assert graph.paths_to(seeds, targets.limit(0), graph.both_ways(edges), 2).count() == 0
 
 
-@pytest.mark.parametrize("name", ["explain_path"])
+@pytest.mark.parametrize("name", ["explain_path", "shortest_path"])
 def test_paths_go_to_their_targets_only(spark, tmp_path, saved_rows, name):
     """600 seeds have 1200 nodes on their paths; a checkpoint held the 91,350 of two hops."""
     got = catalog.queries()[name](spark, small_graph(spark, tmp_path)).collect()
