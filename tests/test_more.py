@@ -520,3 +520,49 @@ def test_paths_go_to_their_targets_only(spark, tmp_path, saved_rows, name):
     got = catalog.queries()[name](spark, small_graph(spark, tmp_path)).collect()
     assert len(got) == (1200 if name == "explain_path" else 600) and max(saved_rows) <= 600
     assert {(r.seed, r.node) for r in got} == {(f"c{50 * i}", f"r{i % 2}") for i in range(600)}
+
+
+def test_documents_are_embedded_once(spark, tmp_path, monkeypatch):
+    """However many blocks of queries there are; a document without a text is neither a query nor found."""
+    docs = [(i, None if i in (50, 77) else f"w{i} w{i % 7} w{i % 30}", "en", "s") for i in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    plain, log = retrieval.hashed_words, str(tmp_path / "log")
+
+    def logged(size):
+        fn = plain(size)
+
+        def embed(texts):
+            with open(log, "a") as f:
+                f.write(f"{len(texts)}\n")
+            return fn(texts)
+
+        return embed
+
+    monkeypatch.setattr(retrieval, "hashed_words", logged)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    got = catalog.queries()["embed_hashed"](spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r["rank"]) for r in got) == [(q, n) for q in range(0, 400, 50) if q != 50 for n in (1, 2)]
+    assert sum(map(int, open(log).read().split())) == 398
+
+
+def test_knn_near_ties_and_odd_vectors(spark, monkeypatch):
+    """Scores that single precision can't tell apart are ranked by double precision; vectors with NaN are not found and hide none."""
+    import numpy as np
+
+    rnd = np.random.default_rng(11)
+    base = rnd.normal(size=16)
+    rows = [(i, (base + rnd.normal(size=16) * 10.0 ** -rnd.integers(1, 7)).tolist()) for i in range(1500)] + [(5000 + i, [math.nan] * 16) for i in range(5)]
+    items = spark.createDataFrame(rows, "id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame(rows[:40], "query_id long, embedding array<double>")
+    x = np.array([v for _, v in rows[:1500]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(retrieval, "QUERY_CELLS", 16 * 7)
+    for digits in (6, 9):
+        got = {(r.query_id, r["rank"]): (r.id, r.score) for r in retrieval.knn(q, items, 4, digits=digits).collect()}
+        assert len(got) == 160
+        for one in range(40):
+            score = np.round(np.clip((x * x[one]).sum(axis=1), -1, 1), digits)
+            order = np.lexsort((np.arange(1500), -score))
+            assert [got[one, n + 1][1] for n in range(4)] == pytest.approx(score[order[:4]].tolist(), abs=1.1 * 10.0**-digits)
+            if digits == 6:
+                assert [got[one, n + 1][0] for n in range(4)] == order[:4].tolist()
