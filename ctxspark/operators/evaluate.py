@@ -28,9 +28,19 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int, case: str
 
 def ndcg_graded(ranked: DataFrame, grades: DataFrame, k: int, case: str = "query_id") -> DataFrame:
     """Gain 2^g - 1 over log2(rank + 1); the ideal order is cut at k too. grades(case, id, grade)."""
-    gain = lambda g, rank: (F.pow(2.0, g) - 1) / F.log2(rank + 1)
-    got = ranked.where(F.col("rank") <= k).join(grades, [case, "id"]).groupBy(case).agg(F.sum(gain(F.col("grade"), F.col("rank"))).alias("dcg"))
-    best = grades.withColumn("n", F.row_number().over(W.partitionBy(case).orderBy(F.desc("grade"), "id"))).where(F.col("n") <= k).groupBy(case).agg(F.sum(gain(F.col("grade"), F.col("n"))).alias("ideal"))
+    return ndcg_by_counts(ranked.join(grades, [case, "id"]), grades.select(case, "grade", F.lit(1).alias("n")), k, case)
+
+
+def ndcg_by_counts(graded: DataFrame, counts: DataFrame, k: int, case: str = "query_id") -> DataFrame:
+    """ndcg_graded() of graded(case, rank, grade), where counts(case, grade, n) says how many items a case has of each
+    grade. The ideal order needs no more, so pairs that are not ranked need no row."""
+    gain = F.pow(2.0, "grade") - 1
+    got = graded.where(F.col("rank") <= k).groupBy(case).agg(F.sum(gain / F.log2(F.col("rank") + 1)).alias("dcg"))
+    upto = F.sum("n").over(W.partitionBy(case).orderBy(F.desc("grade")))
+    placed = counts.groupBy(case, "grade").agg(F.sum("n").cast("long").alias("n")).withColumn("upto", upto)
+    places = F.sequence(F.col("upto") - F.col("n") + 1, F.least("upto", F.lit(k)))
+    share = F.aggregate(places, F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    best = placed.groupBy(case).agg(F.sum(F.when((F.col("n") > 0) & (F.col("upto") - F.col("n") < k), gain * share)).alias("ideal"))
     return best.join(got, case, "left").select(case, F.coalesce(F.try_divide("dcg", "ideal"), F.lit(0.0)).alias("ndcg"))
 
 

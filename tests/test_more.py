@@ -566,3 +566,30 @@ def test_knn_near_ties_and_odd_vectors(spark, monkeypatch):
             assert [got[one, n + 1][1] for n in range(4)] == pytest.approx(score[order[:4]].tolist(), abs=1.1 * 10.0**-digits)
             if digits == 6:
                 assert [got[one, n + 1][0] for n in range(4)] == order[:4].tolist()
+
+
+def test_ndcg_graded_without_all_pairs(spark, tmp_path):
+    """By plain Python, with null labels, few items of a grade and negative ids; no join makes the pairs of queries and items, as one did."""
+    rnd = random.Random(13)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)], rnd.choice([0, 0, 0, 1, 2, None])) for i in range(-120, 181)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = catalog.queries()["ndcg_graded"](spark, str(tmp_path))
+    q, e = catalog.vectors(spark, str(tmp_path))
+    label = {i: x for i, _, x in rows}
+    grade = lambda one, i: 3 if label[i] is not None and label[i] == label[one] else int(math.fmod(i, 3))
+    gain = lambda grades: sum((2.0**g - 1) / math.log2(n + 2) for n, g in enumerate(grades))
+    ranked = {}
+    for r in retrieval.knn(q, e).orderBy("rank").collect():
+        ranked.setdefault(r.query_id, []).append(grade(r.query_id, r.id))
+    want = {one: gain(g) / gain(sorted((grade(one, i) for i in label), reverse=True)[:10]) for one, g in ranked.items()}
+    got = {r.query_id: r.ndcg for r in df.collect()}
+    assert set(got) == {-100, -50, 0, 50, 100, 150} and got == pytest.approx(want, abs=1e-6)
+    grades = spark.createDataFrame([(one, i, grade(one, i)) for one in want for i in label], "query_id long, id long, grade int")
+    assert {r.query_id: r.ndcg for r in evaluate.ndcg_graded(retrieval.knn(q, e), grades, 10).collect()} == pytest.approx(want, abs=1e-9)
+    plan, made = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        kind = node.getClass().getSimpleName()
+        made = max(made, node.metrics().apply("numOutputRows").value() if "Join" in kind else 0)
+        plan += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+    assert 0 < made < len(rows)
